@@ -145,3 +145,18 @@ class Words:
         """Whether the window that starts at each of the first n-size+1 words lies in one row."""
         n = len(self.hashes) - size + 1
         return np.arange(size, size + n) <= self.limit()[:n] if n > 0 else np.zeros(0, bool)
+
+    def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of every row's word n-grams, row by row, and the first of each row (n+1 numbers).
+
+        A row of fewer words, but not none, has one: all its words.
+        """
+        n = len(self.hashes)
+        power, inverse = powers(WORD_BASES[0], n)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.hashes * power[:n], out=total[1:])
+        at, limit, begin = np.arange(n), self.limit(), self.begin()
+        at = at[(at + size <= limit) | (at == begin)]
+        end = np.minimum(at + size, limit[at]) if n else at
+        h = (total[end] - total[at]) * inverse[at]
+        return mix(h + (end - at).astype(np.uint64) * np.uint64(BYTE_BASE)), np.searchsorted(at, self.first)

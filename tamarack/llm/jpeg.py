@@ -64,6 +64,7 @@ def _huffman(kind: int, slot: int, lengths: dict[int, int]) -> bytes:
 
 
 _TABLES = _segment(DHT, _huffman(0, 0, _DC_TABLE) + _huffman(1, 0, _AC_TABLE) + _huffman(1, 1, _REFINE_TABLE))
+_PLACES = 1 << np.arange(_DC_BITS - 1, -1, -1)
 _FLAT = _segment(DQT, bytes([0]) + bytes([1] * 64))
 
 
@@ -144,7 +145,20 @@ class _Bits:
         return v if size == 0 or v >> (size - 1) else v - (1 << size) + 1
 
 
+_tables: dict[tuple, np.ndarray | None] = {}
+
+
 def _uniform(codes: dict[tuple[int, int], int], bits: int, least: int) -> np.ndarray | None:
+    """As _uniform_table; a few tables are kept, as files of one writer share theirs."""
+    key = (*codes.items(), bits, least)
+    if key not in _tables:
+        if len(_tables) > 32:
+            _tables.clear()
+        _tables[key] = _uniform_table(codes, bits, least)
+    return _tables[key]
+
+
+def _uniform_table(codes: dict[tuple[int, int], int], bits: int, least: int) -> np.ndarray | None:
     """Values by code word if every symbol is a size of at least `least` with no run and takes `bits` bits in all."""
     if any(s >> 4 or s < least or length + s != bits for (_, length), s in codes.items()):
         return None
@@ -230,8 +244,8 @@ def _dc(order: list[tuple[int, np.ndarray]], high: int, low: int, data: bytes, t
         table = _uniform(tables[0], _DC_BITS, 0) if all(t == tables[0] for t in tables) else None
         bits = None
         if table is not None and len(data) == -(-n * _DC_BITS // 8):
-            raw = np.unpackbits(np.frombuffer(data, np.uint8))[: n * _DC_BITS].reshape(n, _DC_BITS)
-            bits = table[raw @ (1 << np.arange(_DC_BITS - 1, -1, -1))]
+            raw = np.unpackbits(np.frombuffer(data, np.uint8), count=n * _DC_BITS).reshape(n, _DC_BITS)
+            bits = table[raw @ _PLACES]
         if bits is None or (n and bits.min() == -(1 << 15)):
             reader, bits, i = _Bits(data), np.zeros(n, np.int16), 0
             for _ in range(len(units[0][1])):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import find_contamination
 from .media_columns import load, store, thumbnail_feature
+from .ngram_join import near_duplicates
 from .substring_dedup import remove_repeats
 
 
@@ -22,6 +23,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, size=5, similarity=0.8).select("doc_id", "class_id", "n_links")
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     read = load(store(docs, "text"))
@@ -48,6 +54,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_media_columns": op8_media_columns,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
