@@ -10,13 +10,38 @@ from pyspark.sql import functions as F
 from .decontamination import find_contamination
 from .media_columns import load, store, thumbnail_feature
 from .ngram_join import near_duplicates
+from .sentencepiece_codec import decode, encode
 from .substring_dedup import remove_repeats
+from .token_counts import count_tokens
+
+#: Where the vocabularies of public tokenizers lie.
+TOKENIZERS = "/opt/tokenizers"
+#: Fixed value: the pre-token pattern of the byte-level BPE vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def example_edits(text: F.Column) -> F.Column:
+    """Three edits spread over a text: an insertion at a quarter, a deletion at the middle, a replacement at three
+    quarters (by the text's own first characters)."""
+    n = F.char_length(text)
+
+    def edit(start, delete, insert):
+        return F.struct(start.cast("int").alias("start"), F.lit(delete).alias("delete"), insert.alias("insert"))
+
+    head = F.substring(text, 1, 12)
+    return F.array(edit(n / 4, 0, F.concat(F.lit(" "), head)), edit(n / 2, 7, F.lit("")), edit(n * 3 / 4, 9, head))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", example_edits(F.col("text")).alias("edits"))
+    out = count_tokens(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN)
+    return out.select("doc_id", "n_tokens", "n_tokens_after", "n_encoded", "n_edits", F.char_length("edited_text").cast("long").alias("n_chars_after"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = remove_repeats(docs, "text", window=35)
@@ -52,11 +77,21 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "text")
+    read = decode(encode(docs, model, keep_text=False), model)
+    digest = F.sha2(F.col("decoded").cast("binary"), 256)
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", digest.alias("decoded_sha256"), (digest == F.col("text_sha256")).alias("same_text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_counts": op3_token_counts,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_media_columns": op8_media_columns,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {}
