@@ -100,7 +100,7 @@ def load(media: DataFrame, media_col: str = "media") -> DataFrame:
     broken one raises. Input columns with those names are replaced."""
     rows = replace_columns(media, "payload", "rgb", "height", "width")
     at = rows.columns.index(media_col)
-    schema = T.StructType(list(rows.schema.fields)).add("payload", "binary").add("rgb", "binary").add("height", "int").add("width", "int")
+    schema = T.StructType(list(rows.schema.fields)).add("payload", "binary").add("rgb", "binary").add("height", "integer").add("width", "integer")
     return rows.mapInArrow(lambda batches: _decode_batches(batches, at), schema)
 
 

@@ -239,7 +239,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep_text:
                 columns = [part.column(i) for i, n in enumerate(part.schema.names) if keep_text or i != at]
                 yield pa.RecordBatch.from_arrays([*columns, column], names=[*[f.name for f in kept], "ids"])
 
-    return rows.mapInArrow(run, T.StructType(kept).add("ids", "array<int>"))
+    return rows.mapInArrow(run, T.StructType(list(kept)).add("ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids") -> DataFrame:

@@ -174,7 +174,7 @@ def count_tokens(docs: DataFrame, rank_file: str, pattern: str, text_col: str =
     text, edits = rows.columns.index(text_col), rows.columns.index(edits_col)
     kept = [i for i in range(len(rows.columns)) if i not in (text, edits)]
     schema = T.StructType([rows.schema.fields[i] for i in kept])
-    for name, kind in (("n_tokens", "long"), ("n_tokens_after", "long"), ("n_encoded", "long"), ("n_edits", "int"), ("edited_text", "string")):
+    for name, kind in (("n_tokens", "long"), ("n_tokens_after", "long"), ("n_encoded", "long"), ("n_edits", "integer"), ("edited_text", "string")):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
