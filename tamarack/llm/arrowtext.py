@@ -105,6 +105,7 @@ class Words:
         n = len(data)
         if n == 0:
             self.starts = self.ends = np.zeros(0, np.int64)
+            self._total, self._inverse = np.zeros(1, np.uint64), np.ones(1, np.uint64)
             self.hashes, self.first = np.zeros(0, np.uint64), np.zeros(b - a + 1, np.int64)
             return
         inside = ~sep[data]
@@ -119,10 +120,19 @@ class Words:
         power, inverse = powers(BYTE_BASE, n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_byte_table(fold)[data] * power[:n], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * inverse[self.starts]
-        self.hashes = mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(WORD_BASES[0]))
+        self._total, self._inverse = total, inverse
+        self.hashes = self._spans(self.ends)
         self.first = np.searchsorted(self.starts, bounds)
 
+    def _spans(self, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from each word's start to the given ends."""
+        h = (self._total[ends] - self._total[self.starts]) * self._inverse[self.starts]
+        return mix(h + (ends - self.starts).astype(np.uint64) * np.uint64(WORD_BASES[0]))
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """A hash for each word's first `size` bytes (the whole word if it is shorter)."""
+        return self._spans(np.minimum(self.starts + size, self.ends))
+
     def windows(self, size: int, which: int = 0) -> np.ndarray:
         """A hash for each window of `size` words by its first word; windows may cross rows (see inside())."""
         n = len(self.hashes)

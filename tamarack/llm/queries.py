@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontamination import find_contamination
 from .media_columns import load, store, thumbnail_feature
 from .ngram_join import near_duplicates
+from .quality_classifier import resample
 from .sentencepiece_codec import decode, encode
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -42,6 +43,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "n_tokens_after", "n_encoded", "n_edits", F.char_length("edited_text").cast("long").alias("n_chars_after"))
 
 
+def good_labels(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1 and toxic = 0").select("doc_id")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = resample(docs, good_labels(table(spark, sf_dir, "labels")))
+    return kept.select("doc_id", "log_weight", F.round("sample_key", 6).alias("sample_key"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = remove_repeats(docs, "text", window=35)
@@ -87,6 +98,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_media_columns": op8_media_columns,
