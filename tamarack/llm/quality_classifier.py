@@ -32,10 +32,11 @@ BUCKETS, BLOCK = 2 << BITS, 1 << 15
 PREFIXES = (4, 5)
 #: Labelled rows that the target model is fitted on, at most.
 TARGET_ROWS = 20_000
-LEAST_FACTOR, Z_LIMIT = 4.0, 3.0
+LEAST_FACTOR, Z_LIMIT = 6.0, 3.0
 #: Runs of ASCII punctuation are words of a second kind.
 _NOT_PUNCTUATION = separators((0x00, 0x20), (0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x7F, 0xFF))
-#: Stands for any word said three times in a row.
+#: A word said so many times in a row counts as one n-gram, whichever word it is.
+STUTTER = 5
 _STUTTER = 0x5BD1E9955B
 
 
@@ -53,8 +54,9 @@ def _features(data, offsets, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np
             found.extend(row + (words.prefixes(n) + np.uint64(n) & mask).astype(np.int64) for n in PREFIXES)
         at = np.flatnonzero(words.inside(2))
         found.append(row[at] + (words.windows(2)[at] & mask).astype(np.int64))
-        at = np.flatnonzero(words.inside(3))
-        found.append(row[at[(h[at] == h[at + 1]) & (h[at] == h[at + 2])]] + _STUTTER)
+        same = np.cumsum(np.append(0, h[1:] == h[:-1])) if len(h) else h
+        at = np.flatnonzero(words.inside(STUTTER))
+        found.append(row[at[same[at + STUTTER - 1] - same[at] == STUTTER - 1]] + _STUTTER)
     keys = np.sort(np.concatenate(found))
     keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
     low = (1 << BITS) - 1
@@ -154,10 +156,11 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float | None:
     return low
 
 
-def resample(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, seed: int = 17, target_rows: int = TARGET_ROWS) -> DataFrame:
+def resample(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, seed: int = 17, sharpness: float = 4.0, target_rows: int = TARGET_ROWS) -> DataFrame:
     """The rows of docs that a Gumbel top-k draw by importance weight takes, with log_weight and sample_key.
 
-    k defaults to the sum of the weights (each at most one), rounded. Rows with equal sample_key at the limit are all
+    Weights are raised to the power `sharpness`: the higher it is, the less is left to chance between rows with evidence
+    against them and rows without. k defaults to the sum of the weights (each at most one), rounded. Rows with equal sample_key at the limit are all
     taken, so repeated rows share their fate. Null and empty texts carry no evidence and have weight one. With no good
     ids nothing speaks against any row and all are taken. An empty table stays empty. Input columns named log_weight or
     sample_key are replaced.
@@ -169,13 +172,13 @@ def resample(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col:
         model = fit(rows, good, id_col, text_col, target_rows)
 
     def keyed(df: DataFrame) -> DataFrame:
-        return log_weights(df, model, text_col).withColumn("sample_key", F.col("log_weight") + gumbel(seed, F.col(id_col), F.col(text_col)))
+        return log_weights(df, model, text_col).withColumn("sample_key", F.col("log_weight") * sharpness + gumbel(seed, F.col(id_col), F.col(text_col)))
 
     slim = rows.select(F.col(id_col), F.col(text_col))
     keys = written(keyed(slim).select("sample_key", "log_weight"), "weights")
     if k is None:
         # rounded before summing: the sum is then the same in any order
-        total = keys.select(F.sum(F.round(F.exp("log_weight"), 6).cast("decimal(20,6)")).alias("w")).first().w
+        total = keys.select(F.sum(F.round(F.exp(F.col("log_weight") * sharpness), 6).cast("decimal(20,6)")).alias("w")).first().w
         k = int(round(total or 0))
     limit = kth_largest(keys.select("sample_key"), k)
     out = keyed(rows)
