@@ -37,7 +37,7 @@ LEAST_FACTOR, Z_LIMIT = 6.0, 3.0
 _NOT_PUNCTUATION = separators((0x00, 0x20), (0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x7F, 0xFF))
 #: A word said so many times in a row counts as one n-gram, whichever word it is.
 STUTTER = 5
-_STUTTER = 0x5BD1E9955B
+_STUTTER = 0
 
 
 def _features(data, offsets, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,8 +59,10 @@ def _features(data, offsets, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np
         found.append(row[at[same[at + STUTTER - 1] - same[at] == STUTTER - 1]] + _STUTTER)
     keys = np.sort(np.concatenate(found))
     keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
-    low = (1 << BITS) - 1
-    return keys >> width, keys & low, (keys >> BITS & low) + (1 << BITS)
+    low, row = (1 << BITS) - 1, keys >> width
+    stutter = keys == row << width
+    one, two = (np.where(stutter, 0, np.maximum(x & low, 1)) for x in (keys, keys >> BITS))  # bucket 0 is its own
+    return row, one, two + (1 << BITS)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
