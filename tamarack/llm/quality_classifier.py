@@ -54,9 +54,10 @@ def _features(data, offsets, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np
             found.extend(row + (words.prefixes(n) + np.uint64(n) & mask).astype(np.int64) for n in PREFIXES)
         at = np.flatnonzero(words.inside(2))
         found.append(row[at] + (words.windows(2)[at] & mask).astype(np.int64))
-        same = np.cumsum(np.append(0, h[1:] == h[:-1])) if len(h) else h
-        at = np.flatnonzero(words.inside(STUTTER))
-        found.append(row[at[same[at + STUTTER - 1] - same[at] == STUTTER - 1]] + _STUTTER)
+        if fold and len(h) >= STUTTER:
+            same = np.cumsum(np.append(0, h[1:] == h[:-1]))
+            at = np.flatnonzero(words.inside(STUTTER))
+            found.append(row[at[same[at + STUTTER - 1] - same[at] == STUTTER - 1]] + _STUTTER)
     keys = np.sort(np.concatenate(found))
     keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
     low, row = (1 << BITS) - 1, keys >> width
