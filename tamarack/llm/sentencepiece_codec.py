@@ -29,7 +29,7 @@ from .sizing import replace_columns
 
 MARK = "▁"
 #: Bytes of text handled at once and words kept between slices.
-_SLICE_BYTES, _KEPT_WORDS = 2 << 20, 300_000
+_SLICE_BYTES, _KEPT_WORDS = 1 << 20, 120_000
 _RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -59,7 +59,7 @@ class Codec:
         self.pieces, self.scores = vocabulary["pieces"], vocabulary["scores"]
         self.byte_ids, self.texts = vocabulary["bytes"], vocabulary["texts"]
         self.longest = max(map(len, self.pieces))
-        self.sound: dict[str, bool] = {}
+        self.sound = {p for p in self.pieces if self.merge(p) == [p]}
         self.follow: dict[str, dict[str, bool]] = {}
         self.marked: dict[str, tuple[int, ...]] = {}
         self.bare: dict[str, tuple[int, ...]] = {}
@@ -78,12 +78,6 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _sound(self, piece: str) -> bool:
-        known = self.sound.get(piece)
-        if known is None:
-            known = self.sound[piece] = self.merge(piece) == [piece]
-        return known
-
     def _may_follow(self, left: str, right: str) -> bool:
         row = self.follow.setdefault(left, {})
         known = row.get(right)
@@ -104,38 +98,39 @@ class Codec:
     def encode_sorted(self, words: list[str]) -> Iterator[tuple[int, ...]]:
         """Ids of sorted words; forward columns of the prefix shared with the word before are used again."""
         column, before = [""], ""
-        pieces, follow, longest = self.pieces, self.follow, self.longest
+        sound, follow, longest, ids = self.sound, self.follow, self.longest, self.pieces
+        nothing: dict[str, bool] = {}
         for word in words:
             if MARK + MARK in word:
                 yield self._ids(self.merge(word))
                 continue
             n, same = len(word), 0
-            for x, y in zip(word, before, strict=False):
-                if x != y:
-                    break
+            most = min(n, len(before))
+            while same < most and word[same] == before[same]:
                 same += 1
             del column[same + 1 :]
             for end in range(same + 1, n + 1):
-                for begin in range(max(0, end - longest), end):
+                for begin in range(end - longest if end > longest else 0, end):
                     piece = word[begin:end]
-                    if piece not in pieces or not self._sound(piece):
-                        continue
-                    if begin == 0:
-                        break
-                    known = follow.get(column[begin], {}).get(piece)
-                    if known is None:
-                        known = self._may_follow(column[begin], piece)
-                    if known:
-                        break
+                    if piece in sound:
+                        if begin == 0:
+                            break
+                        known = follow.get(column[begin], nothing).get(piece)
+                        if known or known is None and self._may_follow(column[begin], piece):
+                            break
                 else:
                     piece = word[end - 1]
                 column.append(piece)
             before, parts, end = word, [], n
             while end:
-                parts.append(column[end])
-                end -= len(column[end])
+                piece = column[end]
+                parts.append(piece)
+                end -= len(piece)
             parts.reverse()
-            yield self._ids(parts)
+            try:
+                yield tuple([ids[p] for p in parts])
+            except KeyError:
+                yield self._ids(parts)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts."""
