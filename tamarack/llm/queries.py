@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontamination import find_contamination
 from .media_columns import load, store, thumbnail_feature
 from .ngram_join import near_duplicates
+from .pii import pseudonymise
 from .quality_classifier import resample
 from .sentencepiece_codec import decode, encode
 from .substring_dedup import remove_repeats
@@ -43,6 +44,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "n_tokens_after", "n_encoded", "n_edits", F.char_length("edited_text").cast("long").alias("n_chars_after"))
 
 
+#: The key that the registered queries permute with; a deployment passes its own secret.
+PII_KEY = "tamarack-demo-key"
+
+
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pseudonymise(docs, PII_KEY)
+    kinds = F.array_join(F.transform("pii", lambda p: p["kind"]), ",")
+    return out.select("doc_id", "text", F.size("pii").alias("n_replaced"), kinds.alias("kinds"))
+
+
 def good_labels(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and toxic = 0").select("doc_id")
 
@@ -98,6 +110,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
