@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import find_contamination
+from .html_extraction import extract
 from .media_columns import load, store, thumbnail_feature
 from .ngram_join import near_duplicates
 from .pii import pseudonymise
 from .quality_classifier import resample
+from .secret_scan import labelled_findings, scan, train
 from .sentencepiece_codec import decode, encode
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -26,6 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = scan(docs, train(labelled_findings(spark)), path_col="source")
+    return found.select("doc_id", "source", "n", F.col("candidate").alias("secret"), "probability")
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def example_edits(text: F.Column) -> F.Column:
     """Three edits spread over a text: an insertion at a quarter, a deletion at the middle, a replacement at three
     quarters (by the text's own first characters)."""
@@ -109,6 +122,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_html_extraction": op2_html_extraction,
     "op3_token_counts": op3_token_counts,
     "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op5_quality_classifier": op5_quality_classifier,
