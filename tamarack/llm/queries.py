@@ -14,7 +14,7 @@ from .ngram_join import near_duplicates
 from .pii import pseudonymise
 from .quality_classifier import resample
 from .secret_scan import labelled_findings, scan, train
-from .sentencepiece_codec import decode, encode
+from .sentencepiece_codec import encode
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 
@@ -116,7 +116,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = f"{TOKENIZERS}/piece_bpe_32k.model"
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), "text")
-    read = decode(encode(docs, model, keep_text=False), model)
+    read = encode(docs, model, keep_text=False, decoded_col="decoded")
     digest = F.sha2(F.col("decoded").cast("binary"), 256)
     return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", digest.alias("decoded_sha256"), (digest == F.col("text_sha256")).alias("same_text"))
 

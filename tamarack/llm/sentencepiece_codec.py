@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a Viterbi pass over shared prefixes.
 
 A text is cut into marked words: a run of U+2581 (spaces) and what follows it up to the next space or line feed. No
-piece crosses such a cut, so each distinct word is encoded once a slice. Distinct words are sorted, which lays them out
+piece crosses such a cut, so each distinct word is encoded once a pass. Distinct words are sorted, which lays them out
 as a trie in depth-first order; the forward column of a prefix (the last piece of its best segmentation) is kept on the
 way down and used again by every word that shares the prefix.
 
@@ -11,33 +11,60 @@ segmentation of the rest: two neighbours may stand together if merging their joi
 That is the model's own result, prefix by prefix. Runs of two or more spaces, whose pieces share one rank, are merged
 directly.
 
-Every row stands alone: no shuffle; the vocabulary (32,000 pieces, a fixed size) is broadcast.
+Every row stands alone: no shuffle; the vocabulary (32,000 pieces, a fixed size) is broadcast. New words are gathered over
+a few MB of texts before they are sorted, as larger tries share more.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .sizing import replace_columns
 
 MARK = "▁"
-#: Bytes of text handled at once and words kept between slices.
-_SLICE_BYTES, _KEPT_WORDS = 1 << 20, 120_000
+#: Characters of text whose new words are sorted together.
+_PASS_CHARS = 6_000_000
+#: Characters of text split and mapped at once.
+_STEP_CHARS = 500_000
 _RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+def merge(text: str, scores: dict[str, float]) -> list[str]:
+    """Pieces of a short text by merging the best-ranked neighbours, leftmost first."""
+    parts = list(text)
+    while len(parts) > 1:
+        best, at = None, -1
+        for i in range(len(parts) - 1):
+            s = scores.get(parts[i] + parts[i + 1])
+            if s is not None and (best is None or s > best):
+                best, at = s, i
+        if at < 0:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+_read: dict[str, dict] = {}
+
+
 def read_vocabulary(model_file: str) -> dict:
-    """Pieces with ids and scores, the ids of bytes, and the bytes of each id. Runs on the driver."""
+    """Pieces with ids and scores, those that merging arrives at, the ids of bytes, and the bytes of each id. Runs on
+    the driver."""
+    if model_file in _read:
+        return _read[model_file]
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    if model.get_piece_size() >= 0xD800:
+        raise ValueError("ids are held as 16-bit characters below the surrogates")
     pieces, scores, byte_ids, texts = {}, {}, [0] * 256, []
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
@@ -49,78 +76,68 @@ def read_vocabulary(model_file: str) -> dict:
         else:
             pieces[piece], scores[piece] = i, model.get_score(i)
             texts.append(piece.encode())
-    return {"pieces": pieces, "scores": scores, "bytes": byte_ids, "texts": texts}
+    sound = {p for p in pieces if merge(p, scores) == [p]}
+    _read[model_file] = {"pieces": pieces, "scores": scores, "sound": sound, "bytes": byte_ids, "texts": texts}
+    return _read[model_file]
 
 
 class Codec:
-    """Encodes words with one vocabulary; keeps what it has learnt about pieces and words."""
+    """Encodes words with one vocabulary; keeps what it has learnt about pieces and words.
+
+    Ids are held as characters of a str (their code points), so that a text's ids are one join.
+    """
 
     def __init__(self, vocabulary: dict):
         self.pieces, self.scores = vocabulary["pieces"], vocabulary["scores"]
         self.byte_ids, self.texts = vocabulary["bytes"], vocabulary["texts"]
-        self.longest = max(map(len, self.pieces))
-        self.sound = {p for p in self.pieces if self.merge(p) == [p]}
+        self.automaton = ahocorasick.Automaton()
+        for p in vocabulary["sound"]:
+            self.automaton.add_word(p, p)
+        self.automaton.make_automaton()
+        self.char = {p: chr(i) for p, i in self.pieces.items()}
         self.follow: dict[str, dict[str, bool]] = {}
-        self.marked: dict[str, tuple[int, ...]] = {}
-        self.bare: dict[str, tuple[int, ...]] = {}
-
-    def merge(self, text: str) -> list[str]:
-        """Pieces of a short text by merging the best-ranked neighbours, leftmost first."""
-        parts, scores = list(text), self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = scores.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        self.marked: dict[str, str] = {}
+        self.bare: dict[str, str] = {}
 
     def _may_follow(self, left: str, right: str) -> bool:
         row = self.follow.setdefault(left, {})
         known = row.get(right)
         if known is None:
-            known = row[right] = left not in self.pieces or right not in self.pieces or self.merge(left + right) == [left, right]
+            known = row[right] = left not in self.pieces or right not in self.pieces or merge(left + right, self.scores) == [left, right]
         return known
 
-    def _ids(self, parts: Iterable[str]) -> tuple[int, ...]:
-        out: list[int] = []
-        for p in parts:
-            i = self.pieces.get(p)
-            if i is not None:
-                out.append(i)
-            else:
-                out.extend(self.byte_ids[b] for b in p.encode())
-        return tuple(out)
+    def _ids(self, parts: Iterable[str]) -> str:
+        return "".join(self.char.get(p) or "".join(chr(self.byte_ids[b]) for b in p.encode()) for p in parts)
 
-    def encode_sorted(self, words: list[str]) -> Iterator[tuple[int, ...]]:
+    def encode_sorted(self, words: list[str]) -> Iterator[str]:
         """Ids of sorted words; forward columns of the prefix shared with the word before are used again."""
         column, before = [""], ""
-        sound, follow, longest, ids = self.sound, self.follow, self.longest, self.pieces
+        follow, char, iter_pieces = self.follow, self.char, self.automaton.iter
         nothing: dict[str, bool] = {}
         for word in words:
             if MARK + MARK in word:
-                yield self._ids(self.merge(word))
+                yield self._ids(merge(word, self.scores))
                 continue
             n, same = len(word), 0
             most = min(n, len(before))
             while same < most and word[same] == before[same]:
                 same += 1
             del column[same + 1 :]
-            for end in range(same + 1, n + 1):
-                for begin in range(end - longest if end > longest else 0, end):
-                    piece = word[begin:end]
-                    if piece in sound:
-                        if begin == 0:
-                            break
-                        known = follow.get(column[begin], nothing).get(piece)
-                        if known or known is None and self._may_follow(column[begin], piece):
-                            break
-                else:
-                    piece = word[end - 1]
+            at = same  # columns are there up to `at`
+            for last, piece in iter_pieces(word):  # by end, longest first
+                if last < at:
+                    continue
+                begin = last + 1 - len(piece)
+                while at < last:  # nothing ended there: a character of its own
+                    column.append(word[at])
+                    at += 1
+                if begin:
+                    known = follow.get(column[begin], nothing).get(piece)
+                    if not known and (known is not None or not self._may_follow(column[begin], piece)):
+                        continue
                 column.append(piece)
+                at += 1
+            column.extend(word[at:])
             before, parts, end = word, [], n
             while end:
                 piece = column[end]
@@ -128,53 +145,54 @@ class Codec:
                 end -= len(piece)
             parts.reverse()
             try:
-                yield tuple([ids[p] for p in parts])
+                yield "".join([char[p] for p in parts])
             except KeyError:
                 yield self._ids(parts)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of whole texts."""
-        split = []
+    @staticmethod
+    def _lines(text: str) -> Iterator[tuple[str, list[str]]]:
+        """A text's lines as (first word, words that have a mark before them); empty ones tell of runs of spaces."""
+        for k, line in enumerate(text.replace(" ", MARK).split("\n")):
+            words = (MARK + line if k == 0 else line).split(MARK)
+            yield words[0], words[1:]
+
+    def learn(self, texts: Iterable[str]) -> None:
+        """Makes the words of the texts the known ones."""
         marked, bare = set(), set()
         for text in texts:
-            lines = []
-            for k, line in enumerate(text.replace(" ", MARK).split("\n")) if text else ():
-                if k == 0:
-                    line = MARK + line
-                words = line.split(MARK)
-                if "" in words[1:]:
-                    words = ["", *_RUNS.findall(line)]
-                    bare.update(words[1:])
-                    lines.append((words, True))
+            for first, rest in self._lines(text) if text else ():
+                if "" in rest:
+                    bare.update(_RUNS.findall(MARK.join([first, *rest])))
                 else:
-                    bare.add(words[0])
-                    marked.update(words[1:])
-                    lines.append((words, False))
-            split.append(lines)
-        if len(self.marked) + len(self.bare) > _KEPT_WORDS:
-            self.marked, self.bare = {}, {}
-        if len(self.follow) > _KEPT_WORDS:
-            self.follow = {}
-        new = sorted(marked.difference(self.marked))
-        self.marked.update(zip(new, self.encode_sorted([MARK + w for w in new]), strict=True))
-        new = sorted(bare.difference(self.bare))
-        self.bare.update(zip(new, self.encode_sorted(new), strict=True))
-        break_line, out = (self.byte_ids[10],), []
-        of_marked, of_bare = self.marked.__getitem__, self.bare.__getitem__
-        for lines in split:
-            ids: list[int] = []
-            for k, (words, runs) in enumerate(lines):
-                if k:
-                    ids.extend(break_line)
-                if runs:
-                    ids.extend(chain.from_iterable(map(of_bare, words[1:])))
-                    continue
-                if words[0]:
-                    ids.extend(of_bare(words[0]))
-                ids.extend(chain.from_iterable(map(of_marked, words[1:])))
-            out.append(ids)
+                    bare.add(first)
+                    marked.update(rest)
+        self.marked = self._learnt(marked, self.marked, MARK)
+        self.bare = self._learnt(bare, self.bare, "")
+
+    def _learnt(self, words: set[str], before: dict[str, str], mark: str) -> dict[str, str]:
+        """Ids of words: those of the pass before are taken over."""
+        out = {w: before[w] for w in words if w in before}
+        new = sorted(words.difference(out))
+        out.update(zip(new, self.encode_sorted([mark + w for w in new]), strict=True))
         return out
 
+    def known(self, text: str) -> str:
+        """Ids of a text whose words are all known."""
+        if not text:
+            return ""
+        marked, bare, lines = self.marked.__getitem__, self.bare.__getitem__, []
+        for first, rest in self._lines(text):
+            if "" in rest:
+                lines.append("".join(map(bare, _RUNS.findall(MARK.join([first, *rest])))))
+            else:
+                lines.append(bare(first) + "".join(map(marked, rest)))
+        return chr(self.byte_ids[10]).join(lines)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts."""
+        self.learn(texts)
+        return [np.frombuffer(self.known(t).encode("utf-16-le"), np.uint16) for t in texts]
+
     def decode(self, ids: Iterable[int]) -> str:
         raw = b"".join(map(self.texts.__getitem__, ids))
         return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
@@ -206,35 +224,50 @@ class _Shared:
         return self.broadcast.value
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    rows = max(1, int(batch.num_rows * _SLICE_BYTES / max(1, batch.column(column).nbytes)))
-    for a in range(0, batch.num_rows, rows):
-        yield batch.slice(a, rows)
+def _spans(lengths: list[int], most: int, begin: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges with at most `most` characters each (one row at least)."""
+    a, total, end = begin, 0, len(lengths) if end is None else end
+    for i in range(begin, end):
+        if total + lengths[i] > most and i > a:
+            yield a, i
+            a, total = i, 0
+        total += lengths[i]
+    if a < end:
+        yield a, end
 
 
-def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """Every row of docs with `ids` (array of int).
+def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep_text: bool = True, decoded_col: str | None = None) -> DataFrame:
+    """Every row of docs with `ids` (array of int) and, if asked for, the text decoded from them in the same pass.
 
     Null and empty texts have no ids. U+2581 in a text reads as a space, as the model has it. Texts of any length are
     encoded whole; words without end too, in time linear in their length. An input column named ids is replaced.
     """
     shared = _Shared(docs.sparkSession, read_vocabulary(model_file))
-    rows = replace_columns(docs, "ids")
+    extra = [decoded_col] if decoded_col else []
+    rows = replace_columns(docs, "ids", *[c for c in extra if c != text_col])
     at = rows.columns.index(text_col)
     kept = [f for f in rows.schema.fields if keep_text or f.name != text_col]
 
     def run(batches):
         codec = _codec(shared)
         for batch in batches:
-            for part in _slices(batch, at):
-                ids = codec.encode([t or "" for t in part.column(at).to_pylist()])
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
-                offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                columns = [part.column(i) for i, n in enumerate(part.schema.names) if keep_text or i != at]
-                yield pa.RecordBatch.from_arrays([*columns, column], names=[*[f.name for f in kept], "ids"])
-
-    return rows.mapInArrow(run, T.StructType(list(kept)).add("ids", T.ArrayType(T.IntegerType())))
+            texts = batch.column(at)
+            lengths = [n or 0 for n in pc.utf8_length(texts).to_pylist()]
+            for a, b in _spans(lengths, _PASS_CHARS):
+                steps = list(_spans(lengths, _STEP_CHARS, a, b))
+                codec.learn(t.as_py() or "" for i, j in steps for t in texts.slice(i, j - i))
+                for i, j in steps:
+                    part = batch.slice(i, j - i)
+                    ids = [codec.known(t or "").encode("utf-16-le") for t in part.column(at).to_pylist()]
+                    flat = np.frombuffer(b"".join(ids), np.uint16)
+                    offsets = np.append(0, np.cumsum([len(x) // 2 for x in ids])).astype(np.int32)
+                    column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
+                    columns = [c for k, c in enumerate(part.columns) if keep_text or k != at]
+                    decoded = [pa.array([codec.decode(np.frombuffer(x, np.uint16).tolist()) for x in ids], pa.string())] if extra else []
+                    yield pa.RecordBatch.from_arrays([*columns, column, *decoded], names=[*[f.name for f in kept], "ids", *extra])
+
+    schema = T.StructType(list(kept)).add("ids", T.ArrayType(T.IntegerType()))
+    return rows.mapInArrow(run, schema.add(decoded_col, "string") if extra else schema)
 
 
 def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids") -> DataFrame:
@@ -247,10 +280,9 @@ def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids") -> DataFra
     def run(batches):
         codec = _codec(shared)
         for batch in batches:
-            for part in _slices(batch, at):
-                column = part.column(at)
-                flat, offsets = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
-                texts = [codec.decode(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            for i, j in _spans([n or 0 for n in pc.list_value_length(batch.column(at)).to_pylist()], _STEP_CHARS):
+                part = batch.slice(i, j - i)
+                texts = [codec.decode(x or ()) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     return rows.mapInArrow(run, T.StructType(list(rows.schema.fields)).add("decoded", "string"))
