@@ -13,8 +13,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text hashed at once: keeps the working arrays of a task near 100 MB.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text hashed at once: keeps the working arrays of a task below 100 MB.
+CHUNK_BYTES = 1 << 19
 
 #: Multipliers of the polynomials (any odd 64-bit numbers).
 BYTE_BASE = 0x9E3779B97F4A7C15
@@ -48,7 +48,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=16)
+@lru_cache(maxsize=8)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64, for i below size."""
     inverse = pow(base, -1, 1 << 64)
@@ -62,7 +62,7 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """As _powers, sizes rounded up to a power of two so that few tables are kept."""
-    return _powers(base, 1 << max(16, (size + 1).bit_length()))
+    return _powers(base, 1 << max(16, size.bit_length()))
 
 
 @lru_cache(maxsize=4)

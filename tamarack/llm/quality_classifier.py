@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrowtext import NON_ALNUM, Words, buffers, chunks, separators
 from .shared import written
@@ -28,6 +29,8 @@ from .sizing import replace_columns
 #: Buckets of each of a model's two hash tables, and of both; blocks in which partitions hand on their counts.
 BITS = 20
 BUCKETS, BLOCK = 2 << BITS, 1 << 15
+#: Bytes of text in the slices that rows are handed on in.
+SLICE_BYTES = 4 << 20
 #: Lengths of word beginnings (bytes) that count as n-grams: they carry what inflected words share.
 PREFIXES = (4, 5)
 #: Labelled rows that the target model is fitted on, at most.
@@ -114,23 +117,28 @@ def fit(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str
     return evidence(raw, target)
 
 
-def log_weights(docs: DataFrame, model: np.ndarray, text_col: str = "text") -> DataFrame:
-    """Every row of docs with log_weight (zero or less; zero for null and empty texts)."""
+def log_weights(docs: DataFrame, model: np.ndarray, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """Every row of docs with log_weight (zero or less; zero for null and empty texts), and its text if that is kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = replace_columns(docs, "log_weight")
     at = rows.columns.index(text_col)
+    kept = [k for k in range(len(rows.columns)) if keep_text or k != at]
+    schema = T.StructType([rows.schema.fields[k] for k in kept]).add("log_weight", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios = shared.value
         for batch in batches:
             data, offsets = buffers(batch.column(at))
-            score = np.zeros(batch.num_rows)
-            for a, b in chunks(offsets):
-                row, one, two = _features(data, offsets, a, b)
-                score[a:b] = np.bincount(row, np.maximum(ratios[one], ratios[two]), b - a)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(score, 4))], names=[*batch.schema.names, "log_weight"])
+            for i, j in chunks(offsets, SLICE_BYTES):  # handed on in slices, so that no whole batch is held twice
+                score = np.zeros(j - i)
+                for a, b in chunks(offsets[i : j + 1]):
+                    row, one, two = _features(data, offsets, i + a, i + b)
+                    score[a:b] = np.bincount(row, np.maximum(ratios[one], ratios[two]), b - a)
+                part = batch.slice(i, j - i)
+                columns = [part.column(k) for k in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.round(score, 4))], names=schema.names)
 
-    return rows.mapInArrow(run, type(rows.schema)(list(rows.schema.fields)).add("log_weight", "double"))
+    return rows.mapInArrow(run, schema)
 
 
 def gumbel(seed: int, *cols) -> F.Column:
@@ -159,8 +167,9 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float | None:
     return low
 
 
-def resample(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, seed: int = 17, sharpness: float = 4.0, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """The rows of docs that a Gumbel top-k draw by importance weight takes, with log_weight and sample_key.
+def resample(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, seed: int = 17, sharpness: float = 4.0, target_rows: int = TARGET_ROWS, keep_text: bool = True) -> DataFrame:
+    """The rows of docs that a Gumbel top-k draw by importance weight takes, with log_weight and sample_key (and without
+    their text unless keep_text).
 
     Weights are raised to the power `sharpness`: the higher it is, the less is left to chance between rows with evidence
     against them and rows without. k defaults to the sum of the weights (each at most one), rounded. Rows with equal sample_key at the limit are all
@@ -174,15 +183,18 @@ def resample(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col:
     else:
         model = fit(rows, good, id_col, text_col, target_rows)
 
-    def keyed(df: DataFrame) -> DataFrame:
-        return log_weights(df, model, text_col).withColumn("sample_key", F.col("log_weight") * sharpness + gumbel(seed, F.col(id_col), F.col(text_col)))
+    noise = gumbel(seed, F.col(id_col), F.col(text_col))
+
+    def keyed(df: DataFrame, keep_text: bool) -> DataFrame:
+        out = log_weights(df.withColumn("_noise", noise), model, text_col, keep_text)
+        return out.withColumn("sample_key", F.col("log_weight") * sharpness + F.col("_noise")).drop("_noise")
 
     slim = rows.select(F.col(id_col), F.col(text_col))
-    keys = written(keyed(slim).select("sample_key", "log_weight"), "weights")
+    keys = written(keyed(slim, False).select("sample_key", "log_weight"), "weights")
     if k is None:
         # rounded before summing: the sum is then the same in any order
         total = keys.select(F.sum(F.round(F.exp(F.col("log_weight") * sharpness), 6).cast("decimal(20,6)")).alias("w")).first().w
         k = int(round(total or 0))
     limit = kth_largest(keys.select("sample_key"), k)
-    out = keyed(rows)
+    out = keyed(rows, keep_text)
     return out.where(F.col("sample_key") >= F.lit(limit)) if limit is not None else out.where(F.lit(k > 0))

@@ -74,7 +74,7 @@ def good_labels(labels: DataFrame) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = resample(docs, good_labels(table(spark, sf_dir, "labels")))
+    kept = resample(docs, good_labels(table(spark, sf_dir, "labels")), keep_text=False)
     return kept.select("doc_id", "log_weight", F.round("sample_key", 6).alias("sample_key"))
 
 
