@@ -102,7 +102,8 @@ def quality_report(text: Column) -> Column:
     Judged on the first 12,000 characters. A text without any non-space character scores 0.
     """
     sample = F.substring(F.coalesce(text, F.lit("")), 1, 12000)
-    n = non_space(sample).cast("double")
+    chars = non_space(sample)
+    n, empty = F.greatest(chars, F.lit(1)).cast("double"), chars == 0
     lao = count_of(r"[຀-໿]", sample)
     latin = count_of("[A-Za-z]", sample)
     mojibake = count_of(MOJIBAKE, sample) / n
@@ -126,13 +127,13 @@ def quality_report(text: Column) -> Column:
         F.lit(1.0) - least(0.70, mojibake * 2.2) - least(0.38, runs * 0.035) - least(0.30, over(symbols, 0.25) * 1.4)
         - F.when(is_lao, lao_part).otherwise(other_part) + least(0.08, markers * 0.01)
     )
-    score = F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
-    zero = lambda x: F.when(n == 0, 0.0).otherwise(x)
+    score = F.when(empty, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+    zero = lambda x: F.when(empty, 0.0).otherwise(x)
     return F.struct(
-        n.cast("long").alias("char_count"), zero(lao / n).alias("lao_ratio"), zero(latin / n).alias("latin_ratio"),
+        chars.cast("long").alias("char_count"), zero(lao / n).alias("lao_ratio"), zero(latin / n).alias("latin_ratio"),
         zero(symbols).alias("symbol_ratio"), zero(mojibake).alias("mojibake_ratio"), runs.alias("symbol_runs"),
         odd.alias("suspicious_latin"), markers.alias("markers"), score.alias("score"),
-        F.when(n == 0, "unknown").when(is_lao, "lo").otherwise("en").alias("language"),
+        F.when(empty, "unknown").when(is_lao, "lo").otherwise("en").alias("language"),
         ((n < 80) | ((score >= 0.58) & (zero(mojibake) <= 0.12))).alias("is_usable"), ((n >= 80) & (score < 0.78)).alias("needs_review"),
     )
 
@@ -143,7 +144,7 @@ _WEIRD = "®©ªº¯½¾¿¡§¦£¥µ±²³´ð−†™‰„"
 def garbled(text: Column) -> Column:
     """Whether a text layer looks like the output of a broken encoding (first 6000 characters)."""
     sample = F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, 6000)
-    n, q = non_space(sample).cast("double"), quality_report(sample)
+    n, q = F.greatest(non_space(sample), F.lit(1)).cast("double"), quality_report(sample)
     odd = count_of(rf"[{_WEIRD}À-ÿ‚„−]", sample) / n
     hyphens = count_of(rf"(?:[A-Za-zÀ-ÿ{_WEIRD}]{{1,6}}-){{2,}}", sample)
     extended = count_of(rf"[A-Za-zÀ-ÿ{_WEIRD}]*[À-ÿ{_WEIRD}][A-Za-zÀ-ÿ{_WEIRD}]*", sample)
