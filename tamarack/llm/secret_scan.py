@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .sizing import replace_columns
 
 #: A run of 16 or more key characters that has a letter and a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}"
 #: Characters kept on either side as neighbouring words.
 BEFORE, AFTER = 48, 32
 
@@ -49,7 +49,7 @@ _OTHER_WORD = r"(?i)(commit|sha-?[0-9]*|md5|checksum|digest|hash|uuid|guid|revis
 _OTHER_AFTER = r"(?i)^\W{0,3}\s*(\.\.\.|example|sample|placeholder|in test|\.(java|py|js|png|jpg|html))"
 _PATH = r"(?i)(^|[/_.-])(tests?|examples?|fixtures?|samples?|docs?|mocks?|lock|sum|min)([/_.-]|$)"
 
-FEATURES = ["length", "transitions", "distinct", "digits", "upper", "hex", "separators", "dictionary", "pairs", "placeholder", "path", "key_word", "assigned", "other_word", "other_after"]
+FEATURES = [f"f_{name}" for name in ("length", "transitions", "distinct", "digits", "upper", "hex", "separators", "dictionary", "pairs", "placeholder", "path", "key_word", "assigned", "other_word", "other_after")]
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -86,21 +86,21 @@ def with_features(findings: DataFrame, path_col: str | None = None) -> DataFrame
 
     return findings.withColumns(
         {
-            "length": F.least(n, F.lit(200.0)),
-            "transitions": share(change),
-            "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(64.0)),
-            "digits": share("[0-9]"),
-            "upper": share("[A-Z]"),
-            "hex": flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
-            "separators": share("[+/_=-]"),
-            "dictionary": cover,
-            "pairs": share(_PAIRS, F.lower(c)),
-            "placeholder": flag(c.rlike(r"(?i)x{4}|(.)\1{4}|01234|12345|abcde|your|here|todo|changeme|example")),
-            "path": flag(F.col(path_col).rlike(_PATH)) if path_col else F.lit(0.0),
-            "key_word": flag(F.col("before").rlike(_KEY_WORD)),
-            "assigned": flag(F.col("before").rlike(_ASSIGNED)),
-            "other_word": flag(F.col("before").rlike(_OTHER_WORD)),
-            "other_after": flag(F.col("after").rlike(_OTHER_AFTER)),
+            "f_length": F.least(n, F.lit(200.0)),
+            "f_transitions": share(change),
+            "f_distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(64.0)),
+            "f_digits": share("[0-9]"),
+            "f_upper": share("[A-Z]"),
+            "f_hex": flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
+            "f_separators": share("[+/_=-]"),
+            "f_dictionary": cover,
+            "f_pairs": share(_PAIRS, F.lower(c)),
+            "f_placeholder": flag(c.rlike(r"(?i)x{4}|(.)\1{4}|01234|12345|abcde|your|here|todo|changeme|example")),
+            "f_path": flag(F.col(path_col).rlike(_PATH)) if path_col else F.lit(0.0),
+            "f_key_word": flag(F.col("before").rlike(_KEY_WORD)),
+            "f_assigned": flag(F.col("before").rlike(_ASSIGNED)),
+            "f_other_word": flag(F.col("before").rlike(_OTHER_WORD)),
+            "f_other_after": flag(F.col("after").rlike(_OTHER_AFTER)),
         }
     )
 
