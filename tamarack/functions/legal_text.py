@@ -81,7 +81,7 @@ def matches_all(words: list[str], token_column: Column) -> Column:
 
 def term_frequency(words: list[str], token_column: Column) -> Column:
     """Our rank of a keyword match: the number of tokens that are query words."""
-    return F.size(F.filter(token_column, lambda t: t.isin(words))) if words else F.lit(0)
+    return F.size(F.filter(token_column, lambda t: t.isin(words))).cast("long") if words else F.lit(0).cast("long")
 
 
 def redact(text: Column) -> tuple[Column, Column, Column]:

@@ -11,7 +11,7 @@ def ranked_top(df: DataFrame, keys: list[Column], limit: int, rank: str) -> Data
     """The first rows in the order of keys with their rank. The limit comes before the rank, so a corpus is never
     windowed whole: TakeOrderedAndProject keeps `limit` rows a task, and only they are numbered."""
     top = df.orderBy(*keys).limit(limit)
-    return top.withColumn(rank, F.row_number().over(W.orderBy(*keys)))
+    return top.withColumn(rank, F.row_number().over(W.orderBy(*keys)).cast("long"))
 
 
 def best_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:

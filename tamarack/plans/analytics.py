@@ -325,7 +325,7 @@ def calls_timeline(spark, sf_dir):
 
 
 @query("""
-SELECT b AS bucket, coalesce(v, 0) AS latency FROM (VALUES (0), (4), (8), (12), (16), (20)) x(b)
+SELECT b::BIGINT AS bucket, coalesce(v, 0) AS latency FROM (VALUES (0), (4), (8), (12), (16), (20)) x(b)
 LEFT JOIN (SELECT hour(ts) // 4 * 4 AS b, round(avg(CASE WHEN value <> 0 THEN value END), 4) AS v FROM events WHERE event_type = 'error' GROUP BY 1) USING (b)""")
 def latency_buckets(spark, sf_dir):
     """Zero-filled mean latency by bucket."""

@@ -58,7 +58,7 @@ SELECT doc_id, n::BIGINT AS char_count, runs AS symbol_runs, round(CASE WHEN n =
 def quality_report(spark, sf_dir):
     """F13."""
     q = _docs(spark, sf_dir).select("doc_id", L.quality_report(F.col("text")).alias("q"))
-    return q.select("doc_id", "q.char_count", "q.symbol_runs", F.round("q.score", 6).alias("score"))
+    return q.select("doc_id", "q.char_count", F.col("q.symbol_runs").cast("long").alias("symbol_runs"), F.round("q.score", 6).alias("score"))
 
 
 @query(r"""
@@ -296,7 +296,7 @@ def confidence_escalation(spark, sf_dir):
     return i.select("id", final.alias("confidence"), (final < 0.7).alias("escalated"))
 
 
-@query("SELECT conv_id, count(*) AS message_count, sum(length(text)) AS n_chars, count(*) FILTER (WHERE role = 'assistant') AS assistant_turns FROM conversations GROUP BY 1")
+@query("SELECT conv_id, count(*) AS message_count, sum(length(text))::BIGINT AS n_chars, count(*) FILTER (WHERE role = 'assistant') AS assistant_turns FROM conversations GROUP BY 1")
 def stream_session_rollup(spark, sf_dir):
     """The trigger-kept counters as a stream over the message table."""
     schema = table(spark, sf_dir, "conversations").schema
