@@ -299,3 +299,9 @@ def test_pipeline(spark):
     clean = {r.doc_id for r, (_, n, _) in zip(rows, brute_contamination([r.text for r in rows], items), strict=True) if not n}
     assert {r.doc_id for r in seen["benchmark_decontamination"].collect()} == clean
     assert {r.doc_id for r in corpus_pipeline.run(spark, f"{DATA}/sf0.01").collect()} == clean
+
+
+def test_names_of_whole_pages_and_headers():
+    page = '<body class="with-sidebar"><div class="site-header">Site</div><main class="has-ads"><article><div class="post-header"><h1>Title</h1></div><p>Text</p><div class="share-bar">Share</div></article></main></body>'
+    assert H.main_text(page, frozenset()) == "Title\nText"
+    assert H.main_text("<p>a<b>&nbsp;b</b>&#32;<i>c</i>", frozenset()) == "a b c"
