@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -11,6 +9,7 @@ from ..functions import kernels as N
 from ..functions import legal_text as L
 from ..operators.graph import expand_seeds, precedent_chain
 from ..operators.scans import insert_missing, update_where, upsert
+from ..shared import new_path
 from ..sources.files import html_links
 from ..streaming.rollups import run_once, session_rollup, sliding_log, tumbling_counts
 from ..tables import CHUNKS_SQL, EDGES_SQL, chunks, edges, table
@@ -300,8 +299,8 @@ def confidence_escalation(spark, sf_dir):
 def stream_session_rollup(spark, sf_dir):
     """The trigger-kept counters as a stream over the message table."""
     schema = table(spark, sf_dir, "conversations").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
-    return run_once(session_rollup(stream), "complete", "stream_session_rollup", tempfile.mkdtemp())
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet*")
+    return run_once(session_rollup(stream), "complete", "stream_session_rollup", new_path(spark, "stream"))
 
 
 @query("""
