@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a folder below the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/tamarack_checkpoints"
+from ..shared import new_path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = new_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
