@@ -32,7 +32,7 @@ BUCKETS, BLOCK = 2 << BITS, 1 << 15
 #: Bytes of text in the slices that rows are handed on in.
 SLICE_BYTES = 4 << 20
 #: Lengths of word beginnings (bytes) that count as n-grams: they carry what inflected words share.
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7, 8)
 #: Labelled rows that the target model is fitted on, at most.
 TARGET_ROWS = 20_000
 LEAST_FACTOR, Z_LIMIT = 6.0, 3.0
