@@ -181,7 +181,7 @@ def near_duplicates(
     similarity: float = 0.8,
     trees: int = 40,
     depth: int = 12,
-    target: float = 0.98,
+    target: float = 0.999,
 ) -> DataFrame:
     """One row for each row of docs: its id, class_id (least id of its class), n_links, and row_key, class_key.
 
