@@ -36,10 +36,10 @@ def point_lookup(spark, sf_dir):
     return table(spark, sf_dir, "customer").where("c_custkey = 42").select("c_custkey", "c_name", "c_mktsegment").limit(1)
 
 
-@query("SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 50 = 0")
+@query("SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def dimension_lookup(spark, sf_dir):
     """Enrichment by a dimension."""
-    facts = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", "o_custkey")
+    facts = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return enrich(facts, table(spark, sf_dir, "customer"), "o_custkey", "c_custkey", ["c_name", "c_mktsegment"])
 
 
@@ -52,10 +52,10 @@ def ilike_multi_column(spark, sf_dir):
 @query("""
 SELECT l_orderkey, l_linenumber, array_to_string(list_filter([
   CASE WHEN NOT (l_discount BETWEEN 0 AND 0.05) THEN 'discount' END, CASE WHEN NOT (l_quantity < 45) THEN 'quantity' END,
-  CASE WHEN NOT (l_returnflag IN ('A', 'N')) THEN 'returnflag' END], lambda x: x IS NOT NULL), ',') AS failed FROM lineitem WHERE l_orderkey % 20 = 0""")
+  CASE WHEN NOT (l_returnflag IN ('A', 'N')) THEN 'returnflag' END], lambda x: x IS NOT NULL), ',') AS failed FROM lineitem""")
 def domain_checks(spark, sf_dir):
     """Rows with the names of the rules they break."""
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", "l_discount", "l_quantity", "l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_quantity", "l_returnflag")
     rules = {"discount": F.col("l_discount").between(0, 0.05), "quantity": F.col("l_quantity") < 45, "returnflag": F.col("l_returnflag").isin("A", "N")}
     return check_domains(rows, rules).select("l_orderkey", "l_linenumber", F.array_join("failed", ",").alias("failed"))
 
@@ -78,15 +78,15 @@ def session_stats(spark, sf_dir):
 @query("""
 SELECT n_nationkey AS tenant_id, n_name AS name, count(DISTINCT c_custkey) AS user_count, count(DISTINCT s_suppkey) AS case_count, count(DISTINCT o_orderkey) AS session_count,
   max(o_orderdate) AS last_session, round(sum(o_totalprice) / 1e6, 2) AS total_cost
-FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 10 = 0 LEFT JOIN supplier ON s_nationkey = n_nationkey
-LEFT JOIN (SELECT o_orderkey, o_orderdate, o_totalprice, c_nationkey AS nk FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 25 = 0) ON nk = n_nationkey GROUP BY 1, 2""")
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey
+LEFT JOIN (SELECT o_orderkey, o_orderdate, o_totalprice, c_nationkey AS nk FROM orders JOIN customer ON c_custkey = o_custkey) ON nk = n_nationkey GROUP BY 1, 2""")
 def tenant_usage_stats(spark, sf_dir):
     """Three independent children of a tenant, aggregated before they are joined."""
     customer = table(spark, sf_dir, "customer")
     tenants = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tenant_id"), F.col("n_name").alias("name"))
-    users = customer.where("c_custkey % 10 = 0").select(F.col("c_nationkey").alias("tenant_id"), F.col("c_custkey").alias("user_id"))
+    users = customer.select(F.col("c_nationkey").alias("tenant_id"), F.col("c_custkey").alias("user_id"))
     cases = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("tenant_id"), F.col("s_suppkey").alias("case_id"))
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 25 = 0").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    orders = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
     sessions = orders.select(F.col("c_nationkey").alias("tenant_id"), F.col("o_orderkey").alias("session_id"), F.col("o_totalprice").alias("cost"), F.col("o_orderdate").alias("created_at"))
     out = A.tenant_usage(tenants, users, cases, sessions)
     return out.withColumn("total_cost", F.round(F.col("total_cost") / 1e6, 2))
@@ -114,18 +114,18 @@ def or_of_semis(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT event_id, 'n' || (json_extract_string(props, '$.k')::INT % 30) AS ref FROM events WHERE event_id % 100 = 0),
+WITH c AS (SELECT event_id, 'n' || (json_extract_string(props, '$.k')::INT % 30) AS ref FROM events),
 m AS (SELECT event_id, ref, 1 AS pri, n_nationkey::BIGINT AS id FROM c JOIN nation ON 'n' || n_nationkey = ref
   UNION ALL SELECT event_id, ref, 2, r_regionkey::BIGINT FROM c JOIN region ON contains(lower(r_name), substr(ref, 1, 1)))
 SELECT event_id, ref, pri, id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY pri, id) AS rn FROM m) WHERE rn = 1""")
 def theta_like_first_match(spark, sf_dir):
     """The first match of a reference, by key before by substring in a small dimension."""
     k = F.get_json_object("props", "$.k").cast("int")
-    refs = _events(spark, sf_dir).where("event_id % 100 = 0").select("event_id", F.concat(F.lit("n"), (k % 30).cast("string")).alias("ref"))
+    refs = _events(spark, sf_dir).select("event_id", F.concat(F.lit("n"), (k % 30).cast("string")).alias("ref"))
     nation = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("ref"), F.lit(1).alias("pri"), F.col("n_nationkey").cast("long").alias("id"))
-    region = table(spark, sf_dir, "region").limit(100)  # a dimension of fixed size
+    region = table(spark, sf_dir, "region")
     found = refs.join(nation, "ref").unionByName(
-        refs.join(F.broadcast(region), F.contains(F.lower("r_name"), F.substring("ref", 1, 1))).select("ref", "event_id", F.lit(2).alias("pri"), F.col("r_regionkey").cast("long").alias("id"))
+        refs.join(region, F.contains(F.lower("r_name"), F.substring("ref", 1, 1))).select("ref", "event_id", F.lit(2).alias("pri"), F.col("r_regionkey").cast("long").alias("id"))
     )
     return found.withColumn("rn", F.row_number().over(W.partitionBy("event_id").orderBy("pri", "id"))).where("rn = 1").select("event_id", "ref", "pri", "id")
 

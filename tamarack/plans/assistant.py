@@ -165,7 +165,7 @@ _HAS = "regexp_matches(t, '{}')"
 
 
 @query("""
-WITH q AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'hello ' WHEN 1 THEN 'please draft ' WHEN 2 THEN 'what should i do, i was cheated' WHEN 3 THEN 'article 5 ' ELSE '' END || CASE WHEN turn % 5 = 2 THEN '' ELSE substr(text, 1, 5) END AS text FROM conversations WHERE role = 'user'),
+WITH q AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'hello ' WHEN 1 THEN 'please draft ' WHEN 2 THEN 'what should i do, i was cheated ' WHEN 3 THEN 'article 5 ' ELSE '' END || text AS text FROM conversations WHERE role = 'user'),
 t AS (SELECT *, lower(trim(text)) AS t FROM q),
 i AS (SELECT *, CASE WHEN regexp_matches(t, 'article|section|law on|statute|decree') THEN 'statute_lookup' WHEN regexp_matches(t, 'right to|rights of|am i entitled') THEN 'rights_explanation'
   WHEN regexp_matches(t, 'draft|write a contract|prepare a letter') THEN 'draft_document' WHEN regexp_matches(t, 'evidence|photo|recording') THEN 'evidence_analysis' WHEN regexp_matches(t, 'this contract|this document|review the') THEN 'document_review'
@@ -178,8 +178,8 @@ SELECT conv_id, turn, issue_type, query_type, query_type NOT IN ('conversation',
   query_type IN ('document_review', 'draft_document') AS use_document, query_type = 'evidence_analysis' AS use_evidence, query_type = 'case_strategy' OR turn > 5 AS use_risk FROM r""")
 def plan_routing(spark, sf_dir):
     """A question table routed and given its agents."""
-    lead = F.when(F.col("turn") % 5 == 0, "hello ").when(F.col("turn") % 5 == 1, "please draft ").when(F.col("turn") % 5 == 2, "what should i do, i was cheated").when(F.col("turn") % 5 == 3, "article 5 ").otherwise("")
-    text = F.concat(lead, F.when(F.col("turn") % 5 == 2, "").otherwise(F.substring("text", 1, 5)))
+    lead = F.when(F.col("turn") % 5 == 0, "hello ").when(F.col("turn") % 5 == 1, "please draft ").when(F.col("turn") % 5 == 2, "what should i do, i was cheated ").when(F.col("turn") % 5 == 3, "article 5 ").otherwise("")
+    text = F.concat(lead, "text")
     rows = _conversations(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", text.alias("text"))
     out = with_agents(route(rows), {"risk": F.col("turn") > 5})
     return out.select("conv_id", "turn", "issue_type", "query_type", "use_rag", "use_research", "use_document", "use_evidence", "use_risk")
@@ -203,13 +203,13 @@ def keyword_relevance(spark, sf_dir):
 
 @query(f"""
 WITH {CHUNKS_SQL.strip()},
-c AS (SELECT event_id AS citation_id, CASE WHEN event_id % 11 = 0 THEN '' ELSE 'ref' || (user_id % 40) END AS ref, CASE WHEN event_id % 3 = 0 THEN event_id % 400 END AS chunk_id FROM events WHERE event_id < 2000)
+c AS (SELECT event_id AS citation_id, CASE WHEN event_id % 11 = 0 THEN '' ELSE 'ref' || (user_id % 40) END AS ref, CASE WHEN event_id % 3 = 0 THEN event_id % 400 END AS chunk_id FROM events)
 SELECT citation_id, c.ref, CASE WHEN c.ref = '' THEN 'REJECTED' WHEN k.chunk_id IS NOT NULL THEN CASE WHEN k.status = 'active' AND k.review_status = 'approved' THEN 'VERIFIED' ELSE 'UNVERIFIED' END
   WHEN n.n_nationkey IS NOT NULL THEN CASE WHEN n.n_nationkey % 2 = 0 THEN 'VERIFIED' ELSE 'OUTDATED' END WHEN s.s_suppkey IS NOT NULL THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS status
 FROM c LEFT JOIN chunks k ON k.chunk_id = c.chunk_id LEFT JOIN nation n ON 'ref' || n.n_nationkey = c.ref LEFT JOIN supplier s ON s.s_suppkey BETWEEN 25 AND 30 AND 'ref' || s.s_suppkey = c.ref""")
 def citation_verification(spark, sf_dir):
     """R18."""
-    e = table(spark, sf_dir, "events").where("event_id < 2000")
+    e = table(spark, sf_dir, "events")
     ref = F.when(F.col("event_id") % 11 == 0, "").otherwise(F.concat(F.lit("ref"), (F.col("user_id") % 40).cast("string")))
     cited = e.select(F.col("event_id").alias("citation_id"), ref.alias("ref"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 400).alias("chunk_id"))
     nation = table(spark, sf_dir, "nation").select(F.concat(F.lit("ref"), F.col("n_nationkey").cast("string")).alias("ref"), F.when(F.col("n_nationkey") % 2 == 0, "active").otherwise("repealed").alias("status"))
@@ -218,17 +218,17 @@ def citation_verification(spark, sf_dir):
 
 
 @query("""
-SELECT id, event, strftime(day, '%Y-%m-%d') AS day, type FROM (SELECT 'e' || event_id AS id, event_type AS event, ts::DATE AS day, 'event' AS type FROM events WHERE event_id % 200 = 0
-  UNION ALL SELECT 'o' || o_orderkey, o_orderstatus, o_orderdate::DATE, 'session' FROM orders WHERE o_orderkey % 500 = 0
-  UNION ALL SELECT 'e' || event_id, 'IRAC analysis', ts::DATE, 'query' FROM events WHERE event_id % 300 = 0 AND event_id % 200 <> 0)""")
+SELECT id, event, strftime(day, '%Y-%m-%d') AS day, type FROM (SELECT 'e' || event_id AS id, event_type AS event, ts::DATE AS day, 'event' AS type FROM events WHERE event_type <> 'view'
+  UNION ALL SELECT 'o' || o_orderkey, o_orderstatus, o_orderdate::DATE, 'session' FROM orders
+  UNION ALL SELECT 'e' || event_id, 'IRAC analysis', ts::DATE, 'query' FROM events WHERE event_type = 'view')""")
 def case_timeline(spark, sf_dir):
     """Union of three histories, the last without what the others have."""
     e, o = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders")
     shape = lambda df, id_, event, day, kind: df.select(id_.alias("id"), event.alias("event"), day.cast("date").alias("day"), F.lit(kind).alias("type"))
     key = F.concat(F.lit("e"), F.col("event_id").cast("string"))
-    events = shape(e.where("event_id % 200 = 0"), key, F.col("event_type"), F.col("ts"), "event")
-    sessions = shape(o.where("o_orderkey % 500 = 0"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), F.col("o_orderstatus"), F.col("o_orderdate"), "session")
-    out = timeline(events, sessions, shape(e.where("event_id % 300 = 0"), key, F.lit("IRAC analysis"), F.col("ts"), "query"))
+    events = shape(e.where("event_type <> 'view'"), key, F.col("event_type"), F.col("ts"), "event")
+    sessions = shape(o, F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), F.col("o_orderstatus"), F.col("o_orderdate"), "session")
+    out = timeline(events, sessions, shape(e, key, F.lit("IRAC analysis"), F.col("ts"), "query"))
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
@@ -264,10 +264,10 @@ def time_ago_labels(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, CASE WHEN length(k) <= 8 THEN 'Configured' ELSE substr(k, 1, 3) || '****' || right(k, 4) END AS masked FROM (SELECT event_id, event_type || event_id AS k FROM events WHERE event_id % 10 = 0)""")
+SELECT event_id, CASE WHEN length(k) <= 8 THEN 'Configured' ELSE substr(k, 1, 3) || '****' || right(k, 4) END AS masked FROM (SELECT event_id, event_type || event_id AS k FROM events)""")
 def masked_secrets(spark, sf_dir):
     """F24."""
-    e = table(spark, sf_dir, "events").where("event_id % 10 = 0")
+    e = table(spark, sf_dir, "events")
     return e.select("event_id", mask_secret(F.concat("event_type", F.col("event_id").cast("string"))).alias("masked"))
 
 
