@@ -25,10 +25,22 @@ KINDS: dict[str, str] = {
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+1[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]|\([0-9]{3}\) ?[0-9]{3}[ .-]|[0-9]{3}[.-][0-9]{3}[.-])[0-9]{4}(?![0-9-])",
 }
-_ANY = "|".join(KINDS.values())
+#: A run of 13 or more digits, up to a space before a candidate of another kind: cards, with what stands beside them.
+KINDS["card"] = rf"(?<![0-9])[0-9](?:(?:-| (?!{'|'.join(KINDS.values())}))?[0-9]){{12,}}+"
+#: Digits and spaces alone are a phone where they are no card.
+_SPACED = r"(?<![0-9+])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"
+_ANY = "|".join([*KINDS.values(), _SPACED])
+#: How cards are written in a run with neighbours, longest first: unseparated, or these groups with one separator.
+_GROUPS = ((4, 4, 4, 4, 3), (6, 13), (4, 4, 4, 4), (4, 6, 5), (4, 5, 6), (4, 6, 4), (4, 4, 4, 1), (4, 3, 3, 3))
+_LAYOUTS = [sep.join(f"[0-9]{{{n}}}" for n in groups) for groups in _GROUPS for sep in "- "]
+_CARD_AT = [rf"^({x})(?![0-9])" for x in ["[0-9]{13,19}", *_LAYOUTS]]
+_PHONE_AT = r"^([0-9]{3}[ -][0-9]{3}[ -][0-9]{4})(?![0-9-])"
+#: From each group of a run on, as much as a card may take and the character after it.
+_VIEWS = r"(?=([0-9 -]{1,39}))[0-9]+[ -]?"
+#: So often a run is permuted at most until it reads the same way: each time fails for about one in ten.
+_WALK = 40
 #: First and last day that dates are permuted among: 17 * 4297 days.
 _FIRST_DAY, _DAYS = "1900-01-01", (17, 4297)
 
@@ -125,7 +137,69 @@ def _card(x: Column, key: str, undo: bool) -> Column:
     body = F.substr(_digits(x), F.lit(1), F.char_length(_digits(x)) - 1)
     new = permute_text(body, key, "card", undo)
     check = F.pmod(-luhn_sum(F.concat(new, F.lit("0"))), F.lit(10)).cast("string")
-    return F.when(F.pmod(luhn_sum(_digits(x)), F.lit(10)) == 0, _into_format(x, F.concat(new, check)))
+    return _into_format(x, F.concat(new, check))
+
+
+def _right_sum(x: Column) -> Column:
+    return F.pmod(luhn_sum(_digits(x)), F.lit(10)) == 0
+
+
+def _parts(x: Column) -> Column:
+    """(at, n, kind) of the cards and phones in a run of digits: the whole run if it is a card, else at each group, from
+    the left, the longest layout whose check digit is right, or a phone."""
+
+    def found(view: Column) -> Column:
+        cards = F.filter(F.array(*[F.regexp_extract(view, layout, 1) for layout in _CARD_AT]), lambda m: (m != "") & _right_sum(m))
+        cards = F.transform(cards, lambda m: F.struct(F.char_length(m).alias("n"), F.lit("card").alias("kind")))
+        phone = F.when(view.rlike(_PHONE_AT), F.struct(F.char_length(F.regexp_extract(view, _PHONE_AT, 1)).alias("n"), F.lit("phone").alias("kind")))
+        return F.coalesce(F.when(view.rlike("|".join(_CARD_AT)), F.get(cards, F.lit(0))), phone)
+
+    def step(acc: Column, g: Column) -> Column:
+        hit = F.when(acc["at"] >= acc["free"], g["hit"])
+        return F.struct(
+            (acc["at"] + g["n"]).alias("at"),
+            F.when(hit.isNotNull(), acc["at"] + hit["n"]).otherwise(acc["free"]).alias("free"),
+            F.when(hit.isNotNull(), F.concat(acc["parts"], F.array(F.struct(acc["at"].alias("at"), hit["n"].alias("n"), hit["kind"].alias("kind"))))).otherwise(acc["parts"]).alias("parts"),
+        )
+
+    groups = F.zip_with(
+        F.regexp_extract_all(x, F.lit(_VIEWS), F.lit(1)), F.regexp_extract_all(x, F.lit(_VIEWS), F.lit(0)),
+        lambda view, group: F.struct(found(view).alias("hit"), F.char_length(group).alias("n")),
+    )
+    none = F.array().cast("array<struct<at:int,n:int,kind:string>>")
+    start = F.struct(F.lit(1).alias("at"), F.lit(1).alias("free"), none.alias("parts"))
+    whole = F.array(F.struct(F.lit(1).alias("at"), F.char_length(x).alias("n"), F.lit("card").alias("kind")))
+    is_card = (F.char_length(_digits(x)) <= 19) & _right_sum(x)
+    return F.when(is_card, whole).otherwise(F.aggregate(groups, start, step, lambda acc: acc["parts"]))
+
+
+def _run(x: Column, key: str, undo: bool) -> Column:
+    """(y, pii) of a run of digits: y with its parts replaced (null if it has none), and each part's kind and pseudonym.
+
+    The parts must be found again to be undone. Where a neighbour would by chance be read as part of a card, all parts are
+    permuted again until the run reads as before (so the number's pseudonym is then another one than elsewhere)."""
+
+    def replaced(v: Column, parts: Column) -> Column:
+        def put(acc: Column, p: Column) -> Column:
+            old = F.substr(v, p["at"], p["n"])
+            new = F.when(p["kind"] == "card", _card(old, key, undo)).otherwise(_phone(old, key, undo))
+            return F.struct(F.concat(acc["out"], F.substr(v, acc["at"], p["at"] - acc["at"]), new).alias("out"), (p["at"] + p["n"]).alias("at"))
+
+        start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+        return F.aggregate(parts, start, put, lambda acc: F.concat(acc["out"], F.substr(v, acc["at"])))
+
+    def walk(acc: Column, _: Column) -> Column:
+        same = F.coalesce(acc["found"] == acc["parts"], F.lit(False))
+        y = F.when(same, acc["y"]).otherwise(replaced(acc["y"], acc["parts"]))
+        return F.transform(F.array(y), lambda y: F.struct(y.alias("y"), acc["parts"].alias("parts"), F.when(same, acc["found"]).otherwise(_parts(y)).alias("found")))[0]
+
+    def told(acc: Column) -> Column:
+        each = F.transform(acc["parts"], lambda p: F.struct(p["kind"].alias("kind"), F.substr(acc["y"], p["at"], p["n"]).alias("pseudonym")))
+        return F.when(F.size(acc["parts"]) > 0, F.struct(acc["y"].alias("y"), each.alias("pii")))
+
+    unknown = F.lit(None).cast("array<struct<at:int,n:int,kind:string>>")
+    return F.transform(F.array(_parts(x)), lambda parts: F.when(F.size(parts) > 0, F.aggregate(
+        F.sequence(F.lit(1), F.lit(_WALK)), F.struct(x.alias("y"), parts.alias("parts"), unknown.alias("found")), walk, told)))[0]
 
 
 def _ipv4(x: Column, key: str, undo: bool) -> Column:
@@ -152,9 +226,16 @@ def _phone(x: Column, key: str, undo: bool) -> Column:
 
 
 def _ssn(x: Column, key: str, undo: bool) -> Column:
-    area, group, serial = (F.substring(x, a, n) for a, n in ((1, 3), (5, 2), (8, 4)))
-    issued = (area != "000") & (area != "666") & (area < "900") & (group != "00") & (serial != "0000")
-    return F.when(issued | F.lit(undo), permute_text(x, key, "ssn", undo))
+    """Permuted among the numbers that can be issued: one that can't is permuted again."""
+
+    def issued(v: Column) -> Column:
+        area, group, serial = (F.substring(v, a, n) for a, n in ((1, 3), (5, 2), (8, 4)))
+        return (area != "000") & (area != "666") & (area < "900") & (group != "00") & (serial != "0000")
+
+    def walk(v: Column, _: Column) -> Column:
+        return F.when(issued(v), v).otherwise(permute_text(v, key, "ssn", undo))
+
+    return F.when(issued(x), F.aggregate(F.sequence(F.lit(2), F.lit(_WALK)), permute_text(x, key, "ssn", undo), walk))
 
 
 def _email(x: Column, key: str, undo: bool) -> Column:
@@ -165,7 +246,7 @@ def _email(x: Column, key: str, undo: bool) -> Column:
 
 
 _FORMS: dict[str, Callable[[Column, str, bool], Column]] = {
-    "email": _email, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card,
+    "email": _email, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "phone": _phone,
 }
 
 
@@ -176,36 +257,41 @@ def kind_of(x: Column) -> Column:
         "ipv4": x.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"),
         "date": x.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
         "ssn": x.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
-        "phone": x.rlike(r"^(\+1[ .-]?)?(\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}$"),
-        "card": x.rlike(r"^[0-9]([ -]?[0-9]){12,18}$"),
+        "phone": x.rlike(r"^(\+1[ .-]?)?(\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$"),
+        "card": x.rlike(r"^[0-9]([ -]?[0-9]){12,}+$"),
     }
     return F.coalesce(*[F.when(test, F.lit(kind)) for kind, test in look.items()])
 
 
 def pseudonym(x: Column, key: str, undo: bool = False) -> Column:
-    """The pseudonym of a candidate; null if it isn't valid."""
-    kind = kind_of(x)
-    return F.coalesce(*[F.when(kind == k, form(x, key, undo)) for k, form in _FORMS.items()])
+    """(y, pii) of a candidate: what replaces it, and the kind and pseudonym of each value in it; null if none is valid."""
+
+    def alone(k: str, y: Column) -> Column:
+        return F.transform(F.array(y), lambda y: F.when(y.isNotNull(), F.struct(y.alias("y"), F.array(F.struct(F.lit(k).alias("kind"), y.alias("pseudonym"))).alias("pii"))))[0]
+
+    return F.transform(F.array(kind_of(x)), lambda kind: F.coalesce(
+        F.when(kind == "card", _run(x, key, undo)), *[F.when(kind == k, alone(k, form(x, key, undo))) for k, form in _FORMS.items()]))[0]
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", undo: bool = False) -> DataFrame:
     """Every row of docs with its text's PII replaced, and pii: for each replaced value, in order, (kind, pseudonym).
 
     Kinds: e-mail addresses, IPv4 addresses, dates (1900 to 2099), US social security numbers, North American phone
-    numbers, and card numbers of 13 to 19 digits with a right check digit. Candidates that fail validation stay as they
-    are. With undo the same key gives the values back (what was changed must still be found: the formats are kept).
+    numbers, and card numbers of 13 to 19 digits with a right check digit (beside other digits: those written unseparated
+    or in the groups of a known layout). Candidates that fail validation stay as they are. With undo the same key gives
+    the values back (what was changed must still be found: the formats are kept).
 
     Null texts stay null, with no pii; empty and repeated rows are no special case. An input column named pii is
     replaced.
     """
     rows = replace_columns(docs, "pii")
     text = F.col(text_col)
-    found = F.transform(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), lambda x: F.struct(x.alias("x"), kind_of(x).alias("kind"), pseudonym(x, key, undo).alias("y")))
+    found = F.transform(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), lambda x: F.struct(x.alias("x"), pseudonym(x, key, undo).alias("new")))
     rows = rows.withColumn("_found", F.when(text.rlike(_ANY), found))
     between = F.split(text, _ANY, -1)
-    pieces = F.zip_with(between, F.col("_found"), lambda a, f: F.concat(a, F.coalesce(f["y"], f["x"], F.lit(""))))
-    replaced = F.filter("_found", lambda f: f["y"].isNotNull())
-    pii = F.transform(replaced, lambda f: F.struct(f["kind"].alias("kind"), f["y"].alias("pseudonym")))
+    pieces = F.zip_with(between, F.col("_found"), lambda a, f: F.concat(a, F.coalesce(f["new"]["y"], f["x"], F.lit(""))))
+    replaced = F.filter("_found", lambda f: f["new"].isNotNull())
+    pii = F.flatten(F.transform(replaced, lambda f: f["new"]["pii"]))
     empty = F.array().cast("array<struct<kind:string,pseudonym:string>>")
     new_text = F.when(F.col("_found").isNull(), text).otherwise(F.array_join(pieces, ""))
     out = [new_text.alias(c) if c == text_col else F.col(c) for c in rows.columns if c != "_found"]

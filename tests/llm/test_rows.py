@@ -179,6 +179,29 @@ def test_pseudonyms(spark):
 LONG_PII = "x y.z@example.org " * 2000
 
 
+def test_cards_and_phones_beside_other_digits(spark):
+    card, dashed = "4111 1111 1111 1111", "4111-1111-1111-1111"
+    texts = [f"{card} 12/27", f"123 {card}", f"{dashed} 737", f"{card} 737", f"1234 {card}", f"{card} 2024-02-29", f"{card} 5500 0000 0000 0004 99", "12345 3782 822463 10005", f"{card} 555.123.4567"]
+    phones = ["555 123 4567", "+1 555 123 4567", "(555) 123 4567", "123 555-123-4567"]
+    keep = ["1 2 3 " * 2000, "1" * 50000, "1234 5678 9012 3456 12/27"]
+    kinds = [["card"]] * 5 + [["card", "date"], ["card", "card"], ["card"], ["card", "phone"]] + [["phone"]] * 4 + [[]] * 3
+    df = docs_of(spark, texts + phones + keep)
+    out = pii.pseudonymise(df, "k").localCheckpoint()
+    rows = {r.doc_id: r for r in out.collect()}
+    assert [[p.kind for p in rows[i].pii] for i in range(len(kinds))] == kinds
+    for i, t in enumerate(texts + phones):
+        assert not any(secret in rows[i].text for secret in (card, dashed, "5500 0000 0000 0004", "3782 822463 10005", "123 4567", "123-4567")), t
+        assert re.sub("[0-9]", "9", rows[i].text) == re.sub("[0-9]", "9", t)
+        assert all(p.pseudonym in rows[i].text for p in rows[i].pii)
+    assert [rows[i].text for i in range(len(texts + phones), len(kinds))] == keep
+    back = pii.pseudonymise(out, "k", undo=True)
+    assert {r.doc_id: r.text for r in back.collect()} == dict(enumerate(texts + phones + keep))
+    many = docs_of(spark, [f"{i:03} {card} {i:04} {i * 7919 % 10000:04}" for i in range(100)])  # some neighbours make cards by chance
+    there = pii.pseudonymise(many, "k").localCheckpoint()
+    assert there.where("size(pii) = 0 or contains(text, '1111 1111 1111')").count() == 0
+    assert pii.pseudonymise(there, "k", undo=True).select("doc_id", "text").exceptAll(many).count() == 0
+
+
 def test_number_permutation(spark):
     n = 17 * 4297
     x = spark.range(n).select("id", pii.permute_number(F.col("id"), 17, 4297, "k", "date").alias("y"))
