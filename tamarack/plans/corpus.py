@@ -11,7 +11,7 @@ from ..operators.graph import expand_seeds, precedent_chain
 from ..operators.scans import insert_missing, update_where, upsert
 from ..shared import new_path
 from ..sources.files import html_links
-from ..streaming.rollups import run_once, session_rollup, sliding_log, tumbling_counts
+from ..streaming.rollups import run_once, session_rollup, sliding_log_sorted, tumbling_counts
 from ..tables import CHUNKS_SQL, EDGES_SQL, chunks, edges, table
 from .registry import query
 
@@ -317,5 +317,6 @@ def rate_limit_sliding_log(spark, sf_dir):
     """K8: at most 2 requests a user in any 6 hours; denied ones aren't logged."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     rows = e.select(F.col("user_id"), F.col("event_id").alias("id"), (F.col("us") / 1e6).alias("s"))
-    out = rows.groupBy("user_id").applyInPandas(sliding_log(2, 6 * 3600), "user_id long, id long, s double, allowed boolean")
+    dealt = rows.repartition("user_id").sortWithinPartitions("user_id", "s", "id")
+    out = dealt.mapInArrow(sliding_log_sorted(2, 6 * 3600), "user_id long, id long, s double, allowed boolean")
     return out.select("user_id", F.col("id").alias("event_id"), "allowed")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,30 @@ def sliding_log(limit: int, width: int) -> Callable:
     return decide
 
 
+def sliding_log_sorted(limit: int, width: int) -> Callable:
+    """The same for mapInArrow over (user_id, id, s), of which each partition is sorted by all three: what is kept from
+    batch to batch is one user and the times allowed in the window, whatever the number of the user's requests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, log = object(), deque()
+        for batch in batches:
+            out = []
+            for u, s in zip(batch.column("user_id").to_pylist(), batch.column("s").to_pylist(), strict=True):
+                if u != user:
+                    user, log = u, deque()
+                if s is None:  # no time is in no window
+                    out.append(True)
+                    continue
+                while log and log[0] <= s - width:
+                    log.popleft()
+                out.append(len(log) < limit)
+                if out[-1]:
+                    log.append(s)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*batch.schema.names, "allowed"])
+
+    return run
+
+
 def sliding_log_state(limit: int, width: int) -> Callable:
     """The same for applyInPandasWithState: the allowed times of a key are its state."""
 

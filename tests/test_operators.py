@@ -1,13 +1,16 @@
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tamarack.operators.aggregates import nearest_rank, rejection_flags, session_stats, tenant_usage
 from tamarack.operators.graph import precedent_chain
 from tamarack.operators.scans import first_truthy, secure, upsert
 from tamarack.operators.windows import best_per_key, merged_per_key
+from tamarack.plans import corpus
 from tamarack.sources.files import docx_paragraphs, mime_of, read_cases, read_documents
-from tamarack.streaming.rollups import run_once, sliding_log, sliding_log_state
+from tamarack.streaming.rollups import run_once, sliding_log, sliding_log_sorted, sliding_log_state
 from tamarack.tables import conform
+from tests.conftest import DATA
 
 
 def test_chain_with_cycles(spark):
@@ -97,3 +100,21 @@ def test_sliding_log_as_stream(spark, tmp_path):
     out = stream.groupBy("key").applyInPandasWithState(sliding_log_state(2, 60), "key string, id long, allowed boolean", "log array<double>", "append", "NoTimeout")
     got = {r.id: r.allowed for r in run_once(out, "append", "sliding", str(tmp_path / "cp")).collect()}
     assert got == {0: True, 1: True, 2: False, 3: True, 4: True, 5: True}
+
+
+def test_sliding_log_over_batches(spark):
+    rows = pd.DataFrame([(i % 7 % 3, i, float(i * 37 % 500)) for i in range(400)], columns=["user_id", "id", "s"])
+    want = pd.concat([sliding_log(2, 60)(g) for _, g in rows.groupby("user_id")]).set_index("id")["allowed"].to_dict()
+    batches = pa.Table.from_pandas(rows.sort_values(["user_id", "s", "id"]), preserve_index=False).to_batches(max_chunksize=7)
+    out = list(sliding_log_sorted(2, 60)(iter(batches)))
+    assert [b.num_rows for b in out] == [b.num_rows for b in batches]  # no user's rows are gathered
+    got = {r["id"]: r["allowed"] for b in out for r in b.to_pylist()}
+    assert got == want and 0 < sum(got.values()) < 400
+
+
+def test_sliding_log_query_gathers_no_user(spark):
+    out = corpus.rate_limit_sliding_log(spark, f"{DATA}/sf0.001")
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    e = spark.read.parquet(f"{DATA}/sf0.001/events.parquet").select("user_id", F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s")).toPandas()
+    want = {i: a for _, g in e.groupby("user_id") for i, a in zip(*sliding_log(2, 6 * 3600)(g)[["id", "allowed"]].to_numpy().T)}
+    assert {r.event_id: r.allowed for r in out.collect()} == want
