@@ -11,7 +11,7 @@ from ..operators.graph import expand_seeds, precedent_chain
 from ..operators.scans import insert_missing, update_where, upsert
 from ..shared import new_path
 from ..sources.files import html_links
-from ..streaming.rollups import run_once, session_rollup, sliding_log_sorted, tumbling_counts
+from ..streaming.rollups import run_to_files, session_rollup, sliding_log_sorted, tumbling_counts
 from ..tables import CHUNKS_SQL, EDGES_SQL, chunks, edges, table
 from .registry import query
 
@@ -300,7 +300,7 @@ def stream_session_rollup(spark, sf_dir):
     """The trigger-kept counters as a stream over the message table."""
     schema = table(spark, sf_dir, "conversations").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet*")
-    return run_once(session_rollup(stream), "complete", "stream_session_rollup", new_path(spark, "stream"))
+    return run_to_files(session_rollup(stream), new_path(spark, "rollup"), new_path(spark, "stream"))
 
 
 @query("""

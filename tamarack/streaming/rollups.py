@@ -98,3 +98,22 @@ def run_once(stream: DataFrame, mode: str, name: str, checkpoint: str | None = N
     finally:
         query.stop()
     return stream.sparkSession.table(name)
+
+
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All available input through a streaming query in complete mode; the result is written by executors as Parquet
+    below path, a folder for each batch, and the last one is read again."""
+    last: list[str] = []
+
+    def put(batch: DataFrame, i: int) -> None:
+        folder = f"{path}/batch-{i}"
+        batch.write.mode("overwrite").parquet(folder)
+        last[:] = [folder]
+
+    query = stream.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(last[0]) if last else spark.createDataFrame([], stream.schema)

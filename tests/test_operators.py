@@ -8,7 +8,7 @@ from tamarack.operators.scans import first_truthy, secure, upsert
 from tamarack.operators.windows import best_per_key, merged_per_key
 from tamarack.plans import corpus
 from tamarack.sources.files import docx_paragraphs, mime_of, read_cases, read_documents
-from tamarack.streaming.rollups import run_once, sliding_log, sliding_log_sorted, sliding_log_state
+from tamarack.streaming.rollups import run_once, run_to_files, session_rollup, sliding_log, sliding_log_sorted, sliding_log_state
 from tamarack.tables import conform
 from tests.conftest import DATA
 
@@ -118,3 +118,18 @@ def test_sliding_log_query_gathers_no_user(spark):
     e = spark.read.parquet(f"{DATA}/sf0.001/events.parquet").select("user_id", F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s")).toPandas()
     want = {i: a for _, g in e.groupby("user_id") for i, a in zip(*sliding_log(2, 6 * 3600)(g)[["id", "allowed"]].to_numpy().T)}
     assert {r.event_id: r.allowed for r in out.collect()} == want
+
+
+def test_session_rollup_stays_off_the_driver(spark):
+    out = corpus.stream_session_rollup(spark, f"{DATA}/sf0.001")
+    assert out.inputFiles() and all(f.endswith(".parquet") for f in out.inputFiles())  # a memory sink has none
+    want = session_rollup(spark.read.parquet(f"{DATA}/sf0.001/conversations.parquet"))
+    assert out.count() == want.count() and out.exceptAll(want).count() == 0
+
+
+def test_rollup_of_several_batches(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x", "user"), ("b", "yy", "assistant"), ("a", "zzz", "assistant")], "conv_id string, text string, role string")
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run_to_files(session_rollup(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted(got.collect()) == [("a", 2, 4, 1), ("b", 1, 2, 1)]
