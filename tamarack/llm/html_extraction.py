@@ -55,6 +55,10 @@ _ASIDE_WORDS = re.compile(
 #: Headers are left out around an article, not in it; what holds the whole page is judged by no name.
 _HEADER_WORDS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 _WHOLE = frozenset(("html", "body", "main"))
+#: Names that tell of a page's state, not of what an element is.
+_STATES = re.compile(r"(?<!\S)(?:(?:with|without|no|has)[_-]\S+|\S+[_-](?:open|closed))(?!\S)", re.I)
+#: A name excludes no element with paragraphs that holds such a share of a page's text.
+NAMED_SHARE = 0.9
 
 
 class Page:
@@ -63,7 +67,10 @@ class Page:
     def __init__(self, source: str):
         self.texts: list[tuple[str, str, int, bool, bool]] = []
         self.tags: Counter[str] = Counter()
-        stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        # of each element: tag, path, aside by tag?, in article?, the elements around it whose names say aside
+        stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = [("", "", False, False, ())]
+        chains: list[tuple[int, ...]] = []
+        n_named, with_article, with_paragraph = 0, set(), set()
         block, at = 0, 0
 
         def text(raw: str) -> None:
@@ -71,8 +78,9 @@ class Page:
                 decoded = html.unescape(raw)
                 words = " ".join(decoded.split())
                 edges = (" " if decoded[:1].isspace() else "") + words + (" " if decoded[-1:].isspace() and words else "")
-                _, path, aside, article = stack[-1]
+                _, path, aside, article, chain = stack[-1]
                 self.texts.append((path, edges or " ", block, aside, article))
+                chains.append(chain)
 
         for m in _PIECE.finditer(source):
             text(source[at : m.start()])
@@ -84,6 +92,7 @@ class Page:
                 block += 1
             elif name == "br":
                 self.texts.append((stack[-1][1], " ", block, stack[-1][2], stack[-1][3]))
+                chains.append(stack[-1][4])
             if closing:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
@@ -102,11 +111,37 @@ class Page:
             path = f"{stack[-1][1]}/{name}" + (f".{names}" if names else "")
             self.tags[path] += 1
             inside = stack[-1][3]
-            named = names and name not in _WHOLE and (_ASIDE_WORDS.search(names) or not inside and _HEADER_WORDS.search(names))
-            aside = stack[-1][2] or name in _ASIDE_TAGS or (name == "header" and not inside) or bool(named or _HIDDEN.search(attributes))
+            said = _STATES.sub(" ", names)
+            named = said and name not in _WHOLE and (_ASIDE_WORDS.search(said) or not inside and _HEADER_WORDS.search(said))
+            aside = stack[-1][2] or name in _ASIDE_TAGS or (name == "header" and not inside) or bool(_HIDDEN.search(attributes))
             if name not in VOID and not attributes.endswith("/"):
-                stack.append((name, path, aside, inside or name in ("article", "main")))
+                chain = (*stack[-1][4], n_named) if named else stack[-1][4]
+                n_named += bool(named)
+                if name in ("article", "main") and not inside and not aside:
+                    with_article.update(chain)
+                elif name in ("p", "h1"):
+                    with_paragraph.update(chain)
+                stack.append((name, path, aside, inside or name in ("article", "main"), chain))
         text(source[at:])
+        if n_named:
+            kept = self._kept(chains, with_article, with_paragraph)
+            self.texts = [(p, t, b, aside or not kept.issuperset(chain), inside) for (p, t, b, aside, inside), chain in zip(self.texts, chains, strict=True)]
+
+    def _kept(self, chains: list[tuple[int, ...]], with_article: set[int], with_paragraph: set[int]) -> set[int]:
+        """The elements that are kept though their names say aside: those with nearly all text, and those around or on
+        articles with half of the articles' text, or all of these if no other article is left."""
+        total = articles = free = 0
+        weight, in_articles = Counter(), Counter()
+        for (_, t, _, aside, inside), chain in zip(self.texts, chains, strict=True):
+            n = 0 if aside else len(t.strip())
+            total += n
+            weight.update(dict.fromkeys(chain, n))
+            if inside:
+                articles += n
+                in_articles.update(dict.fromkeys(chain, n))
+                free += 0 if chain else n
+        kept = {i for i in with_paragraph if weight[i] and weight[i] >= NAMED_SHARE * total}
+        return kept | {i for i in with_article if not free or 2 * in_articles[i] >= articles}
 
 
 def token(*parts: str) -> int:

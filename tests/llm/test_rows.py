@@ -328,3 +328,15 @@ def test_names_of_whole_pages_and_headers():
     page = '<body class="with-sidebar"><div class="site-header">Site</div><main class="has-ads"><article><div class="post-header"><h1>Title</h1></div><p>Text</p><div class="share-bar">Share</div></article></main></body>'
     assert H.main_text(page, frozenset()) == "Title\nText"
     assert H.main_text("<p>a<b>&nbsp;b</b>&#32;<i>c</i>", frozenset()) == "a b c"
+
+
+def test_names_do_not_drop_articles():
+    article = "<article{}><h1>Title</h1><p>Text of it</p></article>"
+    for wrapper in ("layout with-sidebar", "no-sidebar", "related work", "has-ads page"):
+        assert H.main_text(f'<div class="{wrapper}">{article.format("")}</div>', frozenset()) == "Title\nText of it"
+    assert H.main_text('<div id="related-work">' + article.format(' class="post comments-open"') + "</div>", frozenset()) == "Title\nText of it"
+    assert H.main_text(article.format(' class="post related"') * 3, frozenset()) == "\n".join(["Title\nText of it"] * 3)
+    assert H.main_text(f'<div class="notice page"><h1>Title</h1><p>{"Text " * 50}</p></div><div class="ad">Buy</div>', frozenset()).startswith("Title\nText")
+    page = '<div id="comments"><article><p>Nice</p></article></div><div class="menu">Home</div>' + article.format("")
+    assert H.main_text(page, frozenset()) == "Title\nText of it"  # readers' comments stay out, also as articles
+    assert H.main_text('<main><article><p>Text</p><div class="comments"><article>Nice</article></div></article></main>', frozenset()) == "Text"
