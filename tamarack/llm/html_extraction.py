@@ -181,13 +181,13 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def main_text(source: str, template: frozenset[int]) -> str:
-    """The article of a page: its texts outside asides and template texts, one line a block.
+    """The article of a page: its texts outside asides, one line a block; outside <article> and <main> without template texts.
 
     With an <article> or <main> that holds text, its texts; else, of the slots that the template leaves, those below the
     element with the most text.
     """
     page = Page(source)
-    left = [(p, t, b, inside) for p, t, b, aside, inside in page.texts if not aside and (t == " " or token("text", p, t.strip()) not in template)]
+    left = [(p, t, b, inside) for p, t, b, aside, inside in page.texts if not aside and (inside or t == " " or token("text", p, t.strip()) not in template)]
     chosen = [x for x in left if x[3]]
     if not any(t.strip() for _, t, *_ in chosen):
         chosen = _densest(left, template)
@@ -218,8 +218,8 @@ def _densest(left: list, template: frozenset[int]) -> list:
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Every row of pages, without html, with text: its main text ("" if none).
 
-    Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers and what the host's
-    template repeats are left out. Character references are decoded, white space in a block is one space, blocks are
+    Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers and, outside
+    articles, what the host's template repeats are left out. Character references are decoded, white space in a block is one space, blocks are
     joined by line feeds.
 
     Null html reads as empty. A null or hostless url is a host of its own kind (""). Hosts with fewer than CLASS_PAGES

@@ -340,3 +340,9 @@ def test_names_do_not_drop_articles():
     page = '<div id="comments"><article><p>Nice</p></article></div><div class="menu">Home</div>' + article.format("")
     assert H.main_text(page, frozenset()) == "Title\nText of it"  # readers' comments stay out, also as articles
     assert H.main_text('<main><article><p>Text</p><div class="comments"><article>Nice</article></div></article></main>', frozenset()) == "Text"
+
+
+def test_uniform_headings_of_articles_stay(spark):
+    page = "<body><div>Home of host</div><article><h2>Summary</h2><p>Story {0}</p><b>Note:</b> {0}<div class=ad>Buy</div></article><div>All rights</div></body>"
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page.format(i)) for i in range(6)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in H.extract(df).collect()} == {i: f"Summary\nStory {i}\nNote: {i}" for i in range(6)}
