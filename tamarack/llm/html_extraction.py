@@ -2,8 +2,8 @@
 
 Tokens are tags (with their path from the root) and texts (with their path). The occurrence vector of a token is how often
 each different page of a host has it; tokens with equal vectors form an equivalence class. Classes that are large and
-frequent enough are the host's template: those on all pages are its frame, rarer ones nest in its slots. What the template
-leaves over in a page are slots of content, and the main text is the article among them.
+frequent enough are the host's template. Classes are not nested (those of only some of a host's pages are no template), and
+only their texts are used: the main text is the article, or else the densest element of what the template leaves over.
 
 Vectors are never built: a class is known by the XOR of hashes of (page, count), combined before the shuffle, so a host
 with a third of all pages is no single task. Templates go to the pages by a broadcast while their number, which is counted,
@@ -183,8 +183,8 @@ def templates(pages: DataFrame) -> DataFrame:
 def main_text(source: str, template: frozenset[int]) -> str:
     """The article of a page: its texts outside asides, one line a block; outside <article> and <main> without template texts.
 
-    With an <article> or <main> that holds text, its texts; else, of the slots that the template leaves, those below the
-    element with the most text.
+    With an <article> or <main> that holds text, its texts; else, of the texts that the template leaves, those below the
+    deepest element with two thirds of them.
     """
     page = Page(source)
     left = [(p, t, b, inside) for p, t, b, aside, inside in page.texts if not aside and (inside or t == " " or token("text", p, t.strip()) not in template)]
