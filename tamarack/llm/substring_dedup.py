@@ -19,6 +19,8 @@ finds the order again from its own text, so no positions are shuffled.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -229,7 +231,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35) ->
     block = (window + 1) // 2
     groups = group_count(docs, text_col, GROUP_BYTES)
     extra = replace_columns(docs, "n_words", "n_removed", "kept_text", "g", "_text", text_col).columns
-    spread = F.pmod(F.xxhash64(F.col(text_col), *[F.col(c) for c in extra if c == "doc_id"]), F.lit(groups))
+    salt = [F.col(c) for c in extra if not re.search("map<|variant", docs.schema[c].dataType.simpleString())]  # these have no hash
+    spread = F.pmod(F.xxhash64(F.col(text_col), *salt), F.lit(groups))
     rows = docs.select(*extra, F.col(text_col).alias("_text"), spread.cast("int").alias("g"))
     by_group = rows.groupBy("g")
     probes = by_group.applyInArrow(lambda t: _probe(t, block, window, groups), _MESSAGE)

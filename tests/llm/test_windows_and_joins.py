@@ -189,3 +189,11 @@ def test_contamination_query(spark):
     want = {d.doc_id: (n, h, hashlib.sha256(",".join(k).encode()).hexdigest()) for d, (n, h, k) in zip(docs, brute_contamination([d.text for d in docs], items), strict=True)}
     rows = QUERIES["op9_benchmark_decontamination"](spark, str(sf)).select("doc_id", "n_words", "n_hit", F.col("items_sha256"))
     assert {r.doc_id: (r.n_words, r.n_hit, r.items_sha256) for r in rows.collect()} == want
+
+
+def test_copies_are_spread_by_any_id(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 64)
+    df = spark.createDataFrame([(i, "a b c d e f g", {"k": i}) for i in range(40)], "row_id long, text string, extra map<string,int>")
+    out = substring_dedup.remove_repeats(df, window=5)
+    assert re.search(r"xxhash64\(text#\d+, row_id#\d+L?, 42\)", out._jdf.queryExecution().analyzed().toString())
+    assert {(r.n_words, r.n_removed, r.kept_text) for r in out.collect()} == {(7, 7, "")} and out.count() == 40
