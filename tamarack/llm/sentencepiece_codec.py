@@ -9,7 +9,7 @@ The vocabulary is byte-fallback BPE, whose pieces have ranks, not probabilities:
 the model's segmentation. The forward step therefore takes the one piece that ends here and may follow the best
 segmentation of the rest: two neighbours may stand together if merging their joined text by rank gives just those two.
 That is the model's own result, prefix by prefix. Runs of two or more spaces, whose pieces share one rank, are merged
-directly.
+directly, from a heap.
 
 Every row stands alone: no shuffle; the vocabulary (32,000 pieces, a fixed size) is broadcast. New words are gathered over
 a few MB of texts before they are sorted, as larger tries share more.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 
 import ahocorasick
 import numpy as np
@@ -34,21 +35,44 @@ MARK = "▁"
 _PASS_CHARS = 6_000_000
 #: Characters of text split and mapped at once.
 _STEP_CHARS = 500_000
+#: Pairs of pieces whose neighbourhood a worker remembers.
+_KEPT_PAIRS = 1 << 20
 _RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def merge(text: str, scores: dict[str, float]) -> list[str]:
-    """Pieces of a short text by merging the best-ranked neighbours, leftmost first."""
-    parts = list(text)
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            s = scores.get(parts[i] + parts[i + 1])
-            if s is not None and (best is None or s > best):
-                best, at = s, i
-        if at < 0:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    """Pieces of a text by merging the best-ranked neighbours, leftmost first.
+
+    Possible merges wait in a heap and neighbours are a linked list, so a text of n characters takes n log n steps
+    (pieces are short). An entry is out of date when the parts it joins are no longer as long as they were.
+    """
+    n = len(text)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at each place; -1: no part starts there
+    heap: list[tuple[float, int, int, int]] = []
+
+    def offer(a: int) -> None:
+        b = end[a]
+        if b < n:
+            s = scores.get(text[a : end[b]])
+            if s is not None:
+                heappush(heap, (-s, a, b, end[b]))
+
+    for a in range(n - 1):
+        offer(a)
+    while heap:
+        _, a, b, c = heappop(heap)
+        if end[a] != b or end[b] != c:
+            continue
+        end[a], end[b] = c, -1
+        if c < n:
+            before[c] = a
+        if before[a] >= 0:
+            offer(before[a])
+        offer(a)
+    parts, a = [], 0
+    while a < n:
+        parts.append(text[a : end[a]])
+        a = end[a]
     return parts
 
 
@@ -96,6 +120,7 @@ class Codec:
         self.automaton.make_automaton()
         self.char = {p: chr(i) for p, i in self.pieces.items()}
         self.follow: dict[str, dict[str, bool]] = {}
+        self.n_follow = 0
         self.marked: dict[str, str] = {}
         self.bare: dict[str, str] = {}
 
@@ -103,6 +128,10 @@ class Codec:
         row = self.follow.setdefault(left, {})
         known = row.get(right)
         if known is None:
+            if self.n_follow >= _KEPT_PAIRS:
+                self.follow.clear()
+                row, self.n_follow = self.follow.setdefault(left, {}), 0
+            self.n_follow += 1
             known = row[right] = left not in self.pieces or right not in self.pieces or merge(left + right, self.scores) == [left, right]
         return known
 
@@ -240,7 +269,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep_text:
     """Every row of docs with `ids` (array of int) and, if asked for, the text decoded from them in the same pass.
 
     Null and empty texts have no ids. U+2581 in a text reads as a space, as the model has it. Texts of any length are
-    encoded whole; words without end too, in time linear in their length. An input column named ids is replaced.
+    encoded whole; words without end too, in time linear in their length (runs of n spaces: n log n). An input column named ids is replaced.
     """
     shared = _Shared(docs.sparkSession, read_vocabulary(model_file))
     extra = [decoded_col] if decoded_col else []
