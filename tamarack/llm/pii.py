@@ -1,11 +1,12 @@
 """PII pseudonyms: what is found and validated is replaced by a keyed permutation of its own format.
 
 One pattern finds candidates of all kinds; the text between them is kept. A candidate is validated (check digits, octets,
-calendar, numbering plan) and then permuted by a Feistel network within its format, so equal values give equal pseudonyms
-in all documents, different values of a kind different ones, and who has the key can undo it. Round functions are
-SHA-256 of key, kind, round and the other half.
+calendar, numbers that are never given out) and then permuted by a Feistel network within its format, so equal values give
+equal pseudonyms in all documents, different values of a kind different ones, and who has the key can undo it. A pseudonym
+that validation would refuse is permuted again until it is valid (cycle walking). Round functions are SHA-256 of key, kind,
+round and the other half.
 
-Only DataFrame functions: no Python runs on executors. Every row stands alone.
+The key comes to the plan as the value of a one-row subquery, so that neither explain nor the event log shows it. Only DataFrame functions: no Python runs on executors. Every row stands alone.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sizing import replace_columns
+from .sizing import free_names, replace_columns
 
 ROUNDS = 8
 
@@ -32,11 +33,13 @@ KINDS["card"] = rf"(?<![0-9])[0-9](?:(?:-| (?!{'|'.join(KINDS.values())}))?[0-9]
 #: Digits and spaces alone are a phone where they are no card.
 _SPACED = r"(?<![0-9+])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"
 _ANY = "|".join([*KINDS.values(), _SPACED])
+#: What every candidate holds, cheap to look for.
+_HINT = r"@|[0-9][0-9.) -]{6}"
 #: How cards are written in a run with neighbours, longest first: unseparated, or these groups with one separator.
 _GROUPS = ((4, 4, 4, 4, 3), (6, 13), (4, 4, 4, 4), (4, 6, 5), (4, 5, 6), (4, 6, 4), (4, 4, 4, 1), (4, 3, 3, 3))
 _LAYOUTS = [sep.join(f"[0-9]{{{n}}}" for n in groups) for groups in _GROUPS for sep in "- "]
 _CARD_AT = [rf"^({x})(?![0-9])" for x in ["[0-9]{13,19}", *_LAYOUTS]]
-_PHONE_AT = r"^([0-9]{3}[ -][0-9]{3}[ -][0-9]{4})(?![0-9-])"
+_PHONE_AT = r"^((?!000)[0-9]{3}[ -](?!000)[0-9]{3}[ -][0-9]{4})(?![0-9-])"
 #: From each group of a run on, as much as a card may take and the character after it.
 _VIEWS = r"(?=([0-9 -]{1,39}))[0-9]+[ -]?"
 #: So often a run is permuted at most until it reads the same way: each time fails for about one in ten.
@@ -45,16 +48,16 @@ _WALK = 40
 _FIRST_DAY, _DAYS = "1900-01-01", (17, 4297)
 
 
-def _digest(key: str, kind: str, r: Column, half: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), half.cast("string")).cast("binary"), 256)
+def _digest(key: Column, kind: str, r: Column, half: Column) -> Column:
+    return F.sha2(F.concat_ws("|", key, F.lit(kind), r.cast("string"), half.cast("string")).cast("binary"), 256)
 
 
-def _number(key: str, kind: str, r: Column, half: Column) -> Column:
+def _number(key: Column, kind: str, r: Column, half: Column) -> Column:
     """56 bits of the round function."""
     return F.conv(F.substring(_digest(key, kind, r, half), 1, 14), 16, 10).cast("long")
 
 
-def permute_number(x: Column, high: int, low: int, key: str, kind: str, undo: bool = False) -> Column:
+def permute_number(x: Column, high: int, low: int, key: Column, kind: str, undo: bool = False) -> Column:
     """A permutation of 0..high*low-1: alternating Feistel on x div low and x mod low."""
 
     def step(acc: Column, r: Column) -> Column:
@@ -86,7 +89,7 @@ def _shifted(half: Column, stream: Column, sign: int) -> Column:
     return F.array_join(F.transform(F.split(half, ""), move), "")
 
 
-def permute_text(x: Column, key: str, kind: str, undo: bool = False) -> Column:
+def permute_text(x: Column, key: Column, kind: str, undo: bool = False) -> Column:
     """A permutation of the texts with x's pattern of letters, capitals, digits and other characters."""
     half = F.greatest(F.floor(F.char_length(x) / 2), F.lit(1)).cast("int")
     start = F.struct(F.substr(x, F.lit(1), half).alias("a"), F.substr(x, half + 1).alias("b"))
@@ -132,7 +135,7 @@ def _into_format(x: Column, digits: Column) -> Column:
     return F.aggregate(F.split(x, ""), start, put, lambda acc: acc["out"])
 
 
-def _card(x: Column, key: str, undo: bool) -> Column:
+def _card(x: Column, key: Column, undo: bool) -> Column:
     """All digits but the last are permuted; the last is the check digit that makes the Luhn sum right."""
     body = F.substr(_digits(x), F.lit(1), F.char_length(_digits(x)) - 1)
     new = permute_text(body, key, "card", undo)
@@ -173,7 +176,7 @@ def _parts(x: Column) -> Column:
     return F.when(is_card, whole).otherwise(F.aggregate(groups, start, step, lambda acc: acc["parts"]))
 
 
-def _run(x: Column, key: str, undo: bool) -> Column:
+def _run(x: Column, key: Column, undo: bool) -> Column:
     """(y, pii) of a run of digits: y with its parts replaced (null if it has none), and each part's kind and pseudonym.
 
     The parts must be found again to be undone. Where a neighbour would by chance be read as part of a card, all parts are
@@ -202,50 +205,51 @@ def _run(x: Column, key: str, undo: bool) -> Column:
         F.sequence(F.lit(1), F.lit(_WALK)), F.struct(x.alias("y"), parts.alias("parts"), unknown.alias("found")), walk, told)))[0]
 
 
-def _ipv4(x: Column, key: str, undo: bool) -> Column:
+def _walk(x: Column, valid: Callable[[Column], Column], step: Callable[[Column], Column]) -> Column:
+    """x permuted by `step` until it is valid again; null if x isn't valid. Undoing walks back to x, the first valid one."""
+    again = F.aggregate(F.sequence(F.lit(2), F.lit(_WALK)), step(x), lambda v, _: F.when(valid(v), v).otherwise(step(v)))
+    return F.when(valid(x), again)
+
+
+def _ipv4(x: Column, key: Column, undo: bool) -> Column:
+    """Octets of 0 to 255, written without leading zeros."""
     octets = F.transform(F.split(x, r"\."), lambda o: o.cast("int"))
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda acc, o: acc * 256 + o)
     new = permute_number(number, 1 << 16, 1 << 16, key, "ipv4", undo)
     parts = [F.pmod(F.shiftright(new, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]
-    return F.when(F.forall(octets, lambda o: o < 256), F.concat_ws(".", *parts))
+    return F.when(F.forall(octets, lambda o: o < 256) & ~x.rlike(r"(^|\.)0[0-9]"), F.concat_ws(".", *parts))
 
 
-def _date(x: Column, key: str, undo: bool) -> Column:
+def _date(x: Column, key: Column, undo: bool) -> Column:
     day = F.datediff(F.try_to_timestamp(x, F.lit("yyyy-MM-dd")).cast("date"), F.lit(_FIRST_DAY).cast("date"))
     new = permute_number(day, *_DAYS, key, "date", undo)
     real = (day >= 0) & (day < _DAYS[0] * _DAYS[1])
     return F.when(real, F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), new.cast("int")), "yyyy-MM-dd"))
 
 
-def _phone(x: Column, key: str, undo: bool) -> Column:
-    """The country code stays; the ten national digits are permuted."""
+def _phone(x: Column, key: Column, undo: bool) -> Column:
+    """The country code stays; the ten national digits are permuted. Area and exchange are not 000; other rules of the
+    numbering plan are not asked for, since a number that breaks them may still be somebody's."""
     digits = _digits(x)
     national = F.substr(digits, F.char_length(digits) - 9)
     lead = F.substr(digits, F.lit(1), F.char_length(digits) - 10)
-    return _into_format(x, F.concat(lead, permute_text(national, key, "phone", undo)))
-
-
-def _ssn(x: Column, key: str, undo: bool) -> Column:
-    """Permuted among the numbers that can be issued: one that can't is permuted again."""
-
-    def issued(v: Column) -> Column:
-        area, group, serial = (F.substring(v, a, n) for a, n in ((1, 3), (5, 2), (8, 4)))
-        return (area != "000") & (area != "666") & (area < "900") & (group != "00") & (serial != "0000")
+    new = _walk(national, lambda v: ~v.rlike("^(000|...000)"), lambda v: permute_text(v, key, "phone", undo))
+    return F.when(new.isNotNull(), _into_format(x, F.concat(lead, new)))
 
-    def walk(v: Column, _: Column) -> Column:
-        return F.when(issued(v), v).otherwise(permute_text(v, key, "ssn", undo))
 
-    return F.when(issued(x), F.aggregate(F.sequence(F.lit(2), F.lit(_WALK)), permute_text(x, key, "ssn", undo), walk))
+def _ssn(x: Column, key: Column, undo: bool) -> Column:
+    """Permuted among the numbers that can be issued."""
+    return _walk(x, lambda v: ~v.rlike("^(000|666|9)|-00-|-0000$"), lambda v: permute_text(v, key, "ssn", undo))
 
 
-def _email(x: Column, key: str, undo: bool) -> Column:
+def _email(x: Column, key: Column, undo: bool) -> Column:
     """Local part and host are permuted together; the top-level domain stays."""
     top = F.regexp_extract(x, r"\.[A-Za-z]+$", 0)
     rest = F.substr(x, F.lit(1), F.char_length(x) - F.char_length(top))
     return F.concat(permute_text(rest, key, "email", undo), top)
 
 
-_FORMS: dict[str, Callable[[Column, str, bool], Column]] = {
+_FORMS: dict[str, Callable[[Column, Column, bool], Column]] = {
     "email": _email, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "phone": _phone,
 }
 
@@ -263,7 +267,7 @@ def kind_of(x: Column) -> Column:
     return F.coalesce(*[F.when(test, F.lit(kind)) for kind, test in look.items()])
 
 
-def pseudonym(x: Column, key: str, undo: bool = False) -> Column:
+def pseudonym(x: Column, key: Column, undo: bool = False) -> Column:
     """(y, pii) of a candidate: what replaces it, and the kind and pseudonym of each value in it; null if none is valid."""
 
     def alone(k: str, y: Column) -> Column:
@@ -279,20 +283,22 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", undo: bool =
     Kinds: e-mail addresses, IPv4 addresses, dates (1900 to 2099), US social security numbers, North American phone
     numbers, and card numbers of 13 to 19 digits with a right check digit (beside other digits: those written unseparated
     or in the groups of a known layout). Candidates that fail validation stay as they are. With undo the same key gives
-    the values back (what was changed must still be found: the formats are kept).
+    the values back exactly: formats and validity are kept, so what was changed is found again and nothing else is.
 
-    Null texts stay null, with no pii; empty and repeated rows are no special case. An input column named pii is
-    replaced.
+    Null texts stay null, with no pii; empty and repeated rows are no special case, and an empty table stays empty. An
+    input column named pii is replaced; all others keep their names.
     """
     rows = replace_columns(docs, "pii")
-    text = F.col(text_col)
-    found = F.transform(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), lambda x: F.struct(x.alias("x"), pseudonym(x, key, undo).alias("new")))
-    rows = rows.withColumn("_found", F.when(text.rlike(_ANY), found))
+    kept, text = rows.columns, F.col(text_col)
+    secret, held = free_names(rows, "secret", "found")
+    rows = rows.withColumn(secret, docs.sparkSession.createDataFrame([(key,)], "key string").scalar())
+    found = F.transform(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), lambda x: F.struct(x.alias("x"), pseudonym(x, F.col(secret), undo).alias("new")))
+    rows = rows.withColumn(held, F.when(text.rlike(_HINT), F.when(text.rlike(_ANY), found)))
     between = F.split(text, _ANY, -1)
-    pieces = F.zip_with(between, F.col("_found"), lambda a, f: F.concat(a, F.coalesce(f["new"]["y"], f["x"], F.lit(""))))
-    replaced = F.filter("_found", lambda f: f["new"].isNotNull())
+    pieces = F.zip_with(between, F.col(held), lambda a, f: F.concat(a, F.coalesce(f["new"]["y"], f["x"], F.lit(""))))
+    replaced = F.filter(held, lambda f: f["new"].isNotNull())
     pii = F.flatten(F.transform(replaced, lambda f: f["new"]["pii"]))
     empty = F.array().cast("array<struct<kind:string,pseudonym:string>>")
-    new_text = F.when(F.col("_found").isNull(), text).otherwise(F.array_join(pieces, ""))
-    out = [new_text.alias(c) if c == text_col else F.col(c) for c in rows.columns if c != "_found"]
+    new_text = F.when(F.col(held).isNull(), text).otherwise(F.array_join(pieces, ""))
+    out = [new_text.alias(c) if c == text_col else F.col(c) for c in kept]
     return rows.select(*out, F.coalesce(pii, empty).alias("pii"))

@@ -21,3 +21,15 @@ def replace_columns(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns whose names an operator is about to produce (its own columns win)."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df has it: for columns that an operator needs on
+    the way and drops again."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -16,6 +16,7 @@ from tamarack.llm import jpeg, media_columns, pii, quality_classifier, secret_sc
 from tamarack.llm import sentencepiece_codec as S
 from tamarack.llm import token_counts as C
 from tamarack.llm.queries import PATTERN, QUERIES, TOKENIZERS
+from tamarack.llm.shared import written
 from tests.conftest import DATA
 
 SF = str(DATA / "sf0.001")
@@ -186,7 +187,7 @@ def test_cards_and_phones_beside_other_digits(spark):
     keep = ["1 2 3 " * 2000, "1" * 50000, "1234 5678 9012 3456 12/27"]
     kinds = [["card"]] * 5 + [["card", "date"], ["card", "card"], ["card"], ["card", "phone"]] + [["phone"]] * 4 + [[]] * 3
     df = docs_of(spark, texts + phones + keep)
-    out = pii.pseudonymise(df, "k").localCheckpoint()
+    out = written(pii.pseudonymise(df, "k"), "pii")
     rows = {r.doc_id: r for r in out.collect()}
     assert [[p.kind for p in rows[i].pii] for i in range(len(kinds))] == kinds
     for i, t in enumerate(texts + phones):
@@ -197,14 +198,14 @@ def test_cards_and_phones_beside_other_digits(spark):
     back = pii.pseudonymise(out, "k", undo=True)
     assert {r.doc_id: r.text for r in back.collect()} == dict(enumerate(texts + phones + keep))
     many = docs_of(spark, [f"{i:03} {card} {i:04} {i * 7919 % 10000:04}" for i in range(100)])  # some neighbours make cards by chance
-    there = pii.pseudonymise(many, "k").localCheckpoint()
+    there = written(pii.pseudonymise(many, "k"), "pii")
     assert there.where("size(pii) = 0 or contains(text, '1111 1111 1111')").count() == 0
     assert pii.pseudonymise(there, "k", undo=True).select("doc_id", "text").exceptAll(many).count() == 0
 
 
 def test_number_permutation(spark):
     n = 17 * 4297
-    x = spark.range(n).select("id", pii.permute_number(F.col("id"), 17, 4297, "k", "date").alias("y"))
+    x = spark.range(n).select("id", pii.permute_number(F.col("id"), 17, 4297, F.lit("k"), "date").alias("y"))
     assert x.agg(F.countDistinct("y"), F.min("y"), F.max("y")).first()[:] == (n, 0, n - 1)
 
 
