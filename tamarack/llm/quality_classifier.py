@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .arrowtext import NON_ALNUM, Words, buffers, chunks, separators
 from .shared import written
-from .sizing import replace_columns
+from .sizing import free_names, replace_columns
 
 #: Buckets of each of a model's two hash tables, and of both; blocks in which partitions hand on their counts.
 BITS = 20
@@ -87,13 +87,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sum_block(table: pa.Table) -> pa.Table:
-    sums = [sum(np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in table[name]).tobytes() for name in ("raw", "target")]
-    return pa.table({"block": pa.array(table["block"].to_pylist()[:1], pa.int32()), "raw": pa.array(sums[:1], pa.binary()), "target": pa.array(sums[1:], pa.binary())})
+    sums = [sum(np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in table[name]) for name in ("raw", "target")]
+    columns = [pa.array(table["block"].to_pylist()[:1], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in sums], *[pa.array([x.sum()], pa.int64()) for x in sums]]
+    return pa.table(columns, names=["block", "raw", "target", "n_raw", "n_target"])
 
 
-def evidence(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log ratios of target to raw model by bucket, zero where the difference is small or may be chance."""
-    share = target.sum() / max(1, raw.sum())
+def evidence(raw: np.ndarray, target: np.ndarray, share: float) -> np.ndarray:
+    """Log ratios of target to raw model by bucket, zero where the difference is small or may be chance. share: counts of
+    the target to those of raw text, in all buckets."""
     expected = raw * share
     ratio = np.log((target + 1) / (expected + 1))
     sure = (ratio <= -np.log(LEAST_FACTOR)) & (expected - target >= Z_LIMIT * np.sqrt(expected + 1))
@@ -102,19 +103,27 @@ def evidence(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS) -> np.ndarray:
     """Evidence by bucket from all texts of docs and those whose id is among good (a one-column table of ids; at most
-    target_rows of them, chosen by hash)."""
-    ids = good.select(F.col(good.columns[0]).alias("_id")).where("_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(target_rows)
-    flagged = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    flagged = flagged.join(F.broadcast(ids.withColumn("good", F.lit(True))), "_id", "left")
+    target_rows of them, chosen by hash). Tasks weigh the buckets; the driver gets BUCKETS numbers of four bytes."""
+    ids = good.select(F.col(good.columns[0]).alias("id")).where("id is not null").distinct()
+    ids = ids.orderBy(F.xxhash64("id"), "id").limit(target_rows)
+    flagged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    flagged = flagged.join(F.broadcast(ids.withColumn("good", F.lit(True))), "id", "left")
     flagged = flagged.select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    schema = "block int, raw binary, target binary"
-    blocks = flagged.mapInArrow(_count, schema).groupBy("block").applyInArrow(_sum_block, schema)
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for r in blocks.toLocalIterator():  # BUCKETS numbers in all
-        raw[r.block : r.block + BLOCK] = np.frombuffer(r.raw, np.int64)
-        target[r.block : r.block + BLOCK] = np.frombuffer(r.target, np.int64)
-    return evidence(raw, target)
+    counted = flagged.mapInArrow(_count, "block int, raw binary, target binary")
+    blocks = written(counted.groupBy("block").applyInArrow(_sum_block, "block int, raw binary, target binary, n_raw long, n_target long"), "counts")
+    n_raw, n_target = blocks.agg(F.sum("n_raw"), F.sum("n_target")).first()
+    share = (n_target or 0) / max(1, n_raw or 0)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, *counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                out = evidence(*[np.frombuffer(x, np.int64) for x in counts], share).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out], pa.binary())], names=["block", "evidence"])
+
+    model = np.zeros(BUCKETS, np.float32)
+    for r in blocks.select("block", "raw", "target").mapInArrow(weigh, "block int, evidence binary").collect():
+        model[r.block : r.block + BLOCK] = np.frombuffer(r.evidence, np.float32)
+    return model
 
 
 def log_weights(docs: DataFrame, model: np.ndarray, text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -173,28 +182,23 @@ def resample(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col:
 
     Weights are raised to the power `sharpness`: the higher it is, the less is left to chance between rows with evidence
     against them and rows without. k defaults to the sum of the weights (each at most one), rounded. Rows with equal sample_key at the limit are all
-    taken, so repeated rows share their fate. Null and empty texts carry no evidence and have weight one. With no good
-    ids nothing speaks against any row and all are taken. An empty table stays empty. Input columns named log_weight or
-    sample_key are replaced.
+    taken, so repeated rows share their fate. Null and empty texts carry no evidence and have weight one; a null id is no
+    good id. With no good ids nothing speaks against any row and all are taken. An empty table stays empty. Input columns
+    named log_weight or sample_key are replaced; all others keep their names.
+
+    All rows are written once with their keys to the shared folder; those drawn are read from there.
     """
     rows = replace_columns(docs, "log_weight", "sample_key")
     if good.limit(1).count() == 0:
         model = np.zeros(BUCKETS, np.float32)
     else:
         model = fit(rows, good, id_col, text_col, target_rows)
-
-    noise = gumbel(seed, F.col(id_col), F.col(text_col))
-
-    def keyed(df: DataFrame, keep_text: bool) -> DataFrame:
-        out = log_weights(df.withColumn("_noise", noise), model, text_col, keep_text)
-        return out.withColumn("sample_key", F.col("log_weight") * sharpness + F.col("_noise")).drop("_noise")
-
-    slim = rows.select(F.col(id_col), F.col(text_col))
-    keys = written(keyed(slim, False).select("sample_key", "log_weight"), "weights")
+    (noise,) = free_names(rows, "noise")
+    keyed = log_weights(rows.withColumn(noise, gumbel(seed, F.col(id_col), F.col(text_col))), model, text_col, keep_text)
+    keyed = written(keyed.withColumn("sample_key", F.col("log_weight") * sharpness + F.col(noise)).drop(noise), "weights")
     if k is None:
         # rounded before summing: the sum is then the same in any order
-        total = keys.select(F.sum(F.round(F.exp(F.col("log_weight") * sharpness), 6).cast("decimal(20,6)")).alias("w")).first().w
+        total = keyed.select(F.sum(F.round(F.exp(F.col("log_weight") * sharpness), 6).cast("decimal(20,6)")).alias("w")).first().w
         k = int(round(total or 0))
-    limit = kth_largest(keys.select("sample_key"), k)
-    out = keyed(rows, keep_text)
-    return out.where(F.col("sample_key") >= F.lit(limit)) if limit is not None else out.where(F.lit(k > 0))
+    limit = kth_largest(keyed.select("sample_key"), k)
+    return keyed.where(F.col("sample_key") >= F.lit(limit)) if limit is not None else keyed.where(F.lit(k > 0))

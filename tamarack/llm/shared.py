@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..shared import new_path
+from ..shared import new_path as new_path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
