@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,9 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def row_digest(df: DataFrame) -> Column:
+    """128 bits of all columns of a row; nulls, empty texts and where one value ends count."""
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    return F.unhex(F.md5(whole.cast("binary")))

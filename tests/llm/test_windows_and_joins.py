@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tamarack.llm import decontamination, ngram_join, substring_dedup
 from tamarack.llm.components import components
 from tamarack.llm.queries import QUERIES
+from tamarack.llm.sizing import row_digest
 from tests.conftest import DATA
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -125,6 +126,49 @@ def test_near_query(spark):
     assert got == {ids[i]: (ids[c], n) for i, (c, n) in want.items()}
 
 
+def exact_links(texts, least=0.8):
+    """All links by an index of n-grams: every pair that shares one is counted."""
+    holders, shared = {}, Counter()
+    sets = [grams(t) for t in texts]
+    for i, s in enumerate(sets):
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    for found in holders.values():
+        shared.update((a, b) for k, a in enumerate(found) for b in found[k + 1 :])
+    return {p for p, n in shared.items() if n >= least * (len(sets[p[0]]) + len(sets[p[1]]) - n) - 1e-9}
+
+
+def test_recall_at_registered_parameters(spark):
+    docs = spark.read.parquet(str(DATA / "sf0.1/documents.parquet")).select("doc_id", "text").orderBy("doc_id").collect()
+    by_set = {}
+    for d in docs:
+        if s := grams(d.text):
+            by_set.setdefault(frozenset(s), []).append(d)
+    distinct = [ds[0].text for ds in by_set.values()]
+    copies = [len(ds) for ds in by_set.values()]
+    want = exact_links(distinct)
+    rows = sum(copies[a] * copies[b] for a, b in want) * 2 + sum(n * (n - 1) for n in copies)
+    got = QUERIES["op7_ngram_jaccard_join"](spark, str(DATA / "sf0.1")).agg(F.sum("n_links")).first()[0]
+    assert len(want) > 40 and 0.999 * rows <= got <= rows
+
+
+@pytest.mark.parametrize("block", [4096, 200])
+def test_dense_group(spark, monkeypatch, block):
+    """Near copies of one text: all pairs are links, and shuffled rows are one a text and block."""
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", block)
+    base = [f"t{i}" for i in range(400)]
+    texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(400)] * 2 + ["unlike them at all , my friend"]
+    found = ngram_join.near_duplicates(docs_of(spark, texts)).collect()
+    assert all((r.class_id, r.n_links) == ((0, 799) if r.doc_id < 800 else (800, 0)) for r in found)
+
+
+def test_keys_tell_nulls_apart(spark):
+    df = spark.createDataFrame([(None, "a", "x", {"k": 1}), (1, None, "a", {"k": 1}), (1, "", "a", None), (1, "", "a", None)], "doc_id long, text string, row_key string, m map<string,int>")
+    assert df.select(row_digest(df).alias("k")).distinct().count() == 3
+    out = ngram_join.near_duplicates(df)
+    assert out.columns == ["doc_id", "class_id", "n_links", "row_key", "class_key"] and out.where("n_links > 0").count() == 0
+
+
 def test_near_empty_and_null_ids(spark):
     assert ngram_join.near_duplicates(docs_of(spark, [])).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
@@ -134,6 +178,46 @@ def test_near_empty_and_null_ids(spark):
 def test_prefix_shortening():
     assert ngram_join.shortest_needed(0.8, 12, 40, 0.98) == 10
     assert ngram_join.recall(0.8, 10, 40) >= 0.98
+    crowded = {(t, n): 10**6 if t < 10 else 5 for t in range(44) for n in range(13)}
+    lengths = ngram_join.prefix_lengths(crowded, 0.8, 12, 44, 0.999)
+    missed = 1.0
+    for n in lengths:
+        missed *= 1 - 0.8**n
+    assert missed <= 0.001 and min(lengths) == 8  # the trees with many matches keep the longer prefixes
+    assert min(lengths[:10]) >= max(lengths[10:]) and lengths[0] > 8
+
+
+def test_matches_do_not_depend_on_partitions(spark):
+    r = random.Random(3)
+    entries = sorted((bytes([0, r.randrange(3), *r.choices(b"abc", k=12)]), bytes([i // 256, i % 256])) for i in range(800))
+
+    def linked(parts, n):
+        import pyarrow as pa
+
+        out, tied = set(), {}
+        for part in parts:
+            batch = pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], pa.binary()) for k in (0, 1)], names=["entry", "node"])
+            for b in ngram_join._matches(iter([batch]), 4):
+                for t, length, u, v, open_ in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    if open_ is None and length >= n:
+                        out.add(frozenset((u, v)))
+                    elif open_ is not None and length == n:
+                        tied.setdefault(open_, set()).add(u)
+        for nodes in tied.values():
+            out.update(frozenset((u, min(nodes))) for u in nodes if u != min(nodes))
+        parent = {node: node for _, node in entries}
+
+        def root(x):
+            return x if parent[x] == x else root(parent[x])
+
+        for a, b in map(tuple, out):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+        return {x: root(x) for x in parent}
+
+    for n in (4, 6):
+        whole = linked([entries], n)
+        assert whole == linked([entries[i : i + 37] for i in range(0, 800, 37)], n) and len(set(whole.values())) < 800
 
 
 def test_components(spark):
