@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,8 +14,14 @@ OFFICIAL_HOST = "laoofficialgazette.gov.la"
 LATIN_ALLOWED = ["article", "art", "chapter", "part", "section", "sec", "no", "law", "decree", "regulation", "page", "lao", "laos", "pdf", "spp"]
 LAO_MARKERS = "ກົດໝາຍ|ມາດຕາ|ດຳລັດ|ຄຳສັ່ງ|ລະບຽບ|ສິດ|ພັນທະ|ລັດ|ສປປ|ສານ|ທີ່ດິນ"
 SYMBOL_RUNS = r"(?:\. ?){6,}|[-_]{8,}|[\"'“”+]{4,}|[=|<>\\/]{4,}"
+#: A word of two or more Latin letters.
+LATIN_WORD = r"(?<![\p{L}\p{N}_])[A-Za-z]{2,}(?![\p{L}\p{N}_])"
 MOJIBAKE = r"[�À-ÿ‚„−]"
 STATUTE_WORDS = f"law|statute|act|code|decree|regulation|article|{LAO_ARTICLE}|{THAI_ARTICLE}|ກົດໝາຍ"
+QUALITY_TYPE = (
+    "struct<char_count:bigint,lao_ratio:double,latin_ratio:double,symbol_ratio:double,mojibake_ratio:double,symbol_runs:int,suspicious_latin:int,"
+    "markers:int,score:double,language:string,is_usable:boolean,needs_review:boolean,warnings:array<string>>"
+)
 #: Personal data in the order in which it is replaced; look-arounds stand for word ends in scripts with marks.
 _L, _R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 PII_PATTERNS = [
@@ -30,13 +37,18 @@ PII_PATTERNS = [
 ]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it is used (a plain expression would be repeated)."""
+    return F.transform(F.array(value), use)[0]
+
+
 def count_of(pattern: str, text: Column) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
 def non_space(text: Column) -> Column:
     """Number of characters that are no white space."""
-    return F.char_length(F.regexp_replace(text, r"\s+", ""))
+    return F.char_length(F.regexp_replace(text, r"(?U)\s+", ""))
 
 
 def suspicious_ratio(text: Column, cut: int = 1600) -> Column:
@@ -87,85 +99,151 @@ def term_frequency(words: list[str], token_column: Column) -> Column:
 def redact(text: Column) -> tuple[Column, Column, Column]:
     """The redacted text, the types found (sorted) and the number of replacements; each pattern sees what the ones
     before it left."""
-    types, counts = [], []
+    some = text.rlike("|".join(pattern for _, pattern in PII_PATTERNS))  # most texts need no more than this
+    left, types, counts = text, [], []
     for kind, pattern in PII_PATTERNS:
-        n = count_of(pattern, text)
+        n = count_of(pattern, left)
         types.append(F.when(n > 0, F.lit(kind)))
         counts.append(n)
-        text = F.regexp_replace(text, pattern, f"[REDACTED_{kind}]")
-    return text, F.array_sort(F.array_distinct(F.array_compact(F.array(*types)))), reduce(lambda a, b: a + b, counts)
+        left = F.regexp_replace(left, pattern, f"[REDACTED_{kind}]")
+    found = F.when(some, F.array_sort(F.array_distinct(F.array_compact(F.array(*types))))).otherwise(F.array().cast("array<string>"))
+    return F.when(some, left).otherwise(text), found, F.when(some, reduce(lambda a, b: a + b, counts)).otherwise(0)
+
+
+# Scores from which a text is usable and from which it needs no review, and what its reader is told.
+USABLE_SCORE, PREFERRED_SCORE = 0.58, 0.78
+QUALITY_WARNINGS = {
+    "mojibake": "Text contains mojibake/replacement characters; source PDF text layer may be corrupt.",
+    "runs": "Text contains many repeated symbol runs; PDF table-of-contents or scan artifacts may remain.",
+    "latin": "Lao text contains many unexpected Latin OCR tokens.",
+    "coverage": "Lao character coverage is low for a Lao legal document.",
+    "review": "Extracted text should be reviewed before approval.",
+    "empty": "No readable text was extracted.",
+}
+
+
+def _quality_counts(sample: Column) -> Column:
+    """What quality is judged by, each counted once."""
+    latin = F.regexp_extract_all(sample, F.lit(LATIN_WORD), F.lit(0))
+    return F.struct(
+        (F.char_length(sample) - count_of(r"(?U)\s", sample)).alias("n"),
+        F.char_length(F.regexp_replace(sample, "[^\u0e80-\u0eff]+", "")).alias("lao"),
+        F.char_length(F.regexp_replace(sample, "[^A-Za-z]+", "")).alias("latin"),
+        count_of(MOJIBAKE, sample).alias("mojibake"),
+        count_of(r"(?U)[^\p{L}\p{N}\s\u0e80-\u0eff]", sample).alias("symbols"),
+        count_of(SYMBOL_RUNS, sample).alias("runs"),
+        count_of(f"(?:{LAO_MARKERS})", sample).alias("markers"),
+        F.when(sample.rlike(f"[\u0e80-\u0eff]|{LAO_MARKERS}"), F.size(F.filter(latin, lambda w: ~F.lower(w).isin(LATIN_ALLOWED)))).otherwise(0).alias("odd"),
+    )
+
+
+def _quality(c: Column) -> Column:
+    """The report from the counts c."""
+    empty, n = c["n"] == 0, F.greatest(c["n"], F.lit(1)).cast("double")
+    lao, latin, symbols, mojibake = (F.when(empty, 0.0).otherwise(c[k] / n) for k in ("lao", "latin", "symbols", "mojibake"))
+    is_lao = ~empty & ((lao > 0.10) | (c["markers"] > 0))
+    odd, thin = F.when(is_lao, c["odd"]).otherwise(0), is_lao & (lao < 0.22) & (n > 500)
+    penalties = [
+        F.least(F.lit(0.70), mojibake * 2.2),
+        F.least(F.lit(0.38), c["runs"] * 0.035),
+        F.least(F.lit(0.30), F.greatest(F.lit(0.0), symbols - 0.25) * 1.4),
+        F.when(is_lao, F.least(F.lit(0.35), F.greatest(F.lit(0.0), latin - 0.08) * 1.8)).otherwise(0.0),
+        F.least(F.lit(0.28), odd / 90),
+        F.when(thin, 0.12).when(~is_lao & (latin < 0.18) & (n > 500), 0.08).otherwise(0.0),
+        F.when(is_lao & (c["markers"] == 0) & (n > 700), 0.08).otherwise(0.0),
+    ]
+    raw = 1.0 - reduce(lambda a, b: a + b, penalties) + F.least(F.lit(0.08), c["markers"] * 0.01)
+    score = F.when(empty, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+    told = F.struct(lao.alias("lao_ratio"), latin.alias("latin_ratio"), symbols.alias("symbol_ratio"), mojibake.alias("mojibake_ratio"), score.alias("score"), odd.alias("odd"), thin.alias("thin"), is_lao.alias("is_lao"))
+
+    def report(q: Column) -> Column:
+        says = {
+            "empty": empty, "mojibake": q["mojibake_ratio"] > 0.03, "runs": c["runs"] >= 4, "latin": q["is_lao"] & (q["odd"] >= 10), "coverage": q["thin"],
+            "review": ~empty & (q["score"] < PREFERRED_SCORE),
+        }
+        return F.struct(
+            c["n"].cast("long").alias("char_count"), *[q[k].alias(k) for k in ("lao_ratio", "latin_ratio", "symbol_ratio", "mojibake_ratio")],
+            c["runs"].alias("symbol_runs"), q["odd"].alias("suspicious_latin"), c["markers"].alias("markers"), q["score"].alias("score"),
+            F.when(empty, "unknown").when(q["is_lao"], "lo").otherwise("en").alias("language"),
+            ((c["n"] < 80) | ((q["score"] >= USABLE_SCORE) & (q["mojibake_ratio"] <= 0.12))).alias("is_usable"),
+            ((c["n"] >= 80) & (q["score"] < PREFERRED_SCORE)).alias("needs_review"),
+            F.array_compact(F.array(*[F.when(test, F.lit(QUALITY_WARNINGS[k])) for k, test in says.items()])).alias("warnings"),
+        )
+
+    return bound(told, report)
 
 
 def quality_report(text: Column) -> Column:
-    """Quality of a normalised text as a struct: counts, ratios, score, language, is_usable, needs_review.
+    """Quality of a text in ingestion form as a struct: counts, ratios, score, language, is_usable, needs_review, warnings.
 
-    Judged on the first 12,000 characters. A text without any non-space character scores 0.
+    Judged on the first 12,000 characters. A text without any non-space character (or null) scores 0.
     """
-    sample = F.substring(F.coalesce(text, F.lit("")), 1, 12000)
-    chars = non_space(sample)
-    n, empty = F.greatest(chars, F.lit(1)).cast("double"), chars == 0
-    lao = count_of(r"[຀-໿]", sample)
-    latin = count_of("[A-Za-z]", sample)
-    mojibake = count_of(MOJIBAKE, sample) / n
-    symbols = count_of(r"[^\p{L}\p{N}\s຀-໿]", sample) / n
-    runs = count_of(SYMBOL_RUNS, sample)
-    markers = count_of(f"(?:{LAO_MARKERS})", sample)
-    is_lao = (lao / n > 0.10) | (markers > 0)
-    words = F.regexp_extract_all(sample, F.lit(r"(?<![\p{L}\p{N}_])[A-Za-z]{2,}(?![\p{L}\p{N}_])"), F.lit(0))
-    odd = F.when(is_lao, F.size(F.filter(words, lambda w: ~F.lower(w).isin(LATIN_ALLOWED)))).otherwise(0)
-
-    def least(limit: float, x: Column) -> Column:
-        return F.least(F.lit(limit), x)
-
-    over = lambda x, base: F.greatest(F.lit(0.0), x - base)
-    lao_part = (
-        least(0.35, over(latin / n, 0.08) * 1.8) + least(0.28, odd / 90)
-        + F.when((lao / n < 0.22) & (n > 500), 0.12).otherwise(0.0) + F.when((markers == 0) & (n > 700), 0.08).otherwise(0.0)
-    )
-    other_part = F.when((latin / n < 0.18) & (n > 500), 0.08).otherwise(0.0)
-    raw = (
-        F.lit(1.0) - least(0.70, mojibake * 2.2) - least(0.38, runs * 0.035) - least(0.30, over(symbols, 0.25) * 1.4)
-        - F.when(is_lao, lao_part).otherwise(other_part) + least(0.08, markers * 0.01)
-    )
-    score = F.when(empty, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
-    zero = lambda x: F.when(empty, 0.0).otherwise(x)
-    return F.struct(
-        chars.cast("long").alias("char_count"), zero(lao / n).alias("lao_ratio"), zero(latin / n).alias("latin_ratio"),
-        zero(symbols).alias("symbol_ratio"), zero(mojibake).alias("mojibake_ratio"), runs.alias("symbol_runs"),
-        odd.alias("suspicious_latin"), markers.alias("markers"), score.alias("score"),
-        F.when(empty, "unknown").when(is_lao, "lo").otherwise("en").alias("language"),
-        ((n < 80) | ((score >= 0.58) & (zero(mojibake) <= 0.12))).alias("is_usable"), ((n >= 80) & (score < 0.78)).alias("needs_review"),
-    )
+    return bound(F.substring(F.coalesce(text, F.lit("")), 1, 12000), lambda sample: bound(_quality_counts(sample), _quality))
+
+
+def best_candidate(candidates: Column) -> Column:
+    """Of an array of (method, text) in ingestion form the one with text whose quality score, then legal markers, then
+    length is highest, the first of equals: (method, text, quality)."""
+    judged = F.transform(F.filter(candidates, lambda c: c["text"] != ""), lambda c: F.struct(c["method"].alias("method"), c["text"].alias("text"), quality_report(c["text"]).alias("quality")))
+
+    def key(c: Column) -> Column:
+        return F.struct(c["quality"]["score"], c["quality"]["markers"], F.char_length(c["text"]))
+
+    nothing = F.lit(None).cast("struct<method:string,text:string,quality:" + QUALITY_TYPE + ">")
+    return F.aggregate(judged, nothing, lambda best, c: F.when(best.isNull() | (key(c) > key(best)), c).otherwise(best))
 
 
 _WEIRD = "®©ªº¯½¾¿¡§¦£¥µ±²³´ð−†™‰„"
 
 
 def garbled(text: Column) -> Column:
-    """Whether a text layer looks like the output of a broken encoding (first 6000 characters)."""
-    sample = F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, 6000)
-    n, q = F.greatest(non_space(sample), F.lit(1)).cast("double"), quality_report(sample)
-    odd = count_of(rf"[{_WEIRD}À-ÿ‚„−]", sample) / n
-    hyphens = count_of(rf"(?:[A-Za-zÀ-ÿ{_WEIRD}]{{1,6}}-){{2,}}", sample)
-    extended = count_of(rf"[A-Za-zÀ-ÿ{_WEIRD}]*[À-ÿ{_WEIRD}][A-Za-zÀ-ÿ{_WEIRD}]*", sample)
-    return (
-        F.when(n < 80, False)
-        .when(~q["is_usable"], True)
-        .when((q["language"] == "lo") & q["needs_review"] & ((q["symbol_runs"] >= 4) | (q["suspicious_latin"] >= 10)), True)
-        .when(count_of(r"�", sample) / n > 0.01, True)
-        .when((count_of(r"[฀-໿]", sample) / n > 0.08) & (q["score"] >= 0.78), False)
-        .when(odd > 0.45, True)
-        .when((odd > 0.18) & (hyphens >= 2), True)
-        .when((odd > 0.28) & (extended >= 20), True)
-        .otherwise(False)
-    )
+    """Whether a text layer looks like the output of a broken encoding (first 6000 characters, in ingestion form).
+
+    Unusable or badly recognised Lao text is; else text with many odd characters, unless most of it is good Lao or Thai.
+    """
+    letters = rf"[A-Za-zÀ-ÿ{_WEIRD}]"
+
+    def judged(c: Column) -> Column:
+        q, n = c["q"], F.greatest(c["n"], F.lit(1))
+        scanned = (q["language"] == "lo") & q["needs_review"] & ((q["symbol_runs"] >= 4) | (q["suspicious_latin"] >= 10))
+        replaced, sound = c["replaced"] / n > 0.01, (c["native"] / n > 0.08) & (q["score"] >= PREFERRED_SCORE)
+        odd = c["odd"] / n
+        noisy = (odd > 0.45) | ((odd > 0.18) & (c["hyphens"] >= 2)) | ((odd > 0.28) & (c["extended"] >= 20))
+        return (c["n"] >= 80) & (~q["is_usable"] | scanned | replaced | (~sound & noisy))
+
+    def counts(sample: Column) -> Column:
+        return F.struct(
+            quality_report(sample).alias("q"), non_space(sample).alias("n"), count_of("�", sample).alias("replaced"), count_of("[\u0e00-\u0eff]", sample).alias("native"),
+            count_of(rf"[{_WEIRD}À-ÿ‚„−]", sample).alias("odd"), count_of(rf"(?:{letters}{{1,6}}-){{2,}}", sample).alias("hyphens"), count_of(rf"{letters}*[À-ÿ{_WEIRD}]{letters}*", sample).alias("extended"),
+        )
+
+    sample = F.substring(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), 1, 6000)
+    return bound(sample, lambda x: bound(counts(x), judged))
 
 
 def degenerate(text: Column) -> Column:
-    """Whether generated text has run into repetition: U+FFFD, one character 25 times, a short string or word 6 times."""
-    return F.coalesce(
-        text.rlike(r"�") | text.rlike(r"(\S)\1{24,}") | text.rlike(r"(\S{2,12})\1{5,}") | text.rlike(r"(?i)(?<!\S)(\S+)(?:\s+\1){5,}(?!\S)"), F.lit(False)
-    )
+    """Whether generated text has run into repetition: U+FFFD; white space aside one character 25 times, a string of 2 to
+    16 characters 6 times, or a tail of 180 with few different ones; a word of 2 to 24 characters 6 times in a row."""
+
+    def judged(compact: Column) -> Column:
+        tail = F.right(compact, F.lit(180))
+        few = (F.char_length(compact) >= 220) & (F.size(F.array_distinct(F.split(tail, ""))) / 180 < 0.16)
+        return compact.rlike(r"(?s)(.)\1{24}") | compact.rlike(r"(?s)(.{2,16}?)\1{5}") | few
+
+    words = text.rlike(r"(?U)(?:^|\s)(\S{2,24})(?:\s+\1){5,}(?:\s|$)")
+    return F.coalesce(text.rlike("�") | words | bound(F.regexp_replace(text, r"(?U)\s+", ""), judged), F.lit(False))
+
+
+# Readings of OCR that shown text replaces, in this order.
+DISPLAY_REPLACEMENTS = (("ກົດບມາຍ", "ກົດໝາຍ"), ("ຜົນປະໂທຍດ", "ຜົນປະໂຫຍດ"), ("ໃຂ້", "ໃຊ້"), ("ໃຂ", "ໃຊ"), ("ບນາກຜົນ", "ໝາກຜົນ"), ("ສິດຫົກຫົກ", "ສິດປົກປັກ"), ("ສິດປົກ ປັກ", "ສິດປົກປັກ"))
+
+
+def display_text(text: Column, most: int | None = None) -> Column:
+    """Text as it is shown: single spaces, OCR readings replaced, cut after `most` characters."""
+    out = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "), "^ | $", "")
+    for old, new in DISPLAY_REPLACEMENTS:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out if most is None else F.substring(out, 1, most)
 
 
 def statute_like(*fields: Column) -> Column:

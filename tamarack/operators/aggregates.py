@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def nonzero_avg(x: Column) -> Column:
@@ -11,19 +12,27 @@ def nonzero_avg(x: Column) -> Column:
     return F.avg(F.when(x != 0, x))
 
 
-def nearest_rank(x: Column, p: float) -> Column:
-    """Nearest-rank percentile of the nonzero values: index bround((n - 1) * p) of the sorted ones."""
-    values = F.sort_array(F.collect_list(F.when(x != 0, x)))
-    return F.get(values, F.bround((F.size(values) - 1) * F.lit(p)).cast("int"))
+#: Accuracy of the sketch that brackets a percentile: its rank is off by one part in so many at most.
+_ACCURACY = 10_000
 
 
 def nearest_rank_by(df: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
-    """As nearest_rank, for groups of any size: ranks come from a sort, not from a list in memory."""
-    from pyspark.sql.window import Window as W
+    """Nearest-rank percentile of the nonzero values by group: the one at index bround((n - 1) * p) of the sorted ones.
 
-    own = W.partitionBy(*keys)
-    ranked = df.where(F.col(value) != 0).select(*keys, value).withColumns({"_rn": F.row_number().over(own.orderBy(value)), "_n": F.count("*").over(own)})
-    return ranked.where(F.col("_rn") == F.bround((F.col("_n") - 1) * F.lit(p)) + 1).select(*keys, F.col(value).alias("percentile"))
+    A sketch (combined before the shuffle) brackets it; values below the bracket are only counted, and those inside it,
+    a few in a thousand, are counted by value and ranked. So a group of any size is spread over all tasks.
+    """
+    some = df.where(F.col(value) != 0).select(*keys, F.col(value).alias("_v"))
+    slack = 3 / _ACCURACY
+    quantiles = F.percentile_approx("_v", [max(0.0, p - slack), min(1.0, p + slack)], _ACCURACY)
+    bracket = some.groupBy(*keys).agg(F.count("*").alias("_n"), quantiles.alias("_q"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    low = F.col("_min") if p <= slack else F.col("_q")[0]
+    high = F.col("_max") if p >= 1 - slack else F.col("_q")[1]
+    bracket = bracket.select(*keys, low.alias("_low"), high.alias("_high"), (F.bround((F.col("_n") - 1) * F.lit(p)) + 1).alias("_rank"))
+    placed = some.join(bracket, keys).where("_v <= _high").withColumn("_in", F.when(F.col("_v") >= F.col("_low"), F.col("_v")))
+    counts = placed.groupBy(*keys, "_in").agg(F.count("*").alias("_c"), F.first("_rank").alias("_rank"))
+    ranked = counts.withColumn("_upto", F.sum("_c").over(W.partitionBy(*keys).orderBy(F.col("_in").asc_nulls_first())))
+    return ranked.where("_upto >= _rank and _in is not null").groupBy(*keys).agg(F.min("_in").alias("percentile"))
 
 
 def session_stats(sessions: DataFrame, messages: DataFrame, analytics: DataFrame, dedup_cost: bool = False) -> DataFrame:

@@ -68,12 +68,3 @@ def update_where(df: DataFrame, condition: Column, changes: dict[str, Column]) -
 def check_domains(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """df with failed: the names of the rules that a row breaks (a NULL result passes, as a CHECK does)."""
     return df.withColumn("failed", F.array_compact(F.array(*[F.when(~rule, F.lit(name)) for name, rule in rules.items()])))
-
-
-def secure(df: DataFrame, tenant_id, role: str, privileged: str | None = None) -> DataFrame:
-    """Row-level security: super admins see all, others their tenant's and shared rows; privileged rows only lawyers
-    and admins."""
-    out = df if role == "super_admin" else df.where(tenant_visible(tenant_id))
-    if privileged and role not in ("super_admin", "admin", "lawyer"):
-        out = out.where(~F.coalesce(F.col(privileged), F.lit(False)))
-    return out

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators import aggregates as A
-from ..operators.scans import check_domains, enrich, ilike_any, page, secure, select_rows
+from ..operators.access import POLICIES, chosen_value, of_tenant, readable
+from ..operators.scans import check_domains, enrich, ilike_any, page, select_rows, tenant_visible
 from ..operators.windows import last_n, trailing_count, version_status
 from ..tables import CHUNKS_SQL, chunks, table
 from .registry import query
@@ -210,7 +211,7 @@ WITH s AS (SELECT event_type, count(*) AS calls, round(avg(CASE WHEN value <> 0
 r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value <> 0)
 SELECT event_type, calls, avg_latency, value AS p95 FROM s JOIN r USING (event_type) WHERE rn = round_even((n - 1) * 0.95, 0) + 1""")
 def agent_status_p95(spark, sf_dir):
-    """Calls, average and nearest-rank p95 of nonzero latencies by agent; ranks by sort, for groups of any size."""
+    """Calls, average and nearest-rank p95 of nonzero latencies by agent; groups of any size."""
     e = _events(spark, sf_dir)
     means = e.groupBy("event_type").agg(F.count("*").alias("calls"), F.round(A.nonzero_avg(F.col("value")), 4).alias("avg_latency"))
     return means.join(A.nearest_rank_by(e, ["event_type"], "value", 0.95), "event_type").withColumnRenamed("percentile", "p95")
@@ -259,12 +260,14 @@ SELECT source, arg_max(lang, struct_pack(a := n_chars, b := doc_id)) AS stronges
 def evidence_rollup(spark, sf_dir):
     """Strongest item, confidence, first five gaps."""
     docs = table(spark, sf_dir, "documents")
-    first = docs.withColumn("rn", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).withColumn("gap", F.when(F.col("rn") <= 5, F.struct("rn", "doc_id")))
-    return first.groupBy("source").agg(
+    # the limit goes before the shuffle: each task hands on five rows of a source at most
+    first = docs.withColumn("rn", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).where("rn <= 5")
+    gaps = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
+    whole = docs.groupBy("source").agg(
         F.max_by("lang", F.struct("n_chars", "doc_id")).alias("strongest"),
         F.round(F.least(F.lit(0.95), F.count_if(F.col("lang") == "en") * 0.1 / F.count("*") + 0.7), 6).alias("confidence"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("gap")), lambda g: g["doc_id"].cast("string")), ",").alias("first_gaps"),
     )
+    return whole.join(first.groupBy("source").agg(gaps.alias("first_gaps")), "source")
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 3")
@@ -344,14 +347,21 @@ def trend_7d(spark, sf_dir):
     return frame.join(e, "d", "left").select(F.date_format("d", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(f"WITH {CHUNKS_SQL.strip()} SELECT chunk_id, tenant_id, review_status FROM chunks WHERE tenant_id IS NULL OR tenant_id = 1")
+@query(f"WITH {CHUNKS_SQL.strip()} SELECT chunk_id, tenant_id, review_status FROM chunks WHERE tenant_id = (SELECT max(user_id % 3) FROM events WHERE user_id = 7)")
 def tenant_secure_scan(spark, sf_dir):
-    """G1, P3."""
-    return secure(chunks(spark, sf_dir), 1, "client").select("chunk_id", "tenant_id", "review_status")
+    """Only rows of the tenant that the current user belongs to (a scalar subquery)."""
+    user = _events(spark, sf_dir).where("user_id = 7").select((F.col("user_id") % 3).alias("tenant_id"))
+    return chunks(spark, sf_dir).where(of_tenant(chosen_value(user, "tenant_id"))).select("chunk_id", "tenant_id", "review_status")
+
+
+@query(f"WITH {CHUNKS_SQL.strip()} SELECT chunk_id, tenant_id, review_status FROM chunks WHERE tenant_id IS NULL OR tenant_id = 1")
+def tenant_visible_search(spark, sf_dir):
+    """A search also finds the rows of no tenant."""
+    return chunks(spark, sf_dir).where(tenant_visible(1)).select("chunk_id", "tenant_id", "review_status")
 
 
-@query(f"WITH {CHUNKS_SQL.strip()} SELECT chunk_id, tenant_id FROM chunks WHERE (tenant_id IS NULL OR tenant_id = 2) AND NOT coalesce(status = 'superseded', false)")
+@query(f"WITH {CHUNKS_SQL.strip()} SELECT chunk_id, tenant_id FROM chunks WHERE tenant_id = 2 AND NOT coalesce(status = 'superseded', false)")
 def privileged_docs(spark, sf_dir):
     """Privileged rows stay hidden from clients."""
-    rows = chunks(spark, sf_dir).withColumn("privileged", F.col("status") == "superseded")
-    return secure(rows, 2, "client", "privileged").select("chunk_id", "tenant_id")
+    rows = chunks(spark, sf_dir).withColumn("is_privileged", F.col("status") == "superseded")
+    return readable(rows, POLICIES["documents"], 2, "client").select("chunk_id", "tenant_id")

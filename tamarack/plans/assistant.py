@@ -206,14 +206,14 @@ WITH {CHUNKS_SQL.strip()},
 c AS (SELECT event_id AS citation_id, CASE WHEN event_id % 11 = 0 THEN '' ELSE 'ref' || (user_id % 40) END AS ref, CASE WHEN event_id % 3 = 0 THEN event_id % 400 END AS chunk_id FROM events)
 SELECT citation_id, c.ref, CASE WHEN c.ref = '' THEN 'REJECTED' WHEN k.chunk_id IS NOT NULL THEN CASE WHEN k.status = 'active' AND k.review_status = 'approved' THEN 'VERIFIED' ELSE 'UNVERIFIED' END
   WHEN n.n_nationkey IS NOT NULL THEN CASE WHEN n.n_nationkey % 2 = 0 THEN 'VERIFIED' ELSE 'OUTDATED' END WHEN s.s_suppkey IS NOT NULL THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS status
-FROM c LEFT JOIN chunks k ON k.chunk_id = c.chunk_id LEFT JOIN nation n ON 'ref' || n.n_nationkey = c.ref LEFT JOIN supplier s ON s.s_suppkey BETWEEN 25 AND 30 AND 'ref' || s.s_suppkey = c.ref""")
+FROM c LEFT JOIN chunks k ON k.chunk_id = c.chunk_id LEFT JOIN nation n ON 'ref' || n.n_nationkey = c.ref LEFT JOIN supplier s ON s.s_suppkey >= 25 AND 'ref' || s.s_suppkey = c.ref""")
 def citation_verification(spark, sf_dir):
     """R18."""
     e = table(spark, sf_dir, "events")
     ref = F.when(F.col("event_id") % 11 == 0, "").otherwise(F.concat(F.lit("ref"), (F.col("user_id") % 40).cast("string")))
     cited = e.select(F.col("event_id").alias("citation_id"), ref.alias("ref"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 400).alias("chunk_id"))
     nation = table(spark, sf_dir, "nation").select(F.concat(F.lit("ref"), F.col("n_nationkey").cast("string")).alias("ref"), F.when(F.col("n_nationkey") % 2 == 0, "active").otherwise("repealed").alias("status"))
-    cases = table(spark, sf_dir, "supplier").where("s_suppkey between 25 and 30").select(F.concat(F.lit("ref"), F.col("s_suppkey").cast("string")).alias("ref"))
+    cases = table(spark, sf_dir, "supplier").where("s_suppkey >= 25").select(F.concat(F.lit("ref"), F.col("s_suppkey").cast("string")).alias("ref"))
     return verify(cited, chunks(spark, sf_dir), nation, cases)
 
 
@@ -239,7 +239,8 @@ SELECT user_id, CASE WHEN list_position(t, 'click') IS NULL THEN (CASE WHEN list
 def agent_name_union(spark, sf_dir):
     """Agent names through the synonym map (clicks as Research, errors as irac; others unknown)."""
     name = F.when(F.col("event_type") == "click", " Research ").when(F.col("event_type") == "error", "irac").otherwise("other")
-    sets = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", name.alias("n")))).alias("s"))
+    first = table(spark, sf_dir, "events").groupBy("user_id", name.alias("n")).agg(F.min("event_id").alias("event_id"))  # a name's first place
+    sets = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "n"))).alias("s"))
     return sets.select("user_id", F.array_join(agent_names(F.transform("s", lambda x: x["n"])), ",").alias("agents"))
 
 
@@ -273,13 +274,14 @@ def masked_secrets(spark, sf_dir):
 
 @query("""
 SELECT doc_id, list_bool_or([contains(lower(text), 'context block'), contains(lower(text), 'output format')]) AS leak, doc_id % 2 = 0 AND contains(target, '5') AS on_target, row_number() OVER (PARTITION BY source ORDER BY (doc_id % 2 = 0 AND contains(target, '5')) DESC, n_chars DESC, doc_id) AS place
-FROM (SELECT *, 'Article ' || (doc_id % 10) AS target FROM documents)""")
+FROM (SELECT *, 'Article ' || (doc_id % 10) AS target FROM documents) QUALIFY place <= 50""")
 def target_first(spark, sf_dir):
-    """Rows with the target section first, then by score; traces of prompts."""
+    """Of each source the fifty first rows, those with the target section before others, then by score; traces
+    of prompts. A task hands on fifty rows of a source at most."""
     on = (F.col("doc_id") % 2 == 0) & F.contains(F.concat(F.lit("Article "), (F.col("doc_id") % 10).cast("string")), F.lit("5"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", prompt_leak(F.col("text")).alias("leak"), on.alias("on_target"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "text", on.alias("on_target"))
     place = F.row_number().over(W.partitionBy("source").orderBy(F.desc("on_target"), F.desc("n_chars"), "doc_id"))
-    return rows.select("doc_id", "leak", "on_target", place.cast("long").alias("place"))
+    return rows.withColumn("place", place.cast("long")).where("place <= 50").select("doc_id", prompt_leak(F.col("text")).alias("leak"), "on_target", "place")
 
 
 @query(None)

@@ -7,10 +7,11 @@ from pyspark.sql.window import Window as W
 
 from ..functions import kernels as N
 from ..functions import legal_text as L
+from ..operators.aggregates import rejection_flags
 from ..operators.graph import expand_seeds, precedent_chain
 from ..operators.scans import insert_missing, update_where, upsert
 from ..shared import new_path
-from ..sources.files import html_links
+from ..sources.files import document_links, file_name
 from ..streaming.rollups import run_to_files, session_rollup, sliding_log_sorted, tumbling_counts
 from ..tables import CHUNKS_SQL, EDGES_SQL, chunks, edges, table
 from .registry import query
@@ -46,7 +47,8 @@ def pii_distribution(spark, sf_dir):
 
 
 _Q = r"""
-WITH s AS (SELECT doc_id, substr(text, 1, 12000) AS t FROM documents),
+WITH f AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n[ \t]+', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), E' \n\t') AS text FROM documents),
+s AS (SELECT doc_id, substr(text, 1, 12000) AS t FROM f),
 c AS (SELECT doc_id, length(regexp_replace(t, '\s+', '', 'g'))::DOUBLE AS n, len(regexp_extract_all(t, '[A-Za-z]')) AS latin, len(regexp_extract_all(t, '[�À-ÿ‚„−]')) AS bad,
   len(regexp_extract_all(t, '[^\p{L}\p{N}\s\x{0E80}-\x{0EFF}]')) AS sym, len(regexp_extract_all(t, '(?:\. ?){6,}|[-_]{8,}|["''“”+]{4,}|[=|<>\\/]{4,}')) AS runs FROM s)"""
 
@@ -55,8 +57,8 @@ c AS (SELECT doc_id, length(regexp_replace(t, '\s+', '', 'g'))::DOUBLE AS n, len
 SELECT doc_id, n::BIGINT AS char_count, runs AS symbol_runs, round(CASE WHEN n = 0 THEN 0 ELSE greatest(0, least(1, 1 - least(0.70, bad / n * 2.2) - least(0.38, runs * 0.035) - least(0.30, greatest(0, sym / n - 0.25) * 1.4)
   - CASE WHEN latin / n < 0.18 AND n > 500 THEN 0.08 ELSE 0 END)) END, 6) AS score FROM c""")
 def quality_report(spark, sf_dir):
-    """F13."""
-    q = _docs(spark, sf_dir).select("doc_id", L.quality_report(F.col("text")).alias("q"))
+    """of texts in ingestion form."""
+    q = N.with_ingest_form(_docs(spark, sf_dir), "text", "form").select("doc_id", L.quality_report(F.col("form")).alias("q"))
     return q.select("doc_id", "q.char_count", F.col("q.symbol_runs").cast("long").alias("symbol_runs"), F.round("q.score", 6).alias("score"))
 
 
@@ -79,8 +81,8 @@ def toc_penalty(spark, sf_dir):
 
 @query(None)
 def garbled(spark, sf_dir):
-    """F14."""
-    return _docs(spark, sf_dir).select("doc_id", L.garbled(F.col("text")).alias("garbled"))
+    """of texts in ingestion form."""
+    return N.with_ingest_form(_docs(spark, sf_dir), "text", "form").select("doc_id", L.garbled(F.col("form")).alias("garbled"))
 
 
 @query(None)
@@ -92,8 +94,8 @@ def degenerate(spark, sf_dir):
 @query(None)
 def chunk_overlap(spark, sf_dir):
     """section-aware chunks with overlap."""
-    cut = N.chunker(2600, 350)
-    rows = _docs(spark, sf_dir).select("doc_id", F.explode(cut("text")).alias("c"))
+    rows = N.with_chunks(N.with_ingest_form(_docs(spark, sf_dir).select("doc_id", "text"), "text", "form"), "form", "chunks")
+    rows = rows.select("doc_id", F.explode("chunks").alias("c"))
     return rows.select("doc_id", "c.index", "c.section", "c.token_count", F.sha2(F.col("c.content").cast("binary"), 256).alias("content_sha256"))
 
 
@@ -117,14 +119,21 @@ def metadata_infer(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", L.law_number(text).alias("law_no"), L.token_estimate(F.col("text")).alias("token_count"))
 
 
-@query(r"""
-WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"#]+)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"#]+)"', 1), 1) - 1 AS ord,
-  regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) AS base FROM pages),
-r AS (SELECT page_id, ord, CASE WHEN regexp_matches(href, '^[A-Za-z]+://') THEN href WHEN starts_with(href, '/') THEN base || href ELSE base || '/' || href END AS link FROM l)
-SELECT page_id, ord, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id, lower(link) ORDER BY ord) AS rn FROM r) WHERE rn = 1""")
+@query(None)
 def html_document_links(spark, sf_dir):
-    """S19."""
-    return html_links(table(spark, sf_dir, "pages")).withColumn("ord", F.col("ord").cast("long"))
+    """Links of pages that lead to documents (each page's links to pages get a document's ending)."""
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.regexp_replace("html", r'href="(/[a-z]+)"', r'href="..$1.pdf?x=1&amp;y=2"'))
+    return document_links(pages)
+
+
+@query(r"""
+SELECT page_id, CASE WHEN n = '' THEN 'remote-document' ELSE n END AS file_name, trim(regexp_replace(regexp_replace(CASE WHEN n = '' THEN 'remote-document' ELSE n END, '\.[A-Za-z0-9]{1,5}$', ''), '[_\-+]+', ' ', 'g')) AS title FROM (
+  SELECT page_id, trim(url_decode(regexp_extract(regexp_replace(regexp_replace(url || CASE WHEN page_id % 3 = 0 THEN '/Law_on%20Land-2003.pdf' ELSE '' END, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '([^/]*)$', 1))) AS n FROM pages)""")
+def file_titles(spark, sf_dir):
+    """File names and titles from addresses."""
+    url = F.concat("url", F.when(F.col("page_id") % 3 == 0, "/Law_on%20Land-2003.pdf").otherwise(""))
+    named = table(spark, sf_dir, "pages").select("page_id", file_name(url).alias("file_name"))
+    return named.withColumn("title", L.title_of_path(F.col("file_name")))
 
 
 @query("SELECT doc_id, sha256(concat_ws('|', 'model', 64, substr(text, 1, 1000))) AS cache_key FROM documents")
@@ -303,6 +312,16 @@ def stream_session_rollup(spark, sf_dir):
     return run_to_files(session_rollup(stream), new_path(spark, "rollup"), new_path(spark, "stream"))
 
 
+@query("""
+SELECT l_orderkey AS session_id, count(*) AS total, count(*) FILTER (WHERE l_returnflag = 'R') AS rejected, count(*) >= 5 AND count(*) FILTER (WHERE l_returnflag = 'R') / count(*) > 0.2 AS flagged
+FROM lineitem GROUP BY 1""")
+def stream_rejection_flag(spark, sf_dir):
+    """K3: the trigger on rejected citations as a stream over the citation log."""
+    stream = spark.readStream.schema(table(spark, sf_dir, "lineitem").schema).parquet(f"{sf_dir}/lineitem.parquet*")
+    rows = stream.select(F.col("l_orderkey").alias("session_id"), (F.col("l_returnflag") == "R").alias("rejected"))
+    return run_to_files(rejection_flags(rows, "session_id"), new_path(spark, "flags"), new_path(spark, "stream"))
+
+
 @query("""
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, user_id, count(*) AS n, least(count(*), 2) AS admitted FROM events GROUP BY 1, 2""")
 def rate_limit_tumbling(spark, sf_dir):

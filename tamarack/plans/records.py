@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import legal_text as L
-from ..operators.scans import tenant_visible
+from ..operators.access import POLICIES, may_read, readable
 from ..tables import CHUNKS_SQL, chunks, table
 from .registry import query
 from .retrieval import keyword_top
@@ -61,14 +61,6 @@ def session_memory(messages: DataFrame, session: str, order: str, last: int = 10
     return lines.select(session, F.size("lines").cast("long").alias("n_messages"), F.sha2(memory.cast("binary"), 256).alias("digest"))
 
 
-def allowed(df: DataFrame, role: str, tenant_id=None, roles: list[str] | None = None, own: Column | None = None) -> DataFrame:
-    """Rows of a role-gated table: super_admin and admin see their tenant's, roles in `roles` too, others their own."""
-    seen = df.where(tenant_visible(tenant_id))
-    if role in ("super_admin", "admin") or role in (roles or []):
-        return seen
-    return seen.where(own if own is not None else F.lit(False))
-
-
 def cascade(tiers: list[DataFrame], key: str, limit: int) -> DataFrame:
     """The first tier that has rows, at most `limit` of each: (key, score, tier). Tiers are lazy; one job reads them."""
     shaped = [t.select(key, F.col("score").cast("double").alias("score"), F.lit(i).alias("tier")).orderBy(F.desc("score"), key).limit(limit) for i, t in enumerate(tiers)]
@@ -161,12 +153,25 @@ def role_user_counts(spark, sf_dir):
     return every.join(counts, "role", "left").fillna(0, ["users"])
 
 
-@query("""
-SELECT event_id, user_id FROM events WHERE (CASE WHEN user_id % 3 <> 0 THEN user_id % 3 END IS NULL OR user_id % 3 = 1) AND user_id = 7""")
+@query("SELECT event_id, user_id FROM events WHERE user_id % 3 = 1 AND user_id % 3 <> 0 AND user_id = 7")
 def own_feedback(spark, sf_dir):
-    """A client sees its own rows of a role-gated table, within its tenant."""
+    """A client sees its own rows of the feedback, within its tenant; rows of no tenant stay hidden."""
     rows = table(spark, sf_dir, "events").withColumn("tenant_id", F.when(F.col("user_id") % 3 != 0, F.col("user_id") % 3))
-    return allowed(rows, "client", 1, ["lawyer"], F.col("user_id") == 7).select("event_id", "user_id")
+    return readable(rows, POLICIES["feedback"], 1, "client", 7).select("event_id", "user_id")
+
+
+@query("""
+WITH r AS (SELECT unnest(['super_admin', 'admin', 'auditor', 'lawyer', 'client']) AS role), e AS (SELECT *, CASE WHEN user_id % 3 <> 0 THEN user_id % 3 END AS tenant_id, event_type = 'error' AS is_privileged FROM events)
+SELECT role, count(*) FILTER (WHERE tenant_id = 1 AND role IN ('super_admin', 'admin', 'auditor')) AS audit_log, count(*) FILTER (WHERE tenant_id = 1 AND role IN ('super_admin', 'admin', 'lawyer')) AS expert_reviews,
+  count(*) FILTER (WHERE tenant_id = 1 AND (role IN ('super_admin', 'admin') OR user_id = 7)) AS feedback, count(*) FILTER (WHERE tenant_id = 1 AND role IN ('super_admin', 'admin')) AS query_analytics,
+  count(*) FILTER (WHERE tenant_id = 1 AND (NOT is_privileged OR role IN ('super_admin', 'admin', 'lawyer'))) AS documents FROM r, e GROUP BY role""")
+def role_visibility(spark, sf_dir):
+    """How many rows of each policed table a reader of tenant 1 sees, by role; a super admin is an admin of its
+    own tenant, no more."""
+    rows = table(spark, sf_dir, "events").withColumns({"tenant_id": F.when(F.col("user_id") % 3 != 0, F.col("user_id") % 3), "is_privileged": F.col("event_type") == "error"})
+    names = ("audit_log", "expert_reviews", "feedback", "query_analytics", "documents")
+    told = [F.struct(F.lit(role).alias("role"), *[F.count_if(may_read(POLICIES[n], 1, role, 7)).alias(n) for n in names]) for role in ("super_admin", "admin", "auditor", "lawyer", "client")]
+    return rows.agg(F.array(*told).alias("told")).select(F.inline("told"))
 
 
 @query("""

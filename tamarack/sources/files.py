@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import html
 import io
+import re
 import zipfile
+from urllib.parse import unquote, urljoin, urlsplit
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -65,12 +68,66 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return cases.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
 
 
-def html_links(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, ord, link): different links of each page (letter case aside) in order, resolved against its URL."""
-    found = F.regexp_extract_all(html, F.lit(r"(?i)<a\s[^>]*?href=\"([^\"#]+)\""), F.lit(1))
-    base = F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]+)", 1)
-    href = F.col("href")
-    link = F.when(href.rlike("^[A-Za-z]+://"), href).when(href.startswith("/"), F.concat("base", href)).otherwise(F.concat("base", F.lit("/"), href))
-    every = pages.select(page_id, base.alias("base"), F.posexplode(found).alias("ord", "href")).select(page_id, "ord", link.alias("link"))
-    first = every.groupBy(page_id, F.lower("link").alias("key")).agg(F.min(F.struct("ord", "link")).alias("f"))
-    return first.select(page_id, F.col("f.ord").alias("ord"), F.col("f.link").alias("link"))
+# What makes a link a document's.
+DOCUMENT_PATHS, SEARCH_PATH, DOCUMENT_ENDINGS = ("/document/view/", "/storage/document/"), "/documents.search", ("pdf", "docx", "doc", "txt", "md")
+_LINK_PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)a(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!/?a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I)
+_HREF = re.compile(r"(?:^|\s|/)href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+
+
+def page_links(source: str | None, url: str | None) -> list[tuple[str, str]]:
+    """(address, title) of a page's links in order: hrefs decoded and resolved against the page's address, the title is
+    the text up to the link's end. A link that no end follows, or another begins before it, is none."""
+    source, found, open_link, at = source or "", [], None, 0
+    for m in _LINK_PARTS.finditer(source):
+        if open_link is not None:
+            open_link[1].append(html.unescape(source[at : m.start()]))
+        at = m.end()
+        if m.group(3) is None:
+            continue
+        if not m.group(2):
+            href = next((html.unescape("".join(g or "" for g in h.groups())) for h in _HREF.finditer(m.group(3))), "")
+            if href:
+                try:
+                    open_link = (urljoin(url or "", href), [])
+                except ValueError:  # an address that can't be resolved
+                    open_link = None
+        elif open_link is not None:
+            found.append((open_link[0], " ".join(" ".join(open_link[1]).split())))
+            open_link = None
+    return found
+
+
+def leads_to_document(address: str, title: str) -> bool:
+    """Whether a link's path says document, or its path or title names a document's ending."""
+    try:
+        path = unquote(urlsplit(address).path).casefold()
+    except ValueError:
+        return False
+    if SEARCH_PATH in path:
+        return False
+    told = f"{path} {title.casefold()}"
+    return any(p in path for p in DOCUMENT_PATHS) or told.endswith(DOCUMENT_ENDINGS) or any(f".{e}" in told for e in DOCUMENT_ENDINGS)
+
+
+def document_links(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", limit: int = 50) -> DataFrame:
+    """(page_id, ord, link, title): the first `limit` different document links of each page (letter case aside), in order."""
+
+    def links(urls: pd.Series, sources: pd.Series) -> pd.Series:
+        out = []
+        for u, s in zip(urls, sources, strict=True):
+            first: dict[str, tuple[str, str]] = {}
+            for link, title in page_links(s, u):
+                if leads_to_document(link, title):
+                    first.setdefault(link.casefold(), (link, title))
+            out.append([{"link": link, "title": title} for link, title in list(first.values())[:limit]])
+        return pd.Series(out)
+
+    found = F.pandas_udf(links, "array<struct<link:string,title:string>>")(url, html)
+    return pages.select(page_id, F.posexplode(found).alias("ord", "x")).select(page_id, F.col("ord").cast("long").alias("ord"), "x.link", "x.title")
+
+
+def file_name(url: Column, fallback: str = "remote-document") -> Column:
+    """The last part of an address's path, decoded; the fallback if there is none."""
+    path = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
+    name = F.trim(F.coalesce(F.try_url_decode(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B"))), F.lit("")))
+    return F.when(name == "", F.lit(fallback)).otherwise(name)

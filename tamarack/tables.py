@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,14 +47,9 @@ chunks AS (
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citation edges among 200 cases: for each source its three smallest targets."""
-    pairs = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 200).alias("source_id"), (F.col("l_suppkey") % 200).alias("cited_id")).distinct()
-    first = W.partitionBy("source_id").orderBy("cited_id")
-    return pairs.withColumn("rn", F.row_number().over(first)).where("rn <= 3").drop("rn")
+    """Citation edges: each part cites the numbers of its suppliers."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("cited_id")).distinct()
 
 
 EDGES_SQL = """
-edges AS (
-  SELECT source_id, cited_id FROM (
-    SELECT source_id, cited_id, row_number() OVER (PARTITION BY source_id ORDER BY cited_id) AS rn
-    FROM (SELECT DISTINCT l_partkey % 200 AS source_id, l_suppkey % 200 AS cited_id FROM lineitem)) WHERE rn <= 3)"""
+edges AS (SELECT DISTINCT l_partkey AS source_id, l_suppkey AS cited_id FROM lineitem)"""

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from tests.conftest import DATA
-from tamarack.plans import analytics, assistant, corpus, records, registry, retrieval  # noqa: F401
+from tamarack.plans import analytics, assistant, corpus, ingestion, questions, records, registry, retrieval, upkeep  # noqa: F401
 
 SF = DATA / "sf0.001"
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tamarack.operators.access import POLICIES, Policy, chosen_value, of_tenant, readable
 from tamarack.plans import records as R
 
 
@@ -17,14 +18,23 @@ def test_next_versions(spark):
     assert R.next_versions(rows.limit(0), "k", "v").count() == 0
 
 
-def test_role_gates(spark):
-    rows = spark.createDataFrame([(1, None, 7), (2, 1, 7), (3, 2, 7), (4, 1, 8)], "id int, tenant_id int, user_id int")
-    ids = lambda *a, **k: sorted(r.id for r in R.allowed(rows, *a, **k).collect())
-    assert ids("admin", 1) == [1, 2, 4]
-    assert ids("lawyer", 1, ["lawyer"]) == [1, 2, 4]
-    assert ids("client", 1, ["lawyer"], F.col("user_id") == 7) == [1, 2]
-    assert ids("client", 1, ["lawyer"]) == []
-    assert ids("super_admin") == [1]
+def test_policies_are_strict(spark):
+    rows = spark.createDataFrame([(1, None, 7, False), (2, 1, 7, True), (3, 2, 7, False), (4, 1, 8, None), (5, 1, None, False)], "id int, tenant_id int, user_id int, is_privileged boolean")
+
+    def ids(name, tenant, role, user=None):
+        return sorted(r.id for r in readable(rows, POLICIES.get(name, Policy()), tenant, role, user).collect())
+
+    for role in ("super_admin", "admin", "auditor", "lawyer", "client", None):
+        assert ids("messages", 1, role) == [2, 4, 5]  # never another tenant's, never rows of no tenant
+        assert ids("messages", None, role) == ids("audit_log", None, role) == []
+        assert ids("documents", 1, role) == ([2, 4, 5] if role in ("super_admin", "admin", "lawyer") else [4, 5])
+        assert ids("audit_log", 1, role) == ([2, 4, 5] if role in ("super_admin", "admin", "auditor") else [])
+        assert ids("query_analytics", 1, role) == ([2, 4, 5] if role in ("super_admin", "admin") else [])
+        assert ids("feedback", 1, role, 7) == ([2, 4, 5] if role in ("super_admin", "admin") else [2])
+        assert ids("feedback", 1, role) == ([2, 4, 5] if role in ("super_admin", "admin") else [])
+    user = spark.createDataFrame([(2,)], "t int")
+    assert [r.id for r in rows.where(of_tenant(chosen_value(user, "t"))).collect()] == [3]
+    assert rows.where(of_tenant(chosen_value(user.limit(0), "t"))).count() == 0
 
 
 def test_cascade_takes_the_first_tier_with_rows(spark):
