@@ -5,13 +5,14 @@ documents are cut into blocks of (window+1)//2 words. So:
 
 1. index: every document's non-overlapping blocks; probe: the rolling block-sized window at every word. Probes and
    blocks meet in hash buckets; a block whose words also occur anywhere else is an anchor;
-2. extend: around each anchor of a document all windows that contain it are fingerprinted (96 bits) and counted;
+2. extend: around each anchor of a document all windows that contain it are fingerprinted (96 bits, made of 64-bit hashes of their words) and counted;
    the union of the windows counted twice or more is the union of the maximal exact repeats of that length;
 3. words in that union are dropped.
 
 Skew: a hash goes out once for each document group however often the group holds it, so a passage shared by a third
-of all rows costs one entry a group. Groups are hashes of (key, text) sized in bytes, buckets are hash ranges, so
-neither depends on sources or copies. Nothing is collected on the driver except one byte count.
+of all rows costs one entry a group. Groups are hashes of whole rows and of the input partition that they lie in, sized
+in bytes, and buckets are hash ranges, so neither depends on sources or copies: rows repeated whole are together only as
+far as they lie in one partition. Nothing is collected on the driver except one byte count.
 
 Probes travel as five-byte hash rests, answers as one bit for each entry in the order in which it was sent; a group
 finds the order again from its own text, so no positions are shuffled.
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import Words, buffers, chunks
-from .sizing import group_count, replace_columns
+from .sizing import free_names, group_count, replace_columns
 
 #: UTF-8 bytes of text in a group: bounds a task's memory at any input size.
 GROUP_BYTES = 16 << 20
+#: Small tables have so many groups, of so many bytes at least, so that several tasks share them.
+LEAST_GROUPS, LEAST_BYTES = 48, 1 << 20
 _MESSAGE = "bucket int, g int, n_blocks int, body binary"
 
 
@@ -50,7 +53,7 @@ def _block_hashes(words: Words, block: int, window: int):
 
 
 def _probe(table: pa.Table, block: int, window: int, buckets: int) -> pa.Table:
-    data, offsets = buffers(table["_text"])
+    data, offsets = buffers(table.column(table.num_columns - 2))
     hashes, blocks = [], []
     for a, b in chunks(offsets):
         h, _, aligned = _block_hashes(Words(data, offsets, a, b), block, window)
@@ -70,8 +73,7 @@ def _probe(table: pa.Table, block: int, window: int, buckets: int) -> pa.Table:
         mine = is_block[s]
         counts.append(int(mine.sum()))
         bodies.append(np.packbits(many[s][mine]).tobytes() + rests[s][mine].tobytes() + rests[s][~mine].tobytes())
-    g = table["g"][0].as_py()
-    return _messages(present, g, counts, bodies)
+    return _messages(present, table.column(table.num_columns - 1)[0].as_py(), counts, bodies)
 
 
 def _messages(present, g, counts, bodies) -> pa.Table:
@@ -115,7 +117,7 @@ def _bits(rows: pa.Table) -> np.ndarray:
 
 def _candidates(docs: pa.Table, answers: np.ndarray, block: int, window: int):
     """For each chunk of rows: its words, the windows around its anchors, and their two hashes."""
-    data, offsets = buffers(docs["_text"])
+    data, offsets = buffers(docs.column(docs.num_columns - 2))
     spans = list(chunks(offsets))
     blocks = []
     for a, b in spans:
@@ -161,7 +163,7 @@ def _extend(docs: pa.Table, rows: pa.Table, block: int, window: int, buckets: in
     """Fingerprints of the windows around anchors, and a note of the anchors for the last step (bucket -1 - g)."""
     if docs.num_rows == 0:
         return _messages([], 0, [], [])
-    answers, g = _bits(rows), docs["g"][0].as_py()
+    answers, g = _bits(rows), docs.column(docs.num_columns - 1)[0].as_py()
     _, h, k, many, _ = _group_windows(docs, answers, block, window)
     present, begin = _slices(h, buckets)
     bodies = [
@@ -191,12 +193,12 @@ def _meet_windows(table: pa.Table) -> pa.Table:
 
 
 def _remove(docs: pa.Table, rows: pa.Table, block: int, window: int) -> pa.Table:
-    keep_columns = [c for c in docs.column_names if c not in ("g", "_text")]
+    keep_columns = docs.column_names[:-2]
     note = np.asarray(rows["bucket"].to_numpy()) < 0
     answers = _bits(rows.filter(pa.array(note)))
     found, _, _, _, place = _group_windows(docs, answers, block, window)
     repeated = _bits(rows.filter(pa.array(~note)))[place] if len(place) else np.zeros(0, bool)
-    data, offsets = buffers(docs["_text"])
+    data, offsets = buffers(docs.column(docs.num_columns - 2))
     n_words, n_removed, kept, done = [], [], [], 0
     for a, b, words, starts, _, _ in found:
         hit = starts[repeated[done : done + len(starts)]]
@@ -226,19 +228,20 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35) ->
 
     Null and empty texts have no words (kept_text is empty). Repeated rows are repeats of each other: both lose all
     words if they have `window` words or more. Rows shorter than a window lose nothing. An empty table gives an empty
-    table. Input columns named like an output are replaced.
+    table. Input columns named like an output are replaced, all others keep their names.
     """
     block = (window + 1) // 2
-    groups = group_count(docs, text_col, GROUP_BYTES)
-    extra = replace_columns(docs, "n_words", "n_removed", "kept_text", "g", "_text", text_col).columns
+    size = group_count(docs, text_col, 1)
+    groups = max(-(-size // GROUP_BYTES), min(LEAST_GROUPS, -(-size // LEAST_BYTES)))
+    extra = replace_columns(docs, "n_words", "n_removed", "kept_text", text_col).columns
+    text, g = free_names(docs, "text", "g")
     salt = [F.col(c) for c in extra if not re.search("map<|variant", docs.schema[c].dataType.simpleString())]  # these have no hash
-    spread = F.pmod(F.xxhash64(F.col(text_col), *salt), F.lit(groups))
-    rows = docs.select(*extra, F.col(text_col).alias("_text"), spread.cast("int").alias("g"))
-    by_group = rows.groupBy("g")
+    spread = F.pmod(F.xxhash64(F.col(text_col), *salt, F.spark_partition_id()), F.lit(groups))
+    rows = docs.select(*extra, F.col(text_col).alias(text), spread.cast("int").alias(g))
+    by_group = rows.groupBy(g)
     probes = by_group.applyInArrow(lambda t: _probe(t, block, window, groups), _MESSAGE)
     anchors = probes.groupBy("bucket").applyInArrow(_meet_probes, _MESSAGE)
     windows = by_group.cogroup(anchors.groupBy("g")).applyInArrow(lambda d, r: _extend(d, r, block, window, groups), _MESSAGE)
     answers = windows.groupBy("bucket").applyInArrow(_meet_windows, _MESSAGE)
-    out = T.StructType([f for f in rows.schema if f.name not in ("g", "_text")])
-    out = out.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    out = T.StructType(rows.schema.fields[:-2]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     return by_group.cogroup(answers.groupBy("g")).applyInArrow(lambda d, r: _remove(d, r, block, window), out)
