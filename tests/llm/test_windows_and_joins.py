@@ -53,6 +53,7 @@ def test_repeats_random(spark, size):
 
 def test_repeats_in_many_groups(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 2_000)
+    monkeypatch.setattr(substring_dedup, "LEAST_BYTES", 2_000)
     r = random.Random(1)
     shared = " ".join(f"s{i}" for i in range(40))
     texts = [" ".join([*r.choices([f"k{j}" for j in range(5000)], k=60), *([shared] if i % 3 else [])]) for i in range(120)]
@@ -61,8 +62,9 @@ def test_repeats_in_many_groups(spark, monkeypatch):
 
 
 def test_repeats_shape(spark):
-    df = spark.createDataFrame([(1, "a b", 9, 8)], "doc_id long, text string, n_words int, g int")
-    assert substring_dedup.remove_repeats(df, window=5).columns == ["doc_id", "n_words", "n_removed", "kept_text"]
+    df = spark.createDataFrame([(1, "a b", 9, 8, 7)], "doc_id long, text string, n_words int, g int, _text int")
+    out = substring_dedup.remove_repeats(df, window=5)
+    assert out.columns == ["doc_id", "g", "_text", "n_words", "n_removed", "kept_text"] and out.first()[:4] == (1, 8, 7, 2)
     assert substring_dedup.remove_repeats(df.limit(0), window=5).count() == 0
 
 
@@ -263,6 +265,11 @@ def test_contamination_edges(spark):
     out = decontamination.find_contamination(twice, items)
     assert sorted(out.columns) == sorted(["doc_id", "n_words", "n_hit", "n_items", "item_ids", "contaminated"])
     assert [(r.doc_id, r.n_words, r.n_hit) for r in out.collect()] == [(1, 2, 0)] * 2
+    odd = spark.createDataFrame([(1, "a b", "s", {"x": 1}, 5), (1, "a b", "s", {"x": 1}, 5), (None, None, None, None, None)], "doc_id long, text string, _src string, m map<string,int>, key int")
+    for literals in (100, 0):
+        out = decontamination.find_contamination(odd, spark.createDataFrame([(7, "B")], "item_id long, text string"), max_literals=literals)
+        assert out.columns == ["doc_id", "_src", "m", "key", "n_words", "n_hit", "n_items", "item_ids", "contaminated"]
+        assert sorted((r._src or "", r.m, r.key or 0, r.n_hit, r.item_ids) for r in out.collect()) == [("", None, 0, 0, []), ("s", {"x": 1}, 5, 1, ["7"]), ("s", {"x": 1}, 5, 1, ["7"])]
     assert decontamination.find_contamination(twice.limit(0), items).count() == 0
 
 
@@ -275,9 +282,17 @@ def test_contamination_query(spark):
     assert {r.doc_id: (r.n_words, r.n_hit, r.items_sha256) for r in rows.collect()} == want
 
 
+def test_rows_repeated_whole_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "LEAST_BYTES", 64)
+    df = spark.createDataFrame([(1, "a b c d e f g")] * 60 + [(2, "h i j k l m n")], "doc_id long, text string").repartition(8)
+    out = substring_dedup.remove_repeats(df, window=5).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in out) == [(1, 7)] * 60 + [(2, 0)]
+
+
 def test_copies_are_spread_by_any_id(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 64)
+    monkeypatch.setattr(substring_dedup, "LEAST_BYTES", 64)
     df = spark.createDataFrame([(i, "a b c d e f g", {"k": i}) for i in range(40)], "row_id long, text string, extra map<string,int>")
     out = substring_dedup.remove_repeats(df, window=5)
-    assert re.search(r"xxhash64\(text#\d+, row_id#\d+L?, 42\)", out._jdf.queryExecution().analyzed().toString())
+    assert re.search(r"xxhash64\(text#\d+, row_id#\d+L?, SPARK_PARTITION_ID\(\), 42\)", out._jdf.queryExecution().analyzed().toString())
     assert {(r.n_words, r.n_removed, r.kept_text) for r in out.collect()} == {(7, 7, "")} and out.count() == 40
