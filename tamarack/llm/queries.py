@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import find_contamination
 from .html_extraction import extract
-from .media_columns import load, store, thumbnail_feature
+from .media_columns import load, store
 from .ngram_join import near_duplicates
 from .pii import pseudonymise
 from .quality_classifier import resample
@@ -101,7 +101,7 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        thumbnail_feature(F.col("rgb"), F.col("height"), F.col("width")).alias("feature"),
+        "feature",
     )
 
 

@@ -74,6 +74,45 @@ def test_media_query(spark, texts):
         assert (got.n_bytes, got.payload_bytes, got.payload_sha256, got.tail_crc32) == (len(r.text.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
 
 
+def test_another_decoder_reads_the_files(spark):
+    """The JVM's own JPEG reader sees the same picture: its luminance samples are ours."""
+    jvm, r = spark._jvm, random.Random(3)
+    for size in (64, 5000):
+        file = media_columns.to_jpeg(media_columns.padded(bytes(r.choices(b"abcdefgh ", k=size))))
+        stream = jvm.javax.imageio.ImageIO.createImageInputStream(jvm.java.io.ByteArrayInputStream(file))
+        reader = jvm.javax.imageio.ImageIO.getImageReadersByFormatName("jpeg").next()
+        reader.setInput(stream)
+        raster = reader.readRaster(0, None)
+        picture = jpeg.Picture(file)
+        h, w, _ = picture.rgb().shape
+        assert (raster.getWidth(), raster.getHeight()) == (w, h)
+        seen = np.array(list(raster.getSamples(0, 0, min(w, 64), 16, 0, spark.sparkContext._gateway.new_array(jvm.int, min(w, 64) * 16)))).reshape(16, -1)
+        ours = luminance(picture)[:16, : min(w, 64)]
+        assert np.abs(seen - ours).max() <= 2 and seen.std() > 5
+
+
+def luminance(picture):
+    """The Y plane by the transform's definition, in floating point."""
+    k = np.arange(8)
+    basis = np.cos((2 * k[:, None] + 1) * k[None, :] * np.pi / 16) * np.where(k == 0, np.sqrt(0.5), 1.0)[None, :] / 2
+    natural = np.zeros(picture.planes[0].shape)
+    natural[..., jpeg.ZIGZAG] = picture.planes[0]  # coefficients are kept in the order of the scans
+    blocks = natural.reshape(*natural.shape[:2], 8, 8)
+    pixels = np.einsum("yv,rcvu,xu->rycx", basis, blocks, basis) + 128
+    return np.clip(np.round(pixels.reshape(pixels.shape[0] * 8, -1)), 0, 255)
+
+
+def test_media_names_and_features(spark):
+    df = spark.createDataFrame([(1, "x", 3, 4), (2, None, 3, 4)], "doc_id long, text string, _text int, feature int")
+    out = media_columns.load(media_columns.store(df))
+    assert out.columns == ["doc_id", "_text", "media", "payload", "rgb", "height", "width", "feature"]
+    for row in out.collect():
+        small = media_columns.thumbnail(np.frombuffer(row.rgb, np.uint8).reshape(row.height, row.width, 3))
+        plain = [[np.frombuffer(row.rgb, np.uint8).reshape(row.height, row.width, 3)[y * row.height // 8 : (y + 1) * row.height // 8, x * row.width // 8 : (x + 1) * row.width // 8].reshape(-1, 3).mean(axis=0) for x in range(8)] for y in range(8)]
+        assert (small == np.floor(np.array(plain) + 1e-9)).all() and row.feature.startswith(f"{row.height}x{row.width}:") and len(row.feature.split(":")[1]) == 16
+    assert media_columns.load(media_columns.store(df.limit(0))).count() == 0
+
+
 # SentencePiece
 
 
