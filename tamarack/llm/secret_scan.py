@@ -1,13 +1,17 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a long run of key characters with letters and digits. The forest sees its length, the transitions between
-its characters, how much of it dictionary words cover, its path, and the words next to it; it is trained from labelled
-findings. Everything runs in the JVM: DataFrame functions and Spark ML, no Python on executors. Every row stands alone.
+A candidate is a run of 16 or more key characters (A-Z a-z 0-9 + / _ -) with a letter and a digit. What is shorter, has no
+digit or no letter, or lies between other characters (pass phrases, PEM blocks, whose lines of base64 are candidates each)
+is not looked at. The forest sees a candidate's length, how likely the transitions between its characters are in words, how
+much of it dictionary words cover, its path, and the words next to it; it is trained from labelled findings that the caller
+gives (labelled_findings makes some to start with). Everything runs in the JVM: DataFrame functions and Spark ML, no
+Python on executors. Every row stands alone.
 """
 
 from __future__ import annotations
 
 import random
+from math import log
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -40,16 +44,28 @@ DICTIONARY = (
     "support system table target task team template test text theme thread time title tools topic track transfer type "
     "update upload user utils value version video view virtual visit week widget window work world write your"
 ).split()
-_WORDS = "|".join(sorted(DICTIONARY, key=len, reverse=True))
-#: Pairs of letters frequent in written words (fixed values).
-_PAIRS = "th|he|in|er|an|re|nd|at|on|nt|ha|es|st|en|ed|to|it|ou|ea|hi|is|or|ti|as|te|et|ng|of|al|de|se|le|sa|si|ar|ve|ra|ld|ur"
+#: Kinds of characters in transitions: a letter each, digits, anything else.
+_KINDS = 28
+
+
+def transition_scores(words: list[str]) -> list[float]:
+    """Log likelihoods of a kind of character after another, row by row, from the transitions in words; half an
+    occurrence is added to each."""
+    counts = [[0.5] * _KINDS for _ in range(_KINDS)]
+    for w in words:
+        kinds = [ord(c) - 97 if "a" <= c <= "z" else 26 if c.isdigit() else 27 for c in f" {w.lower()} "]
+        for a, b in zip(kinds, kinds[1:], strict=False):
+            counts[a][b] += 1
+    return [round(log(n / sum(row)), 6) for row in counts for n in row]
+
+
 _KEY_WORD = r"(?i)(token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)\W*(\w+\W*)?$"
 _ASSIGNED = r"[=:]\s*[\"'`]?$|(?i)bearer\s$"
 _OTHER_WORD = r"(?i)(commit|sha-?[0-9]*|md5|checksum|digest|hash|uuid|guid|revision|etag|example|sample|dummy|fixture|version|build|image|href|url|path|file|class|import)\W*(\w+\W*)?$"
 _OTHER_AFTER = r"(?i)^\W{0,3}\s*(\.\.\.|example|sample|placeholder|in test|\.(java|py|js|png|jpg|html))"
 _PATH = r"(?i)(^|[/_.-])(tests?|examples?|fixtures?|samples?|docs?|mocks?|lock|sum|min)([/_.-]|$)"
 
-FEATURES = [f"f_{name}" for name in ("length", "transitions", "distinct", "digits", "upper", "hex", "separators", "dictionary", "pairs", "placeholder", "path", "key_word", "assigned", "other_word", "other_after")]
+FEATURES = [f"f_{name}" for name in ("length", "transitions", "distinct", "digits", "upper", "hex", "separators", "dictionary", "placeholder", "path", "key_word", "assigned", "other_word", "other_after")]
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -70,16 +86,29 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.select(*kept, F.explode(met).alias("_c")).select(*kept, "_c.*")
 
 
-def with_features(findings: DataFrame, path_col: str | None = None) -> DataFrame:
-    """findings (candidate, before, after) with one column for each feature."""
+def _likeliness(c: Column, words: list[str]) -> Column:
+    """Mean score of the transitions in c."""
+    scores = F.array(*[F.lit(x) for x in transition_scores(words)])
+    kind = lambda x: F.when(x.between("a", "z"), F.ascii(x) - 97).when(x.between("0", "9"), 26).otherwise(27)
+    kinds = F.transform(F.split(F.lower(c), ""), kind)
+
+    def mean(k: Column) -> Column:
+        found = F.zip_with(F.slice(k, 1, F.size(k) - 1), F.slice(k, 2, F.size(k) - 1), lambda a, b: F.get(scores, a * _KINDS + b))
+        return F.aggregate(found, F.lit(0.0), lambda total, x: total + x) / F.size(found)
+
+    return F.transform(F.array(kinds), mean)[0]
+
+
+def with_features(findings: DataFrame, path_col: str | None = None, words: list[str] = DICTIONARY) -> DataFrame:
+    """findings (candidate, before, after) with one column for each feature; words: the dictionary, in lower case."""
     c = F.col("candidate")
     n = F.char_length(c).cast("double")
+    dictionary = "|".join(sorted(words, key=lambda w: (-len(w), w)))
 
     def share(pattern: str, x: Column = c) -> Column:
         return F.regexp_count(x, F.lit(pattern)) / n
 
-    change = r"(?<=[a-z])(?![a-z])(?!$)|(?<=[A-Z])(?![A-Z])(?!$)|(?<=[0-9])(?![0-9])(?!$)"
-    cover = (n - F.char_length(F.regexp_replace(F.lower(c), _WORDS, ""))) / n
+    cover = (n - F.char_length(F.regexp_replace(F.lower(c), dictionary, ""))) / n
 
     def flag(test: Column) -> Column:
         return F.coalesce(test.cast("double"), F.lit(0.0))
@@ -87,14 +116,13 @@ def with_features(findings: DataFrame, path_col: str | None = None) -> DataFrame
     return findings.withColumns(
         {
             "f_length": F.least(n, F.lit(200.0)),
-            "f_transitions": share(change),
+            "f_transitions": F.round(_likeliness(c, words), 6),
             "f_distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(64.0)),
             "f_digits": share("[0-9]"),
             "f_upper": share("[A-Z]"),
             "f_hex": flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
             "f_separators": share("[+/_=-]"),
             "f_dictionary": cover,
-            "f_pairs": share(_PAIRS, F.lower(c)),
             "f_placeholder": flag(c.rlike(r"(?i)x{4}|(.)\1{4}|01234|12345|abcde|your|here|todo|changeme|example")),
             "f_path": flag(F.col(path_col).rlike(_PATH)) if path_col else F.lit(0.0),
             "f_key_word": flag(F.col("before").rlike(_KEY_WORD)),
@@ -166,7 +194,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, text_col: str
     probability (4 places).
 
     Null and empty texts have none; repeated rows report theirs each; a null path reads as no test path. Input columns
-    named like an output are replaced.
+    named like an output are replaced. An empty table gives an empty table.
     """
     found = with_features(candidates(replace_columns(docs, "probability", *FEATURES), text_col), path_col)
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(found)
