@@ -1,9 +1,13 @@
 """Main text of web pages by template deduction over the pages of a host.
 
 Tokens are tags (with their path from the root) and texts (with their path). The occurrence vector of a token is how often
-each different page of a host has it; tokens with equal vectors form an equivalence class. Classes that are large and
-frequent enough are the host's template. Classes are not nested (those of only some of a host's pages are no template), and
-only their texts are used: the main text is the article, or else the densest element of what the template leaves over.
+each different page of a host has it; tokens with equal vectors form an equivalence class. A class nests in the class of
+the element around it: whatever has a token also has the element that it lies in, so the pages of the outer class cover
+those of the inner one. Classes that are large and frequent enough are the host's template, those of only some of a host's
+pages inside the others; a text is template where it stands on most of the pages that have its element at all.
+
+What the template leaves over are its slots: texts by the innermost template element around them. The main text is the
+article; without one it is the innermost template element whose slots hold most of what is left.
 
 Vectors are never built: a class is known by the XOR of hashes of (page, count), combined before the shuffle, so a host
 with a third of all pages is no single task. Templates go to the pages by a broadcast while their number, which is counted,
@@ -16,20 +20,22 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import written
-from .sizing import replace_columns
+from .sizing import free_names, replace_columns
 
-#: A class needs so many tokens, and its tokens so many pages and such a share of their host's different pages.
+#: A class needs so many tokens and so many different pages; a text also such a share of the pages with its element.
 CLASS_TOKENS, CLASS_PAGES, CLASS_SHARE = 2, 4, 0.8
-#: Template tokens that are broadcast at most (8 bytes each).
-BROADCAST_TOKENS = 2_000_000
+#: Template tokens that are broadcast at most (8 bytes each), and hosts whose templates a worker keeps at hand.
+BROADCAST_TOKENS, KEPT_HOSTS = 1_000_000, 64
 
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|iframe|svg|math|object|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -150,41 +156,57 @@ def token(*parts: str) -> int:
 
 
 def _host_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, token, count) for all tokens of pages (host, html); page is a hash of the page."""
+    """(host, page, token, around, count) for all tokens of pages (host, html): around is the token of the element that a
+    token lies in (null at the root and for texts outside of all), page a hash of the page."""
     for batch in batches:
-        hosts, pages, tokens, counts = [], [], [], []
+        hosts, pages, tokens, arounds, counts = [], [], [], [], []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page = Page(source)
-            found = Counter({token("tag", p): n for p, n in page.tags.items()})
-            found.update(token("text", p, t.strip()) for p, t, *_ in page.texts if t != " ")
-            n = len(found)
-            hosts.extend([host] * n)
-            pages.extend([token("page", source)] * n)
-            tokens.extend(found.keys())
-            counts.extend(found.values())
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(tokens, pa.int64()), pa.array(counts, pa.int32())], names=["host", "page", "token", "count"])
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, token, share): the tokens of each host's valid equivalence classes, from pages (host, html).
-
-    Copies of a page are one page. A class is valid if it has CLASS_TOKENS tokens, and CLASS_PAGES pages or more that
-    are CLASS_SHARE of the host's.
+            tags = {p: token("tag", p) for p in page.tags}
+            found = {(tags[p], tags.get(p.rpartition("/")[0]), True): n for p, n in page.tags.items()}
+            texts = Counter((token("text", p, t.strip()), tags.get(p), False) for p, t, *_ in page.texts if t != " ")
+            for (own, around, _), n in (found | texts).items():
+                tokens.append(own), arounds.append(around), counts.append(n)
+            hosts.extend([host] * (len(tokens) - len(hosts)))
+            pages.extend([token("page", source)] * (len(tokens) - len(pages)))
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        columns = (hosts, pages, tokens, arounds, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["host", "page", "token", "around", "count"])
+
+
+def classes(pages: DataFrame) -> DataFrame:
+    """(host, token, around, vector, n, outer_vector, n_outer): each token of pages (host, html) with its equivalence
+    class and pages, and the class and pages of the element around it (at the root: no class, and all of the host's
+    pages). Copies of a page are one page."""
+    seen = written(pages.mapInArrow(_host_tokens, "host string, page long, token long, around long, count int").distinct(), "tokens")
+    each = seen.groupBy("host", "token", "around").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("page", "count")).alias("vector"))
+    each = written(each.where(F.col("n") >= CLASS_PAGES), "vectors")  # whatever is on fewer pages is in no template
+    every = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    outer = each.select("host", F.col("token").alias("around"), F.col("vector").alias("outer_vector"), F.col("n").alias("n_outer"))
+    nested = each.join(outer, ["host", "around"], "left").join(every, "host")
+    return nested.select("host", "token", "around", "vector", "n", "outer_vector", F.coalesce("n_outer", "pages").alias("n_outer"), F.col("n_outer").isNull().alias("outermost"))
+
+
+def templates(pages: DataFrame, texts_share: float = CLASS_SHARE) -> DataFrame:
+    """(host, token): the template of each host, from pages (host, html).
+
+    A class is in it if it has CLASS_TOKENS tokens, and CLASS_PAGES pages. Its texts are if they stand on texts_share of
+    the pages that have their element.
     """
-    schema = "host string, page long, token long, count int"
-    seen = written(pages.mapInArrow(_host_tokens, schema).distinct(), "tokens")
-    each = seen.groupBy("host", "token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("page", "count")).alias("vector"))
-    all_pages = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    often = each.where(F.col("n") >= CLASS_PAGES).join(all_pages, "host").where(F.col("n") >= CLASS_SHARE * F.col("pages"))
-    classes = often.groupBy("host", "vector", "n").agg(F.count("*").alias("size")).where(F.col("size") >= CLASS_TOKENS)
-    return often.join(classes.select("host", "vector", "n"), ["host", "vector", "n"]).select("host", "token", (F.col("n") / F.col("pages")).alias("share"))
+    every = classes(pages)
+    large = every.groupBy("host", "vector", "n").agg(F.count("*").alias("size")).where(F.col("size") >= CLASS_TOKENS)
+    kept = every.join(large.select("host", "vector", "n"), ["host", "vector", "n"])
+    # elements that others lie in are tags; a token around none is template like a text, by its share of the pages
+    tags = kept.select("host", F.col("around").alias("token")).where("token is not null").distinct().withColumn("tag", F.lit(True))
+    judged = kept.join(tags, ["host", "token"], "left")
+    return judged.where(F.coalesce("tag", F.lit(False)) | (F.col("n") >= texts_share * F.col("n_outer"))).select("host", "token").distinct()
 
 
 def main_text(source: str, template: frozenset[int]) -> str:
     """The article of a page: its texts outside asides, one line a block; outside <article> and <main> without template texts.
 
-    With an <article> or <main> that holds text, its texts; else, of the texts that the template leaves, those below the
-    deepest element with two thirds of them.
+    With an <article> or <main> that holds text, its texts; else, of the texts that the template leaves, the slots of
+    its innermost element with two thirds of them.
     """
     page = Page(source)
     left = [(p, t, b, inside) for p, t, b, aside, inside in page.texts if not aside and (inside or t == " " or token("text", p, t.strip()) not in template)]
@@ -199,7 +221,8 @@ def main_text(source: str, template: frozenset[int]) -> str:
 
 
 def _densest(left: list, template: frozenset[int]) -> list:
-    """Texts below the deepest element that has at least two thirds of the text (of page bodies only)."""
+    """The slots of the innermost template element that has at least two thirds of the text; without a template (or with
+    none that tells more than the body) those below the innermost such element of any kind."""
     weight: Counter[str] = Counter()
     for p, t, *_ in left:
         steps = p.split("/")
@@ -207,8 +230,9 @@ def _densest(left: list, template: frozenset[int]) -> list:
             weight["/".join(steps[:i])] += len(t)
     if not weight:
         return []
-    total = weight[""]
-    best = max((p for p, n in weight.items() if 3 * n >= 2 * total), key=lambda p: (p.count("/"), weight[p]))
+    heavy = [p for p, n in weight.items() if 3 * n >= 2 * weight[""]]
+    framed = [p for p in heavy if p and p.rsplit("/", 1)[-1].split(".")[0] not in ("html", "body") and token("tag", p) in template]
+    best = max(framed or heavy, key=lambda p: (p.count("/"), weight[p]))
     last = best.rsplit("/", 1)[-1].split(".")[0]
     if last and last not in ("div", "section", "td", "body", "html", "center", "table", "tr", "tbody"):
         best = best.rsplit("/", 1)[0]
@@ -227,18 +251,28 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     source = F.coalesce(F.col(html_col), F.lit(""))
-    kept = [c for c in replace_columns(pages, "text", "_host", "_html", "_template").columns if c != html_col]
-    frame = templates(pages.select(host.alias("host"), source.alias("html"))).groupBy("host").agg(F.collect_set("token").alias("_template"))
+    kept = [c for c in replace_columns(pages, "text").columns if c != html_col]
+    own, body, told = free_names(pages, "host", "html", "template")
+    frame = templates(pages.select(host.alias("host"), source.alias("html"))).groupBy("host").agg(F.collect_set("token").alias("template"))
     frame = written(frame, "templates")
-    small = (frame.agg(F.sum(F.size("_template"))).first()[0] or 0) <= BROADCAST_TOKENS
-    rows = pages.select(*kept, host.alias("_host"), source.alias("_html"))
-    told = frame.withColumnRenamed("host", "_host")
-    rows = rows.join(F.broadcast(told) if small else told, "_host", "left").select(*kept, "_html", "_template")
+    small = (frame.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_TOKENS
+    rows = pages.select(*kept, source.alias(body), host.alias(own))
+    schema = T.StructType(rows.schema.fields[:-2]).add("text", "string")
+    if small:
+        at_hand = {r.host: np.array(r.template, np.int64) for r in frame.collect()}  # BROADCAST_TOKENS numbers
+        shared = pages.sparkSession.sparkContext.broadcast(at_hand)
+    else:
+        rows = rows.join(frame.select(F.col("host").alias(own), F.col("template").alias(told)), own, "left").select(*kept, body, told)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=KEPT_HOSTS)
+        def of_host(name: str) -> frozenset[int]:
+            return frozenset(shared.value.get(name, np.zeros(0, np.int64)).tolist())
+
         for batch in batches:
             n = batch.num_columns
-            texts = [main_text(s, frozenset(t or ())) for s, t in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(texts, pa.string())], names=[*kept, "text"])
+            last = batch.column(n - 1).to_pylist()
+            texts = [main_text(s, of_host(t) if small else frozenset(t or ())) for s, t in zip(batch.column(n - 2).to_pylist(), last, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(texts, pa.string())], names=schema.names)
 
-    return rows.mapInArrow(run, T.StructType(list(rows.schema.fields[:-2])).add("text", "string"))
+    return rows.mapInArrow(run, schema)
