@@ -138,15 +138,24 @@ def time_ago(ts: Column, as_of: Column) -> Column:
 
 
 def key_facts(text: Column, most: int = 5) -> Column:
-    """The first non-empty lines, without list marks."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*[-*•]\s*", "")))
-    return F.slice(F.filter(lines, lambda x: x != ""), 1, most)
+    """The first lines that hold more than spaces and dashes, without those at their ends; a text of one such line is one
+    fact as it is."""
+    whole = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    lines = F.transform(F.split(F.replace(whole, F.lit("\r"), F.lit("\n")), "\n"), lambda x: F.regexp_replace(x, "^[ -]+|[ -]+$", ""))
+    found = F.filter(lines, lambda x: x != "")
+    return F.when(whole == "", F.array().cast("array<string>")).when(F.size(found) > 1, F.slice(found, 1, most)).otherwise(F.array(whole))
+
+
+#: Words that make a question a fact.
+FACT_WORDS = ["because", "after", "signed", "paid", "received", "own", "rent"]
 
 
 def material_facts(text: Column, most: int = 6) -> Column:
-    """The first sentences of 12 to 260 characters."""
-    parts = F.transform(F.split(text, r"(?<=[.!?。])\s+|\n+"), lambda x: F.trim(x))
-    return F.slice(F.filter(parts, lambda x: F.char_length(x).between(12, 260)), 1, most)
+    """The first sentences of 12 characters or more that tell something, each cut at 260: parts between sentence ends,
+    semicolons and dashes, without mere questions."""
+    parts = F.transform(F.split(text, r"(?U)(?<=[.!?])\s+|;|\s+-\s+"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    tells = lambda x: (F.char_length(x) >= 12) & (~x.endswith("?") | any_of(F.lower(x), FACT_WORDS))
+    return F.transform(F.slice(F.filter(parts, tells), 1, most), lambda x: F.substring(x, 1, 260))
 
 
 def without_fences(text: Column) -> Column:
