@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,9 @@ from .sizing import free_names, replace_columns
 
 #: Buckets of each of a model's two hash tables, and of both; blocks in which partitions hand on their counts.
 BITS = 20
-BUCKETS, BLOCK = 2 << BITS, 1 << 15
+BUCKETS, BLOCK = 2 << BITS, 1 << 14
+#: Counts of a block that a task adds up at once, and how often that is done.
+FAN_IN, LEVELS = 128, 3
 #: Bytes of text in the slices that rows are handed on in.
 SLICE_BYTES = 4 << 20
 #: Lengths of word beginnings (bytes) that count as n-grams: they carry what inflected words share.
@@ -70,7 +73,8 @@ def _features(data, offsets, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's bucket counts for all rows and for target rows, in blocks."""
+    """A partition's bucket counts for all rows and for target rows, in blocks, with the partition's number."""
+    part = TaskContext.get().partitionId()
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
         data, offsets = buffers(batch.column(0))
@@ -82,14 +86,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(target, bucket[good[a:b][row]], 1)
     if raw.any():
         ids = list(range(0, BUCKETS, BLOCK))
-        parts = [pa.array([x[i : i + BLOCK].astype(np.uint32).tobytes() for i in ids], pa.binary()) for x in (raw, target)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *parts], names=["block", "raw", "target"])
+        counts = [pa.array([x[i : i + BLOCK].tobytes() for i in ids], pa.binary()) for x in (raw, target)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([part] * len(ids), pa.int32()), *counts], names=["block", "part", "raw", "target"])
 
 
-def _sum_block(table: pa.Table) -> pa.Table:
-    sums = [sum(np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in table[name]) for name in ("raw", "target")]
-    columns = [pa.array(table["block"].to_pylist()[:1], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in sums], *[pa.array([x.sum()], pa.int64()) for x in sums]]
-    return pa.table(columns, names=["block", "raw", "target", "n_raw", "n_target"])
+def _summed(table: pa.Table) -> pa.Table:
+    """The sums of a group's counts of one block, as one row (part: what its first row's leads to a level up)."""
+    sums = [np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)]
+    for total, name in zip(sums, ("raw", "target"), strict=True):
+        for counts in table[name]:
+            total += np.frombuffer(counts.as_py(), np.int64)
+    keys = [pa.array([table["block"][0].as_py()], pa.int32()), pa.array([table["part"][0].as_py() // FAN_IN], pa.int32())]
+    values = [*[pa.array([x.tobytes()], pa.binary()) for x in sums], *[pa.array([int(x.sum())], pa.int64()) for x in sums]]
+    return pa.table([*keys, *values], names=["block", "part", "raw", "target", "n_raw", "n_target"])
+
+
+def _sum_blocks(counted: DataFrame) -> DataFrame:
+    """(block, part, raw, target, n_raw, n_target) of all partitions' counts, one row a block: partitions are added up
+    FAN_IN at a time, so no task holds more than so many blocks whatever the number of partitions (up to FAN_IN ** LEVELS)."""
+    out = counted
+    for _ in range(LEVELS):
+        groups = out.groupBy("block", F.floor(F.col("part") / FAN_IN))
+        out = groups.applyInArrow(_summed, "block int, part int, raw binary, target binary, n_raw long, n_target long").select("block", "part", "raw", "target", "n_raw", "n_target")
+    return out
 
 
 def evidence(raw: np.ndarray, target: np.ndarray, share: float) -> np.ndarray:
@@ -109,8 +128,8 @@ def fit(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str
     flagged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     flagged = flagged.join(F.broadcast(ids.withColumn("good", F.lit(True))), "id", "left")
     flagged = flagged.select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    counted = flagged.mapInArrow(_count, "block int, raw binary, target binary")
-    blocks = written(counted.groupBy("block").applyInArrow(_sum_block, "block int, raw binary, target binary, n_raw long, n_target long"), "counts")
+    counted = flagged.mapInArrow(_count, "block int, part int, raw binary, target binary")
+    blocks = written(_sum_blocks(counted), "counts")
     n_raw, n_target = blocks.agg(F.sum("n_raw"), F.sum("n_target")).first()
     share = (n_target or 0) / max(1, n_raw or 0)
 

@@ -386,3 +386,12 @@ def test_uniform_headings_of_articles_stay(spark):
     page = "<body><div>Home of host</div><article><h2>Summary</h2><p>Story {0}</p><b>Note:</b> {0}<div class=ad>Buy</div></article><div>All rights</div></body>"
     df = spark.createDataFrame([(i, f"http://h.example/{i}", page.format(i)) for i in range(6)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in H.extract(df).collect()} == {i: f"Summary\nStory {i}\nNote: {i}" for i in range(6)}
+
+
+def test_counts_of_many_partitions(spark, monkeypatch):
+    """Counts added up in levels are those of one partition."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    good = docs.where("doc_id % 2 = 0").select("doc_id")
+    one = quality_classifier.fit(docs.coalesce(1), good)
+    assert (quality_classifier.fit(docs.repartition(40), good) == one).all() and (one < 0).any()
+    assert not quality_classifier.fit(docs.limit(0), good).any()
