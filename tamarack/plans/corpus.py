@@ -38,7 +38,9 @@ def pii_redact(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.sha2(L.redact(F.col("text"))[0].cast("binary"), 256).alias("redacted_sha256"))
 
 
-@query(None)
+@query(f"""
+WITH r AS (SELECT {_redaction_sql()} AS t FROM documents), k AS (SELECT unnest({sorted({k for k, _ in L.PII_PATTERNS})}) AS pii_type)
+SELECT pii_type, count(*) AS documents, sum(len(regexp_extract_all(t, '\[REDACTED_')))::BIGINT AS replacements FROM r JOIN k ON contains(t, '[REDACTED_' || pii_type || ']') GROUP BY pii_type""")
 def pii_distribution(spark, sf_dir):
     """Documents by type of personal data found, and replacements in all."""
     _, types, n = L.redact(F.col("text"))
@@ -79,7 +81,17 @@ def toc_penalty(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", L.toc_penalty(text).cast("double").alias("penalty"))
 
 
-@query(None)
+_ODD = f"[{L._WEIRD}À-ÿ‚„−]"
+_ODD_WORD = f"[A-Za-zÀ-ÿ{L._WEIRD}]"
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 6000) AS t FROM documents),
+c AS (SELECT doc_id, length(regexp_replace(t, '\\s+', '', 'g'))::DOUBLE AS n, len(regexp_extract_all(t, '[A-Za-z]')) AS latin, len(regexp_extract_all(t, '[�À-ÿ‚„−]')) AS bad,
+  len(regexp_extract_all(t, '[^\\p{{L}}\\p{{N}}\\s\\x{{0E80}}-\\x{{0EFF}}]')) AS sym, len(regexp_extract_all(t, '(?:\\. ?){{6,}}|[-_]{{8,}}|["''“”+]{{4,}}|[=|<>\\\\/]{{4,}}')) AS runs, len(regexp_extract_all(t, '�')) AS lost,
+  len(regexp_extract_all(t, '{_ODD}')) AS odd, len(regexp_extract_all(t, '(?:{_ODD_WORD}{{1,6}}-){{2,}}')) AS hyphens, len(regexp_extract_all(t, '{_ODD_WORD}*[À-ÿ{L._WEIRD}]{_ODD_WORD}*')) AS words FROM s),
+q AS (SELECT *, 1 - least(0.70, bad / n * 2.2) - least(0.38, runs * 0.035) - least(0.30, greatest(0, sym / n - 0.25) * 1.4) - CASE WHEN latin / n < 0.18 AND n > 500 THEN 0.08 ELSE 0 END AS score FROM c WHERE n > 0)
+SELECT doc_id, coalesce(c.n >= 80 AND (score < 0.58 OR q.bad / q.n > 0.12 OR q.lost / q.n > 0.01 OR q.odd / q.n > 0.45 OR (q.odd / q.n > 0.18 AND q.hyphens >= 2) OR (q.odd / q.n > 0.28 AND q.words >= 20)), false) AS garbled FROM c LEFT JOIN q USING (doc_id)""")
 def garbled(spark, sf_dir):
     """of texts in ingestion form."""
     return N.with_ingest_form(_docs(spark, sf_dir), "text", "form").select("doc_id", L.garbled(F.col("form")).alias("garbled"))
