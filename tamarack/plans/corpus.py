@@ -40,7 +40,7 @@ def pii_redact(spark, sf_dir):
 
 @query(f"""
 WITH r AS (SELECT {_redaction_sql()} AS t FROM documents), k AS (SELECT unnest({sorted({k for k, _ in L.PII_PATTERNS})}) AS pii_type)
-SELECT pii_type, count(*) AS documents, sum(len(regexp_extract_all(t, '\[REDACTED_')))::BIGINT AS replacements FROM r JOIN k ON contains(t, '[REDACTED_' || pii_type || ']') GROUP BY pii_type""")
+SELECT pii_type, count(*) AS documents, sum(len(regexp_extract_all(t, '\\[REDACTED_')))::BIGINT AS replacements FROM r JOIN k ON contains(t, '[REDACTED_' || pii_type || ']') GROUP BY pii_type""")
 def pii_distribution(spark, sf_dir):
     """Documents by type of personal data found, and replacements in all."""
     _, types, n = L.redact(F.col("text"))

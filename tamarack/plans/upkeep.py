@@ -287,3 +287,65 @@ def agent_status_by_tokens(spark, sf_dir):
         F.count("*").alias("calls"), F.count_if(F.col("ts") >= F.lit("2024-01-30").cast("timestamp_ntz")).alias("last_day"), failed.alias("errors"),
         F.round((1 - failed / F.count("*")) * 100, 1).alias("success"),
     )
+
+
+# Paths that share one rate scope, limits a minute by path, the usual limit, and the least of admins and of
+# their uploads.
+RATE_SCOPES = {"/api/v1/legal/sessions": "/api/v1/legal/sessions", "/api/v1/memory/case/": "/api/v1/memory/case", "/api/v1/admin/": "/api/v1/admin"}
+RATE_LIMITS = {"/api/v1/legal/query": 20, "/api/v1/legal/query/stream": 10, "/api/v1/documents/analyze": 5, "/api/v1/evidence/analyze": 5}
+USUAL_LIMIT, ADMIN_LIMIT, UPLOAD_LIMIT = 30, 120, 30
+
+
+def rate_scope(path: Column) -> Column:
+    return F.coalesce(*[F.when(path.startswith(start), F.lit(scope)) for start, scope in RATE_SCOPES.items()], path)
+
+
+def rate_limit(path: Column) -> Column:
+    """Requests a minute for a path."""
+    limit = F.coalesce(*[F.when(path == p, F.lit(n)) for p, n in RATE_LIMITS.items()], F.lit(USUAL_LIMIT))
+    admin = F.greatest(limit, F.when(path.endswith("/upload"), UPLOAD_LIMIT).otherwise(ADMIN_LIMIT))
+    return F.when(path.startswith("/api/v1/admin/"), admin).otherwise(limit)
+
+
+def allowed_record(tenant_id, client_id) -> Column:
+    """Whether a record of case memory may be read: of the reader's tenant and client or of none; what the reader has not
+    is not asked for."""
+    own = lambda column, value: F.lit(True) if value is None else F.col(column).isNull() | (F.col(column) == F.lit(value))
+    return own("tenant_id", tenant_id) & own("client_id", client_id)
+
+
+def metadata_value(metadata: Column, *names: str) -> Column:
+    """The first of the names that a JSON object has a value for."""
+    return F.coalesce(*[F.get_json_object(metadata, f"$.{n}") for n in names])
+
+
+_PATHS = ["/api/v1/legal/query", "/api/v1/legal/sessions/77/messages", "/api/v1/admin/documents/upload", "/api/v1/admin/kpis", "/api/v1/memory/case/9", "/api/v1/evidence/analyze", "/health2"]
+
+
+@query(f"""
+WITH e AS (SELECT user_id, date_trunc('hour', ts) AS h, {_PATHS}[event_id % 7 + 1] AS p FROM events),
+s AS (SELECT *, CASE WHEN starts_with(p, '/api/v1/legal/sessions') THEN '/api/v1/legal/sessions' WHEN starts_with(p, '/api/v1/memory/case/') THEN '/api/v1/memory/case' WHEN starts_with(p, '/api/v1/admin/') THEN '/api/v1/admin' ELSE p END AS scope,
+  CASE WHEN starts_with(p, '/api/v1/admin/') THEN CASE WHEN ends_with(p, '/upload') THEN 30 ELSE 120 END WHEN p = '/api/v1/legal/query' THEN 20 WHEN p = '/api/v1/evidence/analyze' THEN 5 ELSE 30 END AS l FROM e)
+SELECT user_id, strftime(h, '%Y-%m-%d %H') AS hour, scope, count(*) AS n, min(l) AS least_limit, count(*) > min(l) AS over FROM s GROUP BY 1, 2, 3""")
+def rate_scopes(spark, sf_dir):
+    """K9: requests by client, scope and window against the limits of their paths."""
+    path = F.get(F.array(*map(F.lit, _PATHS)), (F.col("event_id") % 7).cast("int"))
+    e = table(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), rate_scope(path).alias("scope"), rate_limit(path).alias("limit"))
+    out = e.groupBy("user_id", "hour", "scope").agg(F.count("*").alias("n"), F.min("limit").alias("least_limit"))
+    return out.withColumn("over", F.col("n") > F.col("least_limit"))
+
+
+@query("""
+SELECT event_id FROM (SELECT event_id, CASE WHEN user_id % 3 <> 0 THEN user_id % 3 END AS t, CASE WHEN event_id % 4 <> 0 THEN event_id % 4 END AS c FROM events) WHERE (t IS NULL OR t = 1) AND (c IS NULL OR c = 2)""")
+def allowed_records(spark, sf_dir):
+    """P20: records of one's tenant and client or of none."""
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("user_id") % 3 != 0, F.col("user_id") % 3).alias("tenant_id"), F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 4).alias("client_id"))
+    return e.where(allowed_record(1, 2)).select("event_id")
+
+
+@query("""
+SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN event_type END, json_extract_string(props, '$.article'), json_extract_string(props, '$.k')) AS section, coalesce(json_extract_string(props, '$.review_status'), 'approved') AS review_status FROM events""")
+def fallback_chain(spark, sf_dir):
+    """A column, else fields of its metadata, else a default."""
+    section = F.coalesce(F.when(F.col("event_id") % 3 == 0, F.col("event_type")), metadata_value(F.col("props"), "article", "k"))
+    return table(spark, sf_dir, "events").select("event_id", section.alias("section"), F.coalesce(metadata_value(F.col("props"), "review_status"), F.lit("approved")).alias("review_status"))
