@@ -361,9 +361,34 @@ def test_pipeline(spark):
     rows = seen["ngram_jaccard_join"].collect()
     clean = {r.doc_id for r, (_, n, _) in zip(rows, brute_contamination([r.text for r in rows], items), strict=True) if not n}
     assert {r.doc_id for r in seen["benchmark_decontamination"].collect()} == clean
+    from tests.llm.test_pii import ALONE, PII_KEY, expected
+
+    before = {r.doc_id: r.text for r in seen["benchmark_decontamination"].collect()}
+    after = {r.doc_id: r for r in seen["pii"].collect()}
+    assert all(r.text == ALONE.sub(lambda m: expected(m[0], PII_KEY), before[i]) and r.n_chars == len(r.text) for i, r in after.items())
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=f"{TOKENIZERS}/piece_bpe_32k.model")
+    assert {r.doc_id: (r.n_tokens, list(r.ids)) for r in seen["sentencepiece"].collect()} == {i: (len(x), x) for i, x in ((i, model.encode(r.text)) for i, r in after.items())}
     assert {r.doc_id for r in corpus_pipeline.run(spark, f"{DATA}/sf0.01").collect()} == clean
 
 
+def test_stages_of_strange_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, clashing names, maps, and empty tables."""
+    rows = [(1, "plain words of a text here", "s", {"a": 1}, "x"), (1, "plain words of a text here", "s", {"a": 1}, "x"), (1, "plain words of a text here", None, None, None), (None, None, None, None, None), (None, "", None, None, "y"), (2, "", None, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key map<string,int>, secret string").withColumn("n_chars", F.char_length("text").cast("long"))
+    for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    counts = []
+    for table in (docs, docs.limit(0)):
+        at = table
+        for name, stage in corpus_pipeline.STAGES:
+            at = written(stage(spark, at, str(tmp_path)), name)
+            counts.append(at.count())
+            assert name == "sentencepiece" or at.columns == docs.columns
+    assert counts == [6, 4, 4, 4, 4] + [0] * 5  # of the three equal texts one stays; texts without words are no copies
+
+
 def test_names_of_whole_pages_and_headers():
     page = '<body class="with-sidebar"><div class="site-header">Site</div><main class="has-ads"><article><div class="post-header"><h1>Title</h1></div><p>Text</p><div class="share-bar">Share</div></article></main></body>'
     assert H.main_text(page, frozenset()) == "Title\nText"
