@@ -250,6 +250,15 @@ def statute_like(*fields: Column) -> Column:
     return F.lower(F.concat_ws(" ", *fields)).rlike(STATUTE_WORDS)
 
 
+# What makes a retrieved row count as statute in coverage, in any of its labels, titles or sections.
+COVERAGE_STATUTE_WORDS = ["law", "statute", "regulation", "decree", "article", "ກົດໝາຍ", LAO_ARTICLE, "ດຳລັດ", "กฎหมาย", THAI_ARTICLE]
+
+
+def covers_statute(*fields: Column) -> Column:
+    """The wider test, of coverage: over labels, titles, sections and metadata of a row."""
+    return F.lower(F.concat_ws(" ", *fields)).rlike("|".join(COVERAGE_STATUTE_WORDS))
+
+
 def official_source(*fields: Column) -> Column:
     return F.lower(F.concat_ws(" ", *fields)).rlike(f"{OFFICIAL_HOST}|official".replace(".", r"\."))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import legal_text as L
 from ..operators.scans import insert_missing
 from ..tables import table
 from .registry import query
@@ -349,3 +350,13 @@ def fallback_chain(spark, sf_dir):
     """A column, else fields of its metadata, else a default."""
     section = F.coalesce(F.when(F.col("event_id") % 3 == 0, F.col("event_type")), metadata_value(F.col("props"), "article", "k"))
     return table(spark, sf_dir, "events").select("event_id", section.alias("section"), F.coalesce(metadata_value(F.col("props"), "review_status"), F.lit("approved")).alias("review_status"))
+
+
+@query("""
+SELECT doc_id, regexp_matches(lower(concat_ws(' ', CASE WHEN doc_id % 4 = 0 THEN 'laws' WHEN doc_id % 4 = 1 THEN 'cases' END, source, CASE doc_id % 3 WHEN 0 THEN 'ມາດຕາ ' || doc_id WHEN 1 THEN 'Art. 5' END)), 'law|statute|regulation|decree|article|ກົດໝາຍ|ມາດຕາ|ດຳລັດ|กฎหมาย|มาตรา') AS covers,
+  regexp_matches(lower(concat_ws(' ', source, CASE doc_id % 3 WHEN 0 THEN 'ມາດຕາ ' || doc_id WHEN 1 THEN 'Art. 5' END)), 'law|statute|act|code|decree|regulation|article|ມາດຕາ|มาตรา|ກົດໝາຍ') AS title_like FROM documents""")
+def statute_tests(spark, sf_dir):
+    """Both tests of statutes: coverage's over all labels, retrieval's over title and section."""
+    n = F.col("doc_id")
+    kind, section = F.when(n % 4 == 0, "laws").when(n % 4 == 1, "cases"), F.when(n % 3 == 0, F.concat(F.lit("ມາດຕາ "), n.cast("string"))).when(n % 3 == 1, "Art. 5")
+    return table(spark, sf_dir, "documents").select("doc_id", L.covers_statute(kind, F.col("source"), section).alias("covers"), L.statute_like(F.col("source"), section).alias("title_like"))
