@@ -1,6 +1,7 @@
 """The classifier against plain Python: n-grams as text, no hashing."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -38,16 +39,24 @@ def plain_weights(rows, good):
     return [sum(map(evidence, f)) for f in features]
 
 
+def fixture():
+    """Good texts and junk, few enough n-grams (about a hundredth of the buckets) that hardly any share both buckets."""
+    r = random.Random(8)
+    words = [f"{a}{b}{c}" for a in ("ber", "lo", "ma", "tik") for b in ("na", "ro", "sé") for c in ("n", "st", "", "ling")]
+    rows = [None, "", " ", "one"] + [" ".join(r.choices(words, k=r.randint(3, 40))).capitalize() + "." for _ in range(120)]
+    junk = ["Buy!!! spamword now", "$$$ spamword &&& spamwords", "xx xx xx xx xx xx", "$$$ &&& ***"]
+    rows += [" ".join(r.choices([*words[:9], *junk], k=r.randint(5, 30))) for _ in range(80)]
+    return list(enumerate(rows)), {i for i in range(4, 124) if i % 3}
+
+
 def test_weights_are_the_plain_ones(spark):
-    sf = f"{DATA}/sf0.01"
-    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1 and toxic = 0").collect()}
-    model = Q.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.createDataFrame([(i,) for i in good], "doc_id long"))
-    got = {r.doc_id: r.log_weight for r in Q.log_weights(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), model).collect()}
+    rows, good = fixture()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = Q.fit(docs, spark.createDataFrame([(i,) for i in good], "doc_id long"))
+    got = {r.doc_id: r.log_weight for r in Q.log_weights(docs, model).collect()}
     want = plain_weights(rows, good)
-    # an n-gram that shares both of its buckets may differ; that is rarer than one in a thousand
-    wrong = [(i, got[i], w) for (i, _), w in zip(rows, want, strict=True) if abs(got[i] - w) > 0.01 + 0.005 * abs(w)]
-    assert len(wrong) <= 5 and sum(w < -5 for w in want) > 50, wrong[:5]
+    wrong = [(i, got[i], w) for (i, _), w in zip(rows, want, strict=True) if abs(got[i] - w) > 0.01]
+    assert len(wrong) <= 4 and sum(w < -5 for w in want) > 30 and sum(w == 0 for w in want) > 60, wrong[:5]
 
 
 def test_draw_takes_the_largest_keys(spark):
