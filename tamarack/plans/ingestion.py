@@ -65,9 +65,9 @@ def chunk_rows(ingested: DataFrame) -> DataFrame:
     return rows.select("source_table", "source_id", F.col("c.index").alias("chunk_index"), F.col("c.section").alias("section_ref"), F.col("c.content").alias("content"), "c.token_count", "quality", "jurisdiction", "review_status", "title")
 
 
-def example_items(spark, sf_dir) -> DataFrame:
-    """documents as uploads: two extractors each, one of which spoils the text; some kinds, titles and types."""
-    d = table(spark, sf_dir, "documents")
+def example_items(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
+    """documents (or rows of it) as uploads: two extractors each, one of which spoils the text; some kinds, titles and types."""
+    d = table(spark, sf_dir, "documents") if rows is None else rows
     n, headed = F.col("doc_id"), F.concat(F.lit("Article 1\n"), F.substring("text", 1, 400), F.lit("\n\f12\n.........\nSection 2: "), F.col("text"))
     spoilt = F.translate("text", "aeiou", "�ÃÂÄË")
     extracted = F.array(F.struct(F.lit("layer").alias("method"), F.when(n % 3 == 0, spoilt).otherwise(headed).alias("text")), F.struct(F.lit("second").alias("method"), F.col("text").alias("text")))
