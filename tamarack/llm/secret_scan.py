@@ -15,7 +15,6 @@ from math import log
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,15 +188,52 @@ def train(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 3) -
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(vectors.select("features", "label"))
 
 
+def forest_probability(model: RandomForestClassificationModel) -> Column:
+    """The forest's probability of a secret from the columns FEATURES: the mean over trees of the share of secrets in the
+    leaf that a row falls into. The trees' nodes are constant arrays (what is compared, with what, where either side goes on,
+    the share); a row walks down from each root in as many steps as the deepest tree has. So the plan holds expressions
+    only, no functions of a fitted model, whatever session or thread has used that before."""
+    feature, threshold, left, right, share, roots = [], [], [], [], [], []
+
+    def add(node) -> int:
+        """Appends a node and what is below it; its place."""
+        at = len(feature)
+        for x in (feature, threshold, left, right, share):
+            x.append(0)
+        if node.subtreeDepth() == 0:
+            stats = list(node.impurityStats().stats())
+            feature[at], left[at], right[at], share[at] = -1, at, at, stats[1] / sum(stats)
+        else:
+            feature[at], threshold[at] = node.split().featureIndex(), node.split().threshold()
+            left[at], right[at] = add(node.leftChild()), add(node.rightChild())
+        return at
+
+    trees = [tree._java_obj.rootNode() for tree in model.trees]
+    roots = [add(root) for root in trees]
+
+    def constant(values: list, kind: str) -> Column:
+        return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+    feature, left, right, threshold, share = (constant(x, k) for x, k in ((feature, "int"), (left, "int"), (right, "int"), (threshold, "double"), (share, "double")))
+    row = F.array(*[F.col(f) for f in FEATURES])
+
+    def down(node: Column, _: Column) -> Column:
+        what = F.get(feature, node)
+        return F.when(what < 0, node).when(F.get(row, what) <= F.get(threshold, node), F.get(left, node)).otherwise(F.get(right, node))
+
+    steps = F.sequence(F.lit(1), F.lit(max([1, *[r.subtreeDepth() for r in trees]])))
+    leaves = F.transform(constant(roots, "int"), lambda root: F.get(share, F.aggregate(steps, root, down)))
+    return F.aggregate(leaves, F.lit(0.0), lambda total, x: total + x) / len(roots)
+
+
 def scan(docs: DataFrame, model: RandomForestClassificationModel, text_col: str = "text", path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
     """The findings of docs that the forest holds for secrets: the other columns of docs, n, candidate, before, after,
     probability (4 places).
 
-    Null and empty texts have none; repeated rows report theirs each; a null path reads as no test path. Input columns
-    named like an output are replaced. An empty table gives an empty table.
+    Null and empty texts have none; repeated rows report theirs each, with equal probabilities; a null path reads as no test
+    path. Very long texts are read whole: their candidates are cut out before anything else, so only these, with BEFORE and
+    AFTER characters, go on. Input columns named like an output are replaced. An empty table gives an empty table.
     """
     found = with_features(candidates(replace_columns(docs, "probability", *FEATURES), text_col), path_col)
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(found)
-    scored = model.setFeaturesCol("_features").setProbabilityCol("_p").setRawPredictionCol("").setPredictionCol("").transform(vectors)
-    out = scored.withColumn("probability", F.round(vector_to_array("_p")[1], 4))
-    return out.where(F.col("probability") >= threshold).drop(*FEATURES, "_features", "_p")
+    out = found.withColumn("probability", F.round(forest_probability(model), 4))
+    return out.where(F.col("probability") >= threshold).drop(*FEATURES)

@@ -66,13 +66,21 @@ def independent(seed):
     return [(path, line.format(make()), label) for label, kinds in ((1, secrets), (0, harmless)) for path, line, make in kinds for _ in range(40)]
 
 
+def test_probabilities_are_the_models(spark, model):
+    from pyspark.ml.linalg import Vectors
+
+    found = S.with_features(S.candidates(spark.createDataFrame([(i, *x) for i, x in enumerate(independent(5))], "doc_id long, path string, text string, label int")), "path")
+    told = found.select(*S.FEATURES, S.forest_probability(model).alias("p")).collect()
+    want = [model.predictProbability(Vectors.dense([r[f] for f in S.FEATURES]))[1] for r in told]
+    assert len(told) > 200 and [r.p for r in told] == pytest.approx(want, abs=1e-9) and len({round(x, 3) for x in want}) > 8
+
+
 def test_shapes_not_trained_on(spark, model):
     rows = [(i, *x) for i, x in enumerate(independent(21))]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string, label int")
     found = {r.doc_id for r in S.scan(df.drop("label"), model, path_col="path").collect()}
     caught = [i in found for i, _, _, label in rows if label]
     wrong = [i in found for i, _, _, label in rows if not label]
-    print('caught', sum(caught) / len(caught), 'wrong', sum(wrong) / len(wrong))
     assert sum(caught) >= 0.7 * len(caught) and sum(wrong) <= 0.2 * len(wrong), (sum(caught) / len(caught), sum(wrong) / len(wrong))
 
 
