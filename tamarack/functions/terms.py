@@ -12,10 +12,11 @@ from . import kernels as N
 from . import legal_text as L
 
 # Phrases that are terms of their own, and what a marker adds.
-PHRASES = (
-    "ຜູ້ໄດ້ຮັບ ໄດ້ຮັບ ສິດນຳໃຊ້ ສິດນໍາໃຊ້ ສິດນາໍໃຊ້ ປົກປ້ອງ ປົກປັກຮັກສາ ຜົນປະໂຫຍດ ສິດໃຊ້ ສິດໄດ້ຮັບ ສິດໂອນ ສິດສືບທອດ ພົນລະເມືອງ ພົນລະເມືອງລາວ ເຊົ່າ ເຊົາ ຂອງລັດ ສູງສຸດ "
-    "ຈັກປີ ບໍ່ເກີນ ແບ່ງ ຈັດແບ່ງ ແບ່ງເປັນ ເຂດ ປະເພດ ເຂດແລະປະເພດ ການນຳໃຊ້ ບໍລິເວນນ້ຳ ບໍລິເວນນໍ້າ ຫ້າມ ສິ່ງໃດ ການປ່ຽນ ປ່ຽນປະເພດ ເງື່ອນໄຂ ອະນຸມັດ"
-).split()
+PHRASES = [
+    "ຜູ້ໄດ້ຮັບ", "ໄດ້ຮັບ", "ສິດນຳໃຊ້", "ສິດນໍາໃຊ້", "ສິດນາໍໃຊ້", "ປົກປ້ອງ", "ປົກປັກຮັກສາ", "ຜົນປະໂຫຍດ", "ສິດໃຊ້", "ສິດໄດ້ຮັບ", "ສິດໂອນ", "ສິດສືບທອດ", "ພົນລະເມືອງ",
+    "ພົນລະເມືອງລາວ", "ເຊົ່າ", "ເຊົາ", "ຂອງລັດ", "ສູງສຸດ", "ຈັກປີ", "ບໍ່ເກີນ", "ແບ່ງ", "ຈັດແບ່ງ", "ແບ່ງເປັນ", "ເຂດ", "ປະເພດ", "ເຂດແລະປະເພດ", "ການນຳໃຊ້", "ບໍລິເວນນ້ຳ",
+    "ບໍລິເວນນໍ້າ", "ຫ້າມ", "ສິ່ງໃດ", "ການປ່ຽນ", "ປ່ຽນປະເພດ", "ເງື່ອນໄຂ", "ອະນຸມັດ",
+]
 EXPANSIONS = {
     "ເຊົ່າ": ["ເຊົ່າ", "ເຊົາ", "ຄ່າເຊົ່າ", "lease", "rent", "tenant"],
     "ປົກປ້ອງ": ["ປົກປ້ອງ", "ປົກປັກຮັກສາ", "ຜົນປະໂຫຍດ", "ສິດໃຊ້", "ສິດໂອນ", "ສິດສືບທອດ"],

@@ -107,7 +107,7 @@ def degenerate(spark, sf_dir):
 def chunk_overlap(spark, sf_dir):
     """section-aware chunks with overlap."""
     rows = N.with_chunks(N.with_ingest_form(_docs(spark, sf_dir).select("doc_id", "text"), "text", "form"), "form", "chunks")
-    rows = rows.select("doc_id", F.explode("chunks").alias("c"))
+    rows = N.exploded(rows, "chunks", "doc_id")
     return rows.select("doc_id", "c.index", "c.section", "c.token_count", F.sha2(F.col("c.content").cast("binary"), 256).alias("content_sha256"))
 
 

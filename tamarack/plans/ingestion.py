@@ -61,7 +61,8 @@ def ingest(items: DataFrame, most: int = 2600, overlap: int = 350) -> DataFrame:
 def chunk_rows(ingested: DataFrame) -> DataFrame:
     """The rows of the chunk table: (source_table, source_id, chunk_index, section_ref, content, token_count, quality,
     jurisdiction, review_status, title)."""
-    rows = ingested.select("source_table", F.col("id").alias("source_id"), "title", "jurisdiction", "review_status", F.round("quality.score", 3).alias("quality"), F.explode("chunks").alias("c"))
+    rows = ingested.select("source_table", F.col("id").alias("source_id"), "title", "jurisdiction", "review_status", F.round("quality.score", 3).alias("quality"), "chunks")
+    rows = N.exploded(rows, "chunks", *rows.columns[:-1])
     return rows.select("source_table", "source_id", F.col("c.index").alias("chunk_index"), F.col("c.section").alias("section_ref"), F.col("c.content").alias("content"), "c.token_count", "quality", "jurisdiction", "review_status", "title")
 
 

@@ -86,3 +86,11 @@ def test_repaired_answers(spark):
         else:
             assert got is None or (got["id"] == r.doc_id and len(got["parts"]) <= 3)
     assert seen == {dict, type(None)}
+
+
+def test_chunks_are_computed_once(spark):
+    """The form, the sections and the chunks each stand once in the plan, however often they are named."""
+    from tamarack.plans.corpus import chunk_overlap
+
+    plan = chunk_overlap(spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("regexp_replace(") <= 15 and plan.toString().count("ArrowEvalPython") == 2
