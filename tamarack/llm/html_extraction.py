@@ -6,12 +6,14 @@ the element around it: whatever has a token also has the element that it lies in
 those of the inner one. Classes that are large and frequent enough are the host's template, those of only some of a host's
 pages inside the others; a text is template where it stands on most of the pages that have its element at all.
 
-What the template leaves over are its slots: texts by the innermost template element around them. The main text is the
-article; without one it is the innermost template element whose slots hold most of what is left.
+What the template leaves over are its slots: texts by the innermost template element around them. The article is where they
+are: the innermost template element whose slots hold most of what is left. Tags only tell how far it reaches: up to the
+<article> or <main> around that element, or, if the element is wider than one, down to the ones in it that hold most. All
+texts of a content slot's article stay, those that other pages of the host have too. Asides in it are told by tag and name.
 
 Vectors are never built: a class is known by the XOR of hashes of (page, count), combined before the shuffle, so a host
 with a third of all pages is no single task. Templates go to the pages by a broadcast while their number, which is counted,
-allows it, else by a join.
+allows it; beyond that each page gets those of its own tokens that are in its host's template, by a join on (host, token).
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ CLASS_TOKENS, CLASS_PAGES, CLASS_SHARE = 2, 4, 0.8
 BROADCAST_TOKENS, KEPT_HOSTS = 1_000_000, 64
 
 _PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|iframe|svg|math|object|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|iframe|svg|object|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -52,12 +54,14 @@ BLOCKS = frozenset(
 #: Elements that a new block closes when they are left open, and what they are closed up to.
 _CLOSES_P = BLOCKS - {"html", "body", "head"}
 _ASIDE_TAGS = frozenset("nav aside footer form head menu dialog button fieldset".split())
-_ASIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|masthead|topbar|footer|foot|sidebar|aside|rail|ads?|adverts?|advertisement|advertising|adbox|"
-    r"adslot|banner|promo|promotion|sponsor|sponsored|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|comments?|respond|replies|reply|disqus|"
-    r"discussion|related|recommended|share|sharing|social|subscribe|subscription|newsletter|signup|login|search|widget|pagination|pager|skip|toolbar|disclaimer)(?:$|[\s_-])",
-    re.I,
+_ASIDE_NAMES = (
+    "nav|navbar|navigation|menu|breadcrumbs?|masthead|topbar|footer|foot|sidebar|aside|rail|ads?|adverts?|advertisement|advertising|adbox|"
+    "adslot|banner|promo|promotion|sponsor|sponsored|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|comments?|respond|replies|reply|disqus|"
+    "discussion|related|recommended|share|sharing|social|subscribe|subscription|newsletter|signup|login|search|widget|pagination|pager|skip|toolbar|disclaimer"
 )
+#: Around an article a part of a name tells an aside, in it only a whole one: a box of share prices is none for sharing.
+_ASIDE_WORDS = re.compile(rf"(?:^|[\s_-])(?:{_ASIDE_NAMES})(?:$|[\s_-])", re.I)
+_ASIDE_IN_ARTICLE = re.compile(rf"(?<!\S)(?:{_ASIDE_NAMES})(?!\S)", re.I)
 #: Headers are left out around an article, not in it; what holds the whole page is judged by no name.
 _HEADER_WORDS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 _WHOLE = frozenset(("html", "body", "main"))
@@ -118,7 +122,7 @@ class Page:
             self.tags[path] += 1
             inside = stack[-1][3]
             said = _STATES.sub(" ", names)
-            named = said and name not in _WHOLE and (_ASIDE_WORDS.search(said) or not inside and _HEADER_WORDS.search(said))
+            named = said and name not in _WHOLE and (_ASIDE_IN_ARTICLE.search(said) if inside else _ASIDE_WORDS.search(said) or _HEADER_WORDS.search(said))
             aside = stack[-1][2] or name in _ASIDE_TAGS or (name == "header" and not inside) or bool(_HIDDEN.search(attributes))
             if name not in VOID and not attributes.endswith("/"):
                 chain = (*stack[-1][4], n_named) if named else stack[-1][4]
@@ -202,48 +206,96 @@ def templates(pages: DataFrame, texts_share: float = CLASS_SHARE) -> DataFrame:
     return judged.where(F.coalesce("tag", F.lit(False)) | (F.col("n") >= texts_share * F.col("n_outer"))).select("host", "token").distinct()
 
 
-def main_text(source: str, template: frozenset[int]) -> str:
-    """The article of a page: its texts outside asides, one line a block; outside <article> and <main> without template texts.
+#: An element holds the article if it has such a share of what the template leaves; tags narrow it down to no less than
+#: such a share of that.
+SLOT_SHARE, TAG_SHARE = 2 / 3, 1 / 2
+_ARTICLES = ("article", "main")
 
-    With an <article> or <main> that holds text, its texts; else, of the texts that the template leaves, the slots of
-    its innermost element with two thirds of them.
-    """
+
+def main_text(source: str, template: frozenset[int]) -> str:
+    """The article of a page, one line a block, by its host's template (tokens). Without a template, or where it leaves
+    nothing, tags alone tell: the texts of <article> and <main>, else those of the innermost element with most of them."""
     page = Page(source)
-    left = [(p, t, b, inside) for p, t, b, aside, inside in page.texts if not aside and (inside or t == " " or token("text", p, t.strip()) not in template)]
-    chosen = [x for x in left if x[3]]
-    if not any(t.strip() for _, t, *_ in chosen):
-        chosen = _densest(left, template)
+    texts = [(p, t, b, inside) for p, t, b, aside, inside in page.texts if not aside]
+    left = [x for x in texts if x[1] == " " or token("text", x[0], x[1].strip()) not in template]
+    slots = _slots(left, template)
     blocks: dict[int, list[str]] = {}
-    for _, t, b, *_ in chosen:
+    for _, t, b, *_ in _article(texts, left, slots):
         blocks.setdefault(b, []).append(t)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
 
 
-def _densest(left: list, template: frozenset[int]) -> list:
-    """The slots of the innermost template element that has at least two thirds of the text; without a template (or with
-    none that tells more than the body) those below the innermost such element of any kind."""
+def _weights(texts: list) -> Counter[str]:
+    """How much text lies in each element."""
     weight: Counter[str] = Counter()
-    for p, t, *_ in left:
-        steps = p.split("/")
+    for p, t, *_ in texts:
+        steps, n = p.split("/"), len(t.strip())
         for i in range(1, len(steps) + 1):
-            weight["/".join(steps[:i])] += len(t)
+            weight["/".join(steps[:i])] += n
+    return weight
+
+
+def _slots(left: list, template: frozenset[int]) -> str | None:
+    """The innermost template element whose slots hold SLOT_SHARE of the texts that are left; None if none tells more
+    than the body."""
+    weight = _weights(left)
+    heavy = [p for p, n in weight.items() if p and n and n >= SLOT_SHARE * weight[""] and token("tag", p) in template]
+    best = max(heavy, key=lambda p: (p.count("/"), weight[p]), default="")
+    return best if best.rsplit("/", 1)[-1].split(".")[0] not in ("", "html", "body") else None
+
+
+def _below(texts: list, element: str) -> list:
+    return [x for x in texts if x[0] == element or x[0].startswith(element + "/")]
+
+
+def _article(texts: list, left: list, slots: str | None) -> list:
+    """The texts of the article, of all texts and of those that the template leaves."""
+    tagged = [x for x in texts if x[3]]
+    if slots is None:
+        return tagged if any(t.strip() for _, t, *_ in tagged) else _densest(left)
+    steps = slots.split("/")
+    around = [i for i in range(len(steps), 0, -1) if steps[i - 1].split(".")[0] in _ARTICLES]
+    if around:  # the slots lie in an article: it reaches as far as its tag
+        return _below(texts, "/".join(steps[: around[0]]))
+    inner = _below(left, slots)
+    size = lambda found: sum(len(t.strip()) for _, t, *_ in found)
+    if (own := size([x for x in inner if x[3]])) and own >= TAG_SHARE * size(inner):  # they are wider than the articles in them
+        return [x for x in _below(texts, slots) if x[3]]
+    return _below(texts, _wider(slots))
+
+
+#: Elements that hold blocks of an article; running text and its parts lie in one of them.
+_HOLDERS = frozenset("div section td body html center table tr tbody article main".split())
+
+
+def _wider(element: str) -> str:
+    """The innermost holder on or around an element."""
+    while element and element.rsplit("/", 1)[-1].split(".")[0] not in _HOLDERS:
+        element = element.rpartition("/")[0]
+    return element
+
+
+def _densest(left: list) -> list:
+    """The texts of the innermost element with SLOT_SHARE of them."""
+    weight = _weights(left)
     if not weight:
         return []
-    heavy = [p for p, n in weight.items() if 3 * n >= 2 * weight[""]]
-    framed = [p for p in heavy if p and p.rsplit("/", 1)[-1].split(".")[0] not in ("html", "body") and token("tag", p) in template]
-    best = max(framed or heavy, key=lambda p: (p.count("/"), weight[p]))
-    last = best.rsplit("/", 1)[-1].split(".")[0]
-    if last and last not in ("div", "section", "td", "body", "html", "center", "table", "tr", "tbody"):
-        best = best.rsplit("/", 1)[0]
-    return [x for x in left if x[0] == best or x[0].startswith(best + "/")]
+    best = max((p for p, n in weight.items() if n >= SLOT_SHARE * weight[""]), key=lambda p: (p.count("/"), weight[p]))
+    return _below(left, _wider(best)) if best else left
+
+
+def own_tokens(source: str) -> list[int]:
+    """The tokens of a page that a template may have."""
+    page = Page(source)
+    return list({token("tag", p) for p in page.tags} | {token("text", p, t.strip()) for p, t, *_ in page.texts if t != " "})
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Every row of pages, without html, with text: its main text ("" if none).
 
-    Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers and, outside
-    articles, what the host's template repeats are left out. Character references are decoded, white space in a block is one space, blocks are
+    Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers and what lies outside of
+    the article are left out. Character references are decoded, white space in a block is one space, blocks are
     joined by line feeds.
 
     Null html reads as empty. A null or hostless url is a host of its own kind (""). Hosts with fewer than CLASS_PAGES
@@ -252,17 +304,19 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     source = F.coalesce(F.col(html_col), F.lit(""))
     kept = [c for c in replace_columns(pages, "text").columns if c != html_col]
-    own, body, told = free_names(pages, "host", "html", "template")
-    frame = templates(pages.select(host.alias("host"), source.alias("html"))).groupBy("host").agg(F.collect_set("token").alias("template"))
-    frame = written(frame, "templates")
-    small = (frame.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_TOKENS
+    own, body, told, key = free_names(pages, "host", "html", "template", "key")
+    frame = written(templates(pages.select(host.alias("host"), source.alias("html"))), "templates")
+    small = frame.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
     rows = pages.select(*kept, source.alias(body), host.alias(own))
     schema = T.StructType(rows.schema.fields[:-2]).add("text", "string")
     if small:
-        at_hand = {r.host: np.array(r.template, np.int64) for r in frame.collect()}  # BROADCAST_TOKENS numbers
-        shared = pages.sparkSession.sparkContext.broadcast(at_hand)
+        at_hand: dict[str, set[int]] = {}
+        for r in frame.collect():  # BROADCAST_TOKENS numbers
+            at_hand.setdefault(r.host, set()).add(r.token)
+        shared = pages.sparkSession.sparkContext.broadcast({h: np.array(sorted(x), np.int64) for h, x in at_hand.items()})
     else:
-        rows = rows.join(frame.select(F.col("host").alias(own), F.col("template").alias(told)), own, "left").select(*kept, body, told)
+        rows = written(rows.withColumn(key, F.monotonically_increasing_id()), "pages")
+        rows = rows.join(_in_template(rows, frame, own, body, key, told), key, "left").select(*kept, body, told)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(maxsize=KEPT_HOSTS)
@@ -276,3 +330,18 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
             yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(texts, pa.string())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
+
+
+def _in_template(rows: DataFrame, frame: DataFrame, own: str, body: str, key: str, told: str) -> DataFrame:
+    """(key, told): for each of rows those of its own tokens that are in its host's template (host, token). What a host's
+    pages have in common is joined token by token, so no row or task gets a host's whole template."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, h, s in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                found = own_tokens(s)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), pa.array([h] * len(found), pa.string()), pa.array(found, pa.int64())], names=["page", "host", "token"])
+
+    each = rows.select(key, own, body).mapInArrow(run, "page long, host string, token long")
+    met = each.join(frame, ["host", "token"])
+    return met.groupBy(F.col("page").alias(key)).agg(F.collect_list("token").alias(told))  # a page's own tokens at most

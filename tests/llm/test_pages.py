@@ -73,6 +73,13 @@ def story(i, side):
     return f"<html><body><div class=top><b>Home</b> <b>News</b></div>{SIDE if side else ''}<div class=text><h2>Story {i}</h2><p>{'It tells of ' + str(i * 7)} and of more.</p></div><div>All rights</div></body></html>"
 
 
+def test_both_ways_of_handing_templates_on(spark, monkeypatch):
+    pages = spark.read.parquet(f"{DATA}/sf0.001/pages.parquet")
+    one = {r.page_id: r.text for r in H.extract(pages).collect()}
+    monkeypatch.setattr(H, "BROADCAST_TOKENS", 0)
+    assert {r.page_id: r.text for r in H.extract(pages).collect()} == one
+
+
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_nested_classes_and_slots(spark, monkeypatch, most):
     """A side box that 6 of 20 pages have is template inside its own element, and the text's element is the slot."""
@@ -85,6 +92,31 @@ def test_nested_classes_and_slots(spark, monkeypatch, most):
     assert {r.page_id: r.text for r in out.collect()} == {i: f"Story {i}\nIt tells of {i * 7} and of more." for i in range(20)}
 
 
+def test_slots_find_the_articles_of_the_given_pages(spark):
+    """With every telling tag and name made a plain <div> of its own, the slots of the template still lead to the article."""
+    names = dict(zip("article main nav header footer aside form menu".split(), "abcdefgh", strict=True))
+    tags = "|".join(names)
+    rows = [(r.url.split("/")[2].lower(), r.html) for r in spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").collect()]
+    plain = [(h, H.re.sub(rf"</(?:{tags})\b", "</div", H.re.sub(rf"<({tags})\b", lambda m: f'<div class="{names[m[1]]}"', x.replace('class="ad"', 'class="k"')))) for h, x in rows]
+    framed = defaultdict(set)
+    for r in H.templates(spark.createDataFrame(plain, "host string, html string")).collect():
+        framed[r.host].add(r.token)
+    same = sum(H.main_text(x, frozenset()) == H.main_text(y, frozenset(framed[h])) for (h, x), (_, y) in zip(rows, plain, strict=True))
+    assert len(rows) == 250 and same >= 0.95 * len(rows), same
+
+
+def test_the_slots_decide_over_a_tag(spark):
+    """Where the tag is on what the host's pages share, the text is what varies."""
+    page = lambda i: f"<body><div class=x><article><p>The same words of welcome stand on each of the pages here.</p></article></div><div class=y><h2>Story {i}</h2><p>{'It tells of ' + str(i * 7)} and of more.</p></div></body>"
+    rows = [(f"http://h.example/{i}", page(i)) for i in range(8)]
+    assert {r.text for r in H.extract(pages_of(spark, rows)).collect()} == {f"Story {i}\nIt tells of {i * 7} and of more." for i in range(8)}
+
+
+def test_nothing_of_an_article_is_lost():
+    inside = '<div class="share-price"><p>Rose 4 %</p></div><h2 id="comments-on-policy">Policy</h2><p>a <math><mi>x</mi></math> b</p><div class="ad">Buy</div><section class="comments"><p>First!</p></section>'
+    assert H.main_text(f"<body><article><h1>T</h1>{inside}</article></body>", frozenset()) == "T\nRose 4 %\nPolicy\na x b"
+
+
 def test_long_and_empty_pages(spark):
     long = "<body><article><p>" + "word &amp; more " * 100_000 + "</p></article></body>"
     rows = [("http://h.example/1", long), ("http://h.example/2", ""), (None, None), ("no host", "<p>x"), ("http://h.example/2", "")]
