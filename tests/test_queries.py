@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from tests.conftest import DATA
-from tamarack.plans import analytics, assistant, corpus, indexed, ingestion, multipass, planning, questions, records, registry, retrieval, sql_functions, stored, upkeep  # noqa: F401
+from tamarack.plans import analytics, assistant, corpus, indexed, ingestion, multipass, planning, questions, records, registry, retrieval, routing, sql_functions, stored, upkeep  # noqa: F401
 
 SF = DATA / "sf0.001"
 

@@ -253,3 +253,26 @@ def test_arguments_of_table_functions_reach_the_scan(spark):
     df = spark.sql("SELECT * FROM hybrid_document_chunk_search(array('the'), (SELECT embedding FROM chunk_vectors WHERE vec_id = 7), 'en', 1, 3)")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,en)" in plan and df.count() <= 3
+
+
+def test_the_shared_folder(spark, monkeypatch, tmp_path):
+    from types import SimpleNamespace
+
+    from tamarack import shared
+
+    def session(master, warehouse, checkpoint=None):
+        conf = {"spark.checkpoint.dir": checkpoint, "spark.sql.warehouse.dir": warehouse}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, *d: conf[k] if conf[k] or not d else d[0]), sparkContext=SimpleNamespace(master=master, applicationId="a"))
+
+    assert shared.shared_dir(session("local[4]", "/w")) == "/w/tamarack_checkpoints"
+    assert shared.shared_dir(session("spark://m:7077", "hdfs://n/w")) == "hdfs://n/w/tamarack_checkpoints"
+    assert shared.shared_dir(session("yarn", "file:/w", "s3a://b/c")) == "s3a://b/c"
+    for master in ("yarn", "local-cluster[2,1,512]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.shared_dir(session(master, "file:/w"))
+    monkeypatch.setattr(shared, "_made", {})
+    monkeypatch.setattr(shared, "shared_dir", lambda _: str(tmp_path))
+    one, two = shared.new_path(spark, "x"), shared.new_path(spark, "y")
+    for path in (one, two):
+        spark.range(3).write.parquet(path)
+    assert shared.clear(spark, keep=(two,)) == 1 and spark.read.parquet(two).count() == 3 and shared.clear(spark) == 1 and shared.clear(spark) == 0
