@@ -59,9 +59,11 @@ _ASIDE_NAMES = (
     "adslot|banner|promo|promotion|sponsor|sponsored|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|comments?|respond|replies|reply|disqus|"
     "discussion|related|recommended|share|sharing|social|subscribe|subscription|newsletter|signup|login|search|widget|pagination|pager|skip|toolbar|disclaimer"
 )
-#: Around an article a part of a name tells an aside, in it only a whole one: a box of share prices is none for sharing.
+_BOX_NAMES = "area|bars?|block|body|box|button|buttons|card|cards|container|content|group|holder|icons?|inner|items?|label|left|links?|list|main|panel|posts?|right|row|section|slot|stories|text|tools?|top|unit|wrap|wrapper"
+#: Around an article a part of a name tells an aside. In it all parts have to: a box named share-bar is one for sharing, one
+#: named share-price is none.
 _ASIDE_WORDS = re.compile(rf"(?:^|[\s_-])(?:{_ASIDE_NAMES})(?:$|[\s_-])", re.I)
-_ASIDE_IN_ARTICLE = re.compile(rf"(?<!\S)(?:{_ASIDE_NAMES})(?!\S)", re.I)
+_ASIDE_IN_ARTICLE = re.compile(rf"(?<!\S)(?:(?:{_ASIDE_NAMES}|{_BOX_NAMES})[_-]+)*(?:{_ASIDE_NAMES})(?:[_-]+(?:{_ASIDE_NAMES}|{_BOX_NAMES}))*(?!\S)", re.I)
 #: Headers are left out around an article, not in it; what holds the whole page is judged by no name.
 _HEADER_WORDS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 _WHOLE = frozenset(("html", "body", "main"))

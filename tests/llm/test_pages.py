@@ -113,7 +113,7 @@ def test_the_slots_decide_over_a_tag(spark):
 
 
 def test_nothing_of_an_article_is_lost():
-    inside = '<div class="share-price"><p>Rose 4 %</p></div><h2 id="comments-on-policy">Policy</h2><p>a <math><mi>x</mi></math> b</p><div class="ad">Buy</div><section class="comments"><p>First!</p></section>'
+    inside = '<div class="share-price"><p>Rose 4 %</p></div><h2 id="comments-on-policy">Policy</h2><p>a <math><mi>x</mi></math> b</p><div class="ad">Buy</div><ul class="related_posts-list"><li>More</li></ul><section class="comments"><p>First!</p></section>'
     assert H.main_text(f"<body><article><h1>T</h1>{inside}</article></body>", frozenset()) == "T\nRose 4 %\nPolicy\na x b"
 
 
