@@ -8,6 +8,7 @@ from urllib.parse import unquote, urljoin, urlparse
 
 from pyspark.sql import functions as F
 
+from tamarack.functions import kernels as N
 from tamarack.functions import legal_text as L
 from tamarack.functions import terms as T
 from tamarack.plans import assistant, corpus, registry  # noqa: F401
@@ -19,12 +20,8 @@ SF = str(DATA / "sf0.001")
 
 
 def fold(text):
-    marks = {"່", "້", "໊", "໋", "໌", "ໍ"}
-    t = "".join(c for c in unicodedata.normalize("NFC", (text or "").casefold()) if c not in marks)
-    for a, b in (
-        ("ຳ", "າ"), ("ທີລິນ", "ທີດິນ"), ("ທີຜິນ", "ທີດິນ"), ("ທີວິນ", "ທີດິນ"), ("ທີຕິນ", "ທີດິນ"), ("ສິດນໍາໃຊ", "ສິດນາໃຊ"), ("ສິດນາໍໃຊ", "ສິດນາໃຊ"), ("ຜົນປະໂທຍດ", "ຜົນປະໂຫຍດ"),
-        ("ບົກປັກ", "ປົກປັກ"), ("ໃຂ", "ໃຊ"), ("ໃທ", "ໃຫ"),
-    ):
+    t = "".join(c for c in unicodedata.normalize("NFC", (text or "").casefold()) if c not in N._MARKS)
+    for a, b in N._SPELLINGS:
         t = t.replace(a, b)
     return " ".join(t.split())
 
