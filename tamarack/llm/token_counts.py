@@ -3,7 +3,8 @@
 A document is split into pre-tokens by the encoder's pattern; leaves of its tree hold runs of them with their lengths
 and token counts, inner nodes the sums. An edit finds its place by character sums, splits anew only from a few
 pre-tokens before it until a boundary behind it falls on an old one, encodes the pre-tokens in between, and updates
-the sums on the paths above the touched leaves.
+the sums on the paths above the touched leaves. A leaf that edits have made longer than twice LEAF is split and the
+tree above is built anew, so many edits at one place leave no long leaf (an edit still copies the document's text once).
 
 Every row stands alone: no shuffle; the rank table (a fixed size) is broadcast.
 """
@@ -58,13 +59,30 @@ class Document:
         pieces = counter.pattern.findall(text)
         lengths, counts = list(map(len, pieces)), list(map(counter.count, pieces))
         self.leaves = [(lengths[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(pieces), LEAF)] or [([], [])]
+        self._build([(sum(a), sum(b)) for a, b in self.leaves])
+
+    def _build(self, sums: list[tuple[int, int]]) -> None:
+        """The tree above the leaves, whose sums are given."""
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.sums = [(0, 0)] * (2 * self.size)
-        for i, (a, b) in enumerate(self.leaves):
-            self.sums[self.size + i] = (sum(a), sum(b))
+        self.sums[self.size : self.size + len(sums)] = sums
         for i in range(self.size - 1, 0, -1):
             self._sum(i)
 
+    def _split(self) -> None:
+        """Cuts long leaves into ones of LEAF pre-tokens and drops empty ones."""
+        leaves, sums = [], []
+        for (a, b), total in zip(self.leaves, self.sums[self.size :], strict=False):
+            if len(a) > 2 * LEAF:
+                parts = [(a[i : i + LEAF], b[i : i + LEAF]) for i in range(0, len(a), LEAF)]
+                leaves += parts
+                sums += [(sum(x), sum(y)) for x, y in parts]
+            elif a:
+                leaves.append((a, b))
+                sums.append(total)
+        self.leaves = leaves
+        self._build(sums)
+
     def _sum(self, i: int) -> None:
         a, b = self.sums[2 * i], self.sums[2 * i + 1]
         self.sums[i] = (a[0] + b[0], a[1] + b[1])
@@ -142,6 +160,9 @@ class Document:
         touched = range(leaf, min(last, len(self.leaves) - 1) + 1)
         for i in touched:
             self.sums[self.size + i] = (sum(self.leaves[i][0]), sum(self.leaves[i][1]))
+        if len(self.leaves[leaf][0]) > 2 * LEAF:
+            self._split()
+            return
         above = {(self.size + i) // 2 for i in touched}
         while above and above != {0}:
             for i in above:

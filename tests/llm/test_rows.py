@@ -173,6 +173,28 @@ def test_edits_touch_little(counter):
     assert doc.encoded < 20
 
 
+def test_many_edits_at_one_place(counter):
+    """No leaf grows without bound, wherever the insertions fall, and edits after splits still count right."""
+    text = "some ordinary words in a row " * 100
+    doc, r = C.Document(counter, text), random.Random(6)
+    for k in range(10_000):
+        doc.edit(1000, 0, f" w{k}" if k % 3 else "x")
+    assert max(len(a) for a, _ in doc.leaves) <= 2 * C.LEAF and len(doc.leaves) > 100
+    assert doc.n_tokens == len(counter.encoding.encode_ordinary(doc.text))
+    for _ in range(60):
+        start = r.randint(0, len(doc.text))
+        text = doc.text
+        delete, insert = r.choice([0, 3, 2000]), r.choice(["", "  a", "no 1 " * 300])
+        doc.edit(start, delete, insert)
+        assert doc.text == text[:start] + insert + text[start + delete :]
+        assert doc.n_tokens == len(counter.encoding.encode_ordinary(doc.text))
+        assert max(len(a) for a, _ in doc.leaves) <= 2 * C.LEAF
+    doc.edit(0, len(doc.text), "")
+    assert doc.n_tokens == 0
+    doc.edit(0, 0, "again")
+    assert doc.n_tokens == len(counter.encoding.encode_ordinary("again"))
+
+
 def test_count_table(spark, counter):
     rows = [(0, None, None), (1, "", [(0, 0, "new text")]), (2, "a b c", [None, (1, 99, None)]), (2, "a b c", [None, (1, 99, None)])]
     df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:int,delete:int,insert:string>>").withColumn("n_tokens", F.lit("x"))
