@@ -30,7 +30,7 @@ from .sizing import free_names, replace_columns
 #: Buckets of each of a model's two hash tables, and of both; blocks in which partitions hand on their counts.
 BITS = 20
 BUCKETS, BLOCK = 2 << BITS, 1 << 14
-#: Counts of a block that a task adds up at once, and how often that is done.
+#: Counts of a block that a task adds up at once, and how often that is done before the rows that are left are counted.
 FAN_IN, LEVELS = 128, 3
 #: Bytes of text in the slices that rows are handed on in.
 SLICE_BYTES = 4 << 20
@@ -73,7 +73,9 @@ def _features(data, offsets, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's bucket counts for all rows and for target rows, in blocks, with the partition's number."""
+    """A partition's bucket counts for all rows and for target rows, in blocks, with the partition's number. Only buckets that
+    rows have are sent (at: their places in the block, of two bytes), with counts of four bytes: a bucket counts a row twice at
+    most, and a partition has fewer than 2 ** 31 rows."""
     part = TaskContext.get().partitionId()
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
@@ -84,31 +86,58 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for bucket in buckets:
                 np.add.at(raw, bucket, 1)
                 np.add.at(target, bucket[good[a:b][row]], 1)
-    if raw.any():
-        ids = list(range(0, BUCKETS, BLOCK))
-        counts = [pa.array([x[i : i + BLOCK].tobytes() for i in ids], pa.binary()) for x in (raw, target)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([part] * len(ids), pa.int32()), *counts], names=["block", "part", "raw", "target"])
+    at = np.flatnonzero(raw)
+    blocks, first = np.unique(at // BLOCK, return_index=True)
+    ends = np.append(first, len(at))[1:].tolist()
+    for block, a, b in zip(blocks.tolist(), first.tolist(), ends, strict=True):
+        here = at[a:b]
+        yield pa.RecordBatch.from_pylist([{"block": block * BLOCK, "part": part, **_sparse(here - block * BLOCK, raw[here], target[here], np.uint32)}], schema=_COUNTED)
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    """The sums of a group's counts of one block, as one row (part: what its first row's leads to a level up)."""
-    sums = [np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)]
-    for total, name in zip(sums, ("raw", "target"), strict=True):
-        for counts in table[name]:
-            total += np.frombuffer(counts.as_py(), np.int64)
-    keys = [pa.array([table["block"][0].as_py()], pa.int32()), pa.array([table["part"][0].as_py() // FAN_IN], pa.int32())]
-    values = [*[pa.array([x.tobytes()], pa.binary()) for x in sums], *[pa.array([int(x.sum())], pa.int64()) for x in sums]]
-    return pa.table([*keys, *values], names=["block", "part", "raw", "target", "n_raw", "n_target"])
+#: What is known of a block: at, raw and target are arrays of 2-byte places and of counts (4 bytes of a partition, 8 of a sum).
+_COUNTED = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("at", pa.binary()), ("raw", pa.binary()), ("target", pa.binary())])
+_COUNTED_DDL = "block int, part int, at binary, raw binary, target binary"
+
+
+def _sparse(at: np.ndarray, raw: np.ndarray, target: np.ndarray, kind: type) -> dict[str, bytes]:
+    return {"at": at.astype(np.uint16).tobytes(), "raw": raw.astype(kind).tobytes(), "target": target.astype(kind).tobytes()}
 
 
-def _sum_blocks(counted: DataFrame) -> DataFrame:
-    """(block, part, raw, target, n_raw, n_target) of all partitions' counts, one row a block: partitions are added up
-    FAN_IN at a time, so no task holds more than so many blocks whatever the number of partitions (up to FAN_IN ** LEVELS)."""
-    out = counted
-    for _ in range(LEVELS):
-        groups = out.groupBy("block", F.floor(F.col("part") / FAN_IN))
-        out = groups.applyInArrow(_summed, "block int, part int, raw binary, target binary, n_raw long, n_target long").select("block", "part", "raw", "target", "n_raw", "n_target")
-    return out
+def _dense(at: bytes, raw: bytes, target: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a block and their counts."""
+    kind = np.uint32 if len(raw) == 2 * len(at) else np.int64
+    return np.frombuffer(at, np.uint16), np.frombuffer(raw, kind), np.frombuffer(target, kind)
+
+
+def _summed(table: pa.Table, fan_in: int) -> pa.Table:
+    """The sums of a group's counts of one block, as one row (part: what its first row's leads to a level up)."""
+    raw, target = np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)
+    for counts in zip(*[table[name] for name in ("at", "raw", "target")], strict=True):
+        at, x, y = _dense(*[c.as_py() for c in counts])
+        raw[at] += x
+        target[at] += y
+    at = np.flatnonzero(raw)
+    row = {"block": table["block"][0].as_py(), "part": table["part"][0].as_py() // fan_in, **_sparse(at, raw[at], target[at], np.int64)}
+    return pa.Table.from_pylist([{**row, "n_raw": int(raw.sum()), "n_target": int(target.sum())}], schema=_COUNTED.append(pa.field("n_raw", pa.int64())).append(pa.field("n_target", pa.int64())))
+
+
+def _level(counted: DataFrame, fan_in: int) -> DataFrame:
+    groups = counted.select(*_COUNTED.names).groupBy("block", F.floor(F.col("part") / fan_in))
+    return groups.applyInArrow(lambda t: _summed(t, fan_in), f"{_COUNTED_DDL}, n_raw long, n_target long").select(*_COUNTED.names, "n_raw", "n_target")
+
+
+def sum_blocks(counted: DataFrame, fan_in: int = FAN_IN, levels: int = LEVELS) -> tuple[DataFrame, int, int]:
+    """The counts of all partitions, one row a block, and the sums of raw and target counts. Partitions are added up fan_in
+    at a time, so no task holds more than so many blocks, and levels are added until each block has one row, whatever the
+    number of partitions. Blocks without counts have no row."""
+    out, more = counted, levels
+    while True:
+        for _ in range(more):
+            out = _level(out, fan_in)
+        out, more = written(out, "counts"), 1
+        n_rows, n_blocks, n_raw, n_target = out.agg(F.count("*"), F.count_distinct("block"), F.sum("n_raw"), F.sum("n_target")).first()
+        if n_rows == n_blocks:
+            return out, n_raw or 0, n_target or 0
 
 
 def evidence(raw: np.ndarray, target: np.ndarray, share: float) -> np.ndarray:
@@ -128,19 +157,20 @@ def fit(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str
     flagged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     flagged = flagged.join(F.broadcast(ids.withColumn("good", F.lit(True))), "id", "left")
     flagged = flagged.select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    counted = flagged.mapInArrow(_count, "block int, part int, raw binary, target binary")
-    blocks = written(_sum_blocks(counted), "counts")
-    n_raw, n_target = blocks.agg(F.sum("n_raw"), F.sum("n_target")).first()
-    share = (n_target or 0) / max(1, n_raw or 0)
+    blocks, n_raw, n_target = sum_blocks(flagged.mapInArrow(_count, _COUNTED_DDL))
+    share = n_target / max(1, n_raw)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, *counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                out = evidence(*[np.frombuffer(x, np.int64) for x in counts], share).tobytes()
+                at, raw, target = _dense(*counts)
+                ratios = np.zeros(BLOCK, np.float32)
+                ratios[at] = evidence(raw, target, share)
+                out = ratios.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out], pa.binary())], names=["block", "evidence"])
 
     model = np.zeros(BUCKETS, np.float32)
-    for r in blocks.select("block", "raw", "target").mapInArrow(weigh, "block int, evidence binary").collect():
+    for r in blocks.select("block", "at", "raw", "target").mapInArrow(weigh, "block int, evidence binary").collect():
         model[r.block : r.block + BLOCK] = np.frombuffer(r.evidence, np.float32)
     return model
 
@@ -202,7 +232,7 @@ def resample(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col:
     Weights are raised to the power `sharpness`: the higher it is, the less is left to chance between rows with evidence
     against them and rows without. k defaults to the sum of the weights (each at most one), rounded. Rows with equal sample_key at the limit are all
     taken, so repeated rows share their fate. Null and empty texts carry no evidence and have weight one; a null id is no
-    good id. With no good ids nothing speaks against any row and all are taken. An empty table stays empty. Input columns
+    good id. Texts of any length are read whole, in pieces of bounded size where many are read at once. With no good ids nothing speaks against any row and all are taken. An empty table stays empty. Input columns
     named log_weight or sample_key are replaced; all others keep their names.
 
     All rows are written once with their keys to the shared folder; those drawn are read from there.

@@ -59,6 +59,30 @@ def test_weights_are_the_plain_ones(spark):
     assert len(wrong) <= 4 and sum(w < -5 for w in want) > 30 and sum(w == 0 for w in want) > 60, wrong[:5]
 
 
+def test_counts_of_any_number_of_partitions(spark):
+    """More partitions than fan_in ** levels: levels are added, no counts are lost."""
+    rows, good = fixture()
+    flagged = spark.createDataFrame([(t, i in good) for i, t in rows], "text string, good boolean")
+
+    def counts(n, **how):
+        blocks, n_raw, n_target = Q.sum_blocks(flagged.repartition(n).mapInArrow(Q._count, Q._COUNTED_DDL), **how)
+        found = blocks.collect()
+        assert len({r.block for r in found}) == len(found) > 0
+        return n_raw, n_target, {r.block: (bytes(r.at), bytes(r.raw), bytes(r.target)) for r in found}
+
+    one = counts(1)
+    assert one == counts(11, fan_in=2, levels=1) == counts(11, fan_in=3, levels=2)
+    found = [plain_features(t) for _, t in rows]
+    assert abs(one[0] - 2 * sum(map(len, found))) <= 4 and abs(one[1] - 2 * sum(len(f) for i, f in enumerate(found) if i in good)) <= 4
+    assert max(len(raw) for _, raw, _ in one[2].values()) < 8 * Q.BLOCK / 10  # only buckets that rows have
+
+
+def test_no_counts(spark):
+    empty = spark.createDataFrame([], "text string, good boolean").mapInArrow(Q._count, Q._COUNTED_DDL)
+    blocks, n_raw, n_target = Q.sum_blocks(empty)
+    assert (blocks.count(), n_raw, n_target) == (0, 0, 0)
+
+
 def test_draw_takes_the_largest_keys(spark):
     sf = f"{DATA}/sf0.01"
     kept = {r.doc_id: (r.log_weight, r.sample_key) for r in QUERIES["op5_quality_classifier"](spark, sf).collect()}
