@@ -100,6 +100,6 @@ def ingest_chunks(spark, sf_dir):
 def repaired_answers(spark, sf_dir):
     """cut JSON objects closed, others refused."""
     d = table(spark, sf_dir, "documents")
-    body = F.concat(F.lit('Answer: ```json\n{"id": '), F.col("doc_id").cast("string"), F.lit(', "parts": [{"text": "'), F.regexp_replace(F.substring("text", 1, 60), r'[\x00-\x1f"\\]', " "), F.lit('"}, [1, 2], {"x": "y"}]}\n```'))
+    body = F.concat(F.lit('Answer: ```json\n{"id": '), F.col("doc_id").cast("string"), F.lit(', "parts": [{"text": "'), F.regexp_replace("text", r'[\x00-\x1f"\\]', " "), F.lit('"}, [1, 2], {"x": "y"}]}\n```'))
     cut = F.when(F.col("doc_id") % 7 == 0, F.replace(body, F.lit("[1, 2]"), F.lit("[1, 2}"))).otherwise(F.substr(body, F.lit(1), (F.char_length(body) - F.col("doc_id") % 41).cast("int")))
     return d.select("doc_id", N.repaired_json(cut).alias("json"))

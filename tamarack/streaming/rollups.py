@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sinks import AppendLog, latest, run_available
+
 LATE = "10 minutes"
 
 
 def session_rollup(messages: DataFrame) -> DataFrame:
-    """Running message count, characters and assistant turns by session (update or complete mode)."""
+    """Running message count, characters and assistant turns by session (update mode)."""
     return messages.groupBy("conv_id").agg(
         F.count("*").alias("message_count"), F.sum(F.char_length("text").cast("long")).alias("n_chars"), F.count_if(F.col("role") == "assistant").alias("assistant_turns")
     )
@@ -100,20 +102,9 @@ def run_once(stream: DataFrame, mode: str, name: str, checkpoint: str | None = N
     return stream.sparkSession.table(name)
 
 
-def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """All available input through a streaming query in complete mode; the result is written by executors as Parquet
-    below path, a folder for each batch, and the last one is read again."""
-    last: list[str] = []
-
-    def put(batch: DataFrame, i: int) -> None:
-        folder = f"{path}/batch-{i}"
-        batch.write.mode("overwrite").parquet(folder)
-        last[:] = [folder]
-
-    query = stream.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    finally:
-        query.stop()
-    spark = stream.sparkSession
-    return spark.read.schema(stream.schema).parquet(last[0]) if last else spark.createDataFrame([], stream.schema)
+def run_updates(stream: DataFrame, path: str, checkpoint: str, *keyed: str) -> DataFrame:
+    """All available input through a streaming query in update mode. A batch appends only the keys that it changed, once, to a
+    log below path; the result is the row of each key's last batch. What a batch writes grows with the batch, not with all keys."""
+    log = AppendLog(stream.sparkSession, path, stream.schema)
+    run_available(stream, log.sink(), checkpoint, "update")
+    return latest(log, *keyed)

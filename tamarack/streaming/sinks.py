@@ -85,6 +85,13 @@ def totals(log: AppendLog, keyed: str) -> DataFrame:
     return log.read().groupBy(keyed).agg(*[F.sum(n).alias(n) for n in names])
 
 
+def latest(log: AppendLog, *keyed: str) -> DataFrame:
+    """The row of each key's last batch, for a log of one query in update mode: a key's row there stands for all before it."""
+    others = [n for n in log.schema.names if n not in keyed]
+    rows = log.read().groupBy(*keyed).agg(F.max_by(F.struct(*others), "batch").alias("_last"))
+    return rows.select(*[F.col(n) if n in keyed else F.col("_last")[n].alias(n) for n in log.schema.names])
+
+
 def compacted(log: AppendLog, keyed: str, path: str) -> AppendLog:
     """A log of one batch with the totals so far: what a job does now and then so that reads stay short. The new log has its
     own path; whoever publishes it (views.py) drops the old one."""

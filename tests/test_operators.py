@@ -8,7 +8,7 @@ from tamarack.operators.scans import first_truthy, upsert
 from tamarack.operators.windows import best_per_key, merged_per_key
 from tamarack.plans import corpus
 from tamarack.sources.files import docx_paragraphs, mime_of, read_cases, read_documents
-from tamarack.streaming.rollups import run_once, run_to_files, session_rollup, sliding_log, sliding_log_sorted, sliding_log_state
+from tamarack.streaming.rollups import run_once, run_updates, session_rollup, sliding_log, sliding_log_sorted, sliding_log_state, tumbling_counts
 from tamarack.tables import conform
 from tests.conftest import DATA
 
@@ -130,5 +130,31 @@ def test_rollup_of_several_batches(spark, tmp_path):
     rows = spark.createDataFrame([("a", "x", "user"), ("b", "yy", "assistant"), ("a", "zzz", "assistant")], "conv_id string, text string, role string")
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = run_to_files(session_rollup(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
-    assert sorted(got.collect()) == [("a", 2, 4, 1), ("b", 1, 2, 1)]
+    for _ in range(2):  # nothing is new the second time
+        got = run_updates(session_rollup(stream), str(tmp_path / "out"), str(tmp_path / "cp"), "conv_id")
+        assert sorted(got.collect()) == [("a", 2, 4, 1), ("b", 1, 2, 1)]
+    written = [len(list(d.rglob("*.parquet"))) and spark.read.parquet(str(d)).count() for d in sorted((tmp_path / "out").glob("query=*/batch=*"))]
+    assert sum(written) == 3  # a batch writes the keys that it changed, not all
+
+
+def test_tumbling_windows_as_stream(spark, tmp_path):
+    """Windows change over batches while the watermark has not passed them; each row of a window counts once."""
+    at = [("a", 0), ("a", 59), ("a", 60), ("b", 61), ("a", 30), ("b", 3599), ("b", 3600)]
+    for i, (k, s) in enumerate(at):
+        df = spark.createDataFrame([(k, s)], "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in"))
+    counts = tumbling_counts(stream, "k").select(F.unix_seconds("window.start").alias("start"), "k", "n")
+    got = run_updates(counts, str(tmp_path / "out"), str(tmp_path / "cp"), "start", "k")
+    assert sorted(got.collect()) == [(0, "a", 3), (60, "a", 1), (60, "b", 1), (3540, "b", 1), (3600, "b", 1)]
+
+
+def test_knn_join_in_blocks(spark):
+    """Queries beyond the broadcast's bytes meet the vectors in blocks, with the same rows."""
+    from tamarack.plans.retrieval import knn_join
+
+    e = spark.read.parquet(f"{DATA}/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    queries = e.where("id % 9 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    whole, parts = knn_join(e, queries, 3), knn_join(e, queries, 3, most_bytes=4000)
+    assert sorted(whole.collect()) == sorted(parts.collect()) and whole.count() == 3 * queries.count() > 0
+    assert knn_join(e, queries.limit(0), 3).count() == 0
