@@ -14,6 +14,8 @@ OFFICIAL_HOST = "laoofficialgazette.gov.la"
 LATIN_ALLOWED = ["article", "art", "chapter", "part", "section", "sec", "no", "law", "decree", "regulation", "page", "lao", "laos", "pdf", "spp"]
 LAO_MARKERS = "ກົດໝາຍ|ມາດຕາ|ດຳລັດ|ຄຳສັ່ງ|ລະບຽບ|ສິດ|ພັນທະ|ລັດ|ສປປ|ສານ|ທີ່ດິນ"
 SYMBOL_RUNS = r"(?:\. ?){6,}|[-_]{8,}|[\"'“”+]{4,}|[=|<>\\/]{4,}"
+#: What such a run begins with.
+RUN_STARTS = r"[.\-_\"'“”+=|<>\\/]"
 #: A word of two or more Latin letters.
 LATIN_WORD = r"(?<![\p{L}\p{N}_])[A-Za-z]{2,}(?![\p{L}\p{N}_])"
 MOJIBAKE = r"[�À-ÿ‚„−]"
@@ -99,7 +101,8 @@ def term_frequency(words: list[str], token_column: Column) -> Column:
 def redact(text: Column) -> tuple[Column, Column, Column]:
     """The redacted text, the types found (sorted) and the number of replacements; each pattern sees what the ones
     before it left."""
-    some = text.rlike("|".join(pattern for _, pattern in PII_PATTERNS))  # most texts need no more than this
+    # every pattern holds a digit or an @: most texts need no more than this
+    some = text.rlike(r"[@\p{Nd}]") & text.rlike("|".join(pattern for _, pattern in PII_PATTERNS))
     left, types, counts = text, [], []
     for kind, pattern in PII_PATTERNS:
         n = count_of(pattern, left)
@@ -123,18 +126,20 @@ QUALITY_WARNINGS = {
 
 
 def _quality_counts(sample: Column) -> Column:
-    """What quality is judged by, each counted once."""
+    """What quality is judged by, each counted once. What only wide characters or only Lao ones can make is not looked for in
+    texts without them."""
     latin = F.regexp_extract_all(sample, F.lit(LATIN_WORD), F.lit(0))
-    return F.struct(
+    wide, lao = sample.rlike(r"[^\x00-\x7F]"), sample.rlike("[\u0e80-\u0eff]")  # all legal markers are Lao
+    return bound(F.when(wide & lao, 2).when(wide, 1).otherwise(0), lambda kind: F.struct(
         (F.char_length(sample) - count_of(r"(?U)\s", sample)).alias("n"),
-        F.char_length(F.regexp_replace(sample, "[^\u0e80-\u0eff]+", "")).alias("lao"),
+        F.when(kind == 2, F.char_length(F.regexp_replace(sample, "[^\u0e80-\u0eff]+", ""))).otherwise(0).alias("lao"),
         F.char_length(F.regexp_replace(sample, "[^A-Za-z]+", "")).alias("latin"),
-        count_of(MOJIBAKE, sample).alias("mojibake"),
+        F.when(kind > 0, count_of(MOJIBAKE, sample)).otherwise(0).alias("mojibake"),
         count_of(r"(?U)[^\p{L}\p{N}\s\u0e80-\u0eff]", sample).alias("symbols"),
-        count_of(SYMBOL_RUNS, sample).alias("runs"),
-        count_of(f"(?:{LAO_MARKERS})", sample).alias("markers"),
-        F.when(sample.rlike(f"[\u0e80-\u0eff]|{LAO_MARKERS}"), F.size(F.filter(latin, lambda w: ~F.lower(w).isin(LATIN_ALLOWED)))).otherwise(0).alias("odd"),
-    )
+        count_of(f"(?={RUN_STARTS})(?:{SYMBOL_RUNS})", sample).alias("runs"),
+        F.when(kind == 2, count_of(f"(?:{LAO_MARKERS})", sample)).otherwise(0).alias("markers"),
+        F.when(kind == 2, F.size(F.filter(latin, lambda w: ~F.lower(w).isin(LATIN_ALLOWED)))).otherwise(0).alias("odd"),
+    ))
 
 
 def _quality(c: Column) -> Column:
