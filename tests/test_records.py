@@ -67,3 +67,12 @@ def test_cache_entries_expire(spark):
     rows = rows.withColumn("at", F.col("at").cast("timestamp"))
     out = R.live(rows, "ns", "at", F.lit("2024-01-01 00:01:00").cast("timestamp"), {"a": 60})
     assert [(r.ns, r["at"].second) for r in out.collect()] == [("a", 59)]
+
+
+def test_vector_literals_round_stored_numbers_half_to_even(spark):
+    rows = spark.createDataFrame([(1, [0.103515625, 0.107421875, 5e-9, -0.0]), (2, [1.5, None, float("nan"), float("-inf"), 1e23]), (3, []), (4, None)], "id int, v array<double>")
+    assert {r.id: r.v for r in rows.select("id", R.vector_literal(F.col("v")).alias("v")).collect()} == {
+        1: "[0.10351562,0.10742188,0.00000001,-0.00000000]", 2: "[1.50000000,nan,-inf,99999999999999991611392.00000000]", 3: "[]", 4: None,
+    }
+    floats = rows.select("id", R.vector_literal(F.col("v").cast("array<float>")).alias("v")).where("id = 1").first()
+    assert floats.v.startswith("[0.10351562,0.10742188,")
