@@ -185,6 +185,44 @@ def test_rate_limit_stream_equals_the_batch_form(spark):
         assert sorted(map(tuple, got)) == sorted((r.user_id, r.event_id, r.allowed) for r in want) and len({r.allowed for r in got}) == 2
 
 
+def test_rate_limit_state_is_read_and_written_by_chunks(monkeypatch):
+    import random
+    from types import SimpleNamespace as Bag
+
+    import pandas as pd
+
+    from tamarack.streaming import limits as R
+
+    calls, timers, kept, value = [], set(), {}, []
+    waiting = Bag(keys=lambda: list(kept), containsKey=lambda k: calls.append("has") or k in kept, getValue=lambda k: calls.append("get") or kept[k], updateValue=lambda k, v: calls.append("put") or kept.__setitem__(k, v), removeKey=lambda k: kept.pop(k))
+    log = Bag(exists=lambda: bool(value), get=lambda: value[0], update=lambda v: value.__setitem__(slice(None), [v]), clear=value.clear)
+    monkeypatch.setattr(R, "CHUNK", 100)
+    state = R.SlidingLog(3, 500)
+    state.init(Bag(getMapState=lambda *_: waiting, getValueState=lambda *_: log, registerTimer=timers.add))
+    r, got, seen, mark = random.Random(4), [], [], 0
+
+    def told(frames):
+        for f in frames:
+            got.extend(zip(f["s"], f["id"], f["allowed"], strict=True))
+
+    for batch in range(6):
+        at = Bag(getCurrentWatermarkInMs=lambda: mark * 1000)
+        rows = [(float(r.randint(mark, mark + 2500)), batch * 1000 + i) for i in range(250)] if batch < 5 else []
+        seen += rows
+        told(state.handleInputRows(("a",), iter([pd.DataFrame(rows[k : k + 125], columns=["s", "id"]) for k in (0, 125)] if rows else []), at))
+        for t in sorted(x for x in timers if x <= mark * 1000):
+            timers.discard(t)
+            told(state.handleExpiredTimer(("a",), at, Bag(getExpiryTimeInMs=lambda: t)))
+        mark += 1200 if batch < 4 else 100_000
+    log_, want = [], []
+    for s, i in sorted(seen):
+        log_ = [x for x in log_ if x > s - 500]
+        want.append((s, i, len(log_) < 3))
+        log_ += [s] * want[-1][2]
+    assert sorted(got) == want and not kept and not value
+    assert len(calls) < 200, len(calls)  # of 1,250 requests; each was read and written before
+
+
 def test_state_of_the_rate_limit_expires(spark, tmp_path):
     from tamarack.streaming.limits import ROCKS, limited
 
