@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -14,3 +19,71 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; NULL for a zero vector."""
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+#: Rows and queries whose products are held at once.
+_ROWS, _QUERIES = 1024, 2048
+#: Places of what is no similarity: not filled, NULL, NaN (which Spark orders above all numbers).
+_EMPTY, _NULL, _NAN = -3.0, -2.0, 2.0
+
+
+def nearest(vectors: DataFrame, queries: pa.Table, k: int, schema: T.StructType) -> DataFrame:
+    """From each task over vectors (id, embedding) the k rows most like each of queries (query_id, query: finite vectors of one
+    length, none of them zero): (query_id, id, similarity) of the given schema, similarity as round(cosine, 6), ties by lower id."""
+    matrix = queries.column("query").combine_chunks().flatten().to_numpy().reshape(queries.num_rows, -1)
+    shared = vectors.sparkSession.sparkContext.broadcast((queries.column("query_id").combine_chunks(), matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, units = shared.value
+        best, ids = np.full((len(units), k), _EMPTY), np.zeros((len(units), k), np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(a, _ROWS)
+                rows, null = _matrix(part.column("embedding"), units.shape[1])
+                own = part.column("id").to_numpy(zero_copy_only=False)
+                for q in range(0, len(units), _QUERIES):
+                    at = slice(q, q + _QUERIES)
+                    with np.errstate(invalid="ignore"):
+                        near = units[at] @ rows.T
+                    near[np.isnan(near)] = _NAN
+                    near[:, null] = _NULL
+                    _merge(best[at], ids[at], near, own)
+        q, place = np.nonzero(best > _EMPTY)
+        value = best[q, place]
+        told = pa.array(np.where(value == _NAN, np.nan, value), mask=value == _NULL)
+        whole = pa.table([query_ids.take(pa.array(q)), pa.array(ids[q, place]), told], names=["query_id", "id", "similarity"])
+        yield from whole.to_batches(max_chunksize=100_000)
+
+    return vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, schema)
+
+
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows, and which rows have no similarity (null, null in a component, another length, zero)."""
+    flat, lengths = column.flatten(), np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False), nan=-1).astype(np.int64)
+    if (lengths == width).all() and not flat.null_count:
+        rows, null = flat.to_numpy(zero_copy_only=False).reshape(len(column), width), np.zeros(len(column), bool)
+    else:
+        told = [x if x is not None and len(x) == width and None not in x else None for x in column.to_pylist()]
+        null = np.array([x is None for x in told])
+        rows = np.array([x or [0.0] * width for x in told])
+    with np.errstate(invalid="ignore"):
+        norm = np.linalg.norm(rows, axis=1)
+        return rows / np.where(norm == 0, 1, norm)[:, None], null | (norm == 0)
+
+
+def _merge(best: np.ndarray, ids: np.ndarray, near: np.ndarray, own: np.ndarray) -> None:
+    """Puts rows `own` of similarity `near` (queries by rows) among the best of each query, in place."""
+    k = best.shape[1]
+    least = best[:, -1]
+    if (least == _EMPTY).any() and near.shape[1] > k:
+        least = np.maximum(least, -np.partition(-near, k - 1, axis=1)[:, k - 1])
+    q, row = np.nonzero(near >= least[:, None] - 1e-6)
+    if not len(q):
+        return
+    value = near[q, row]
+    value = np.where(np.abs(value) < 1.5, np.sign(value) * np.floor(np.abs(value) * 1e6 + 0.5) / 1e6, value)
+    q, value, found = np.concatenate([np.repeat(np.arange(len(best)), k), q]), np.concatenate([best.ravel(), value]), np.concatenate([ids.ravel(), own[row]])
+    order = np.lexsort((found, -value, q))
+    starts = np.searchsorted(q[order], np.arange(len(best)))
+    taken = order[starts[:, None] + np.arange(k)]
+    best[:], ids[:] = value[taken], found[taken]

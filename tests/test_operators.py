@@ -149,6 +149,25 @@ def test_tumbling_windows_as_stream(spark, tmp_path):
     assert sorted(got.collect()) == [(0, "a", 3), (60, "a", 1), (60, "b", 1), (3540, "b", 1), (3600, "b", 1)]
 
 
+def test_knn_join_is_the_plain_expression_without_its_pairs(spark):
+    from pyspark.sql import Window as W
+
+    from tamarack.functions.vector import cosine
+    from tamarack.plans.retrieval import knn_join
+
+    nan = float("nan")
+    v = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [1.0]), (7, [-1.0, 3.0]), (8, [nan, 1.0]), (9, [0.5, 0.5])]
+    vectors = spark.createDataFrame(v, "id long, embedding array<double>")
+    queries = vectors.select((F.col("id") * 10).alias("query_id"), F.col("embedding").alias("query"))
+    met = vectors.crossJoin(queries).select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("similarity"))
+    for k in (1, 4, 20):
+        want = met.withColumn("rk", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id")).cast("long")).where(F.col("rk") <= k)
+        got = knn_join(vectors, queries, k)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = knn_join(vectors, queries.where("query_id = 90"), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan  # no row for each pair
+
+
 def test_knn_join_in_blocks(spark):
     """Queries beyond the broadcast's bytes meet the vectors in blocks, with the same rows."""
     from tamarack.plans.retrieval import knn_join
