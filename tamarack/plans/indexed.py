@@ -8,6 +8,7 @@ from ..operators.graph import precedent_chains
 from ..operators.inverted_index import KeywordIndex
 from ..operators.substring_join import filters, first_hits
 from ..operators.vector_index import VectorIndex
+from ..shared import new_path
 from ..tables import EDGES_SQL, chunks, edges, table
 from .registry import ORACLE, query
 from .retrieval import _SIM, _TOKENS, _one, fused
@@ -45,7 +46,9 @@ def hybrid_indexed_chunks(spark, sf_dir):
     visible = searchable_condition("en", 1)
     words = KeywordIndex.build(rows.select(F.col("chunk_id").alias("id"), "content", *facets), facets=facets)
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    near = VectorIndex.build(vectors.join(rows.select(F.col("chunk_id").alias("id"), *facets), "id"), facets=facets)
+    joined = new_path(spark, "joined")  # building reads it more than once
+    vectors.join(rows.select(F.col("chunk_id").alias("id"), *facets), "id").write.parquet(joined)
+    near = VectorIndex.build(spark.read.parquet(joined), facets=facets)
     one = _one(spark, sf_dir, 7).select(F.lit(0).alias("query_id"), "query")
     sem = near.search(one, 80, exact=True, where=visible).select("id", F.col("rk").alias("sem_rank"))
     return fused([sem, words.search(["the", "and"], 80, where=visible).select("id", "kw_rank")], 10)
