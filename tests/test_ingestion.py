@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tamarack.functions import kernels as N
 from tamarack.functions import legal_text as L
 from tamarack.plans import ingestion as I
 from tamarack.plans import registry
@@ -94,3 +95,25 @@ def test_chunks_are_computed_once(spark):
 
     plan = chunk_overlap(spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan()
     assert plan.toString().count("regexp_replace(") <= 15 and plan.toString().count("ArrowEvalPython") == 2
+
+
+def test_extracted_texts_are_not_moved(spark):
+    """A document's extracted texts stay in its row: no shuffle and no join chooses between them, and each is normalised once."""
+    plan = I.ingest(I.example_items(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "Repartition" not in plan and plan.count("ArrowEvalPython") == 3
+
+
+def test_characters_are_counted_as_in_the_jvm(spark):
+    import random
+
+    r = random.Random(5)
+    texts = ["".join(r.choice("aZ é�À‚−ກຽ่๑1½_-.,\n\t\u00a0\u2028𝐀😀") for _ in range(r.randint(0, 90))) for _ in range(200)] + ["", None, "x" * 12_050 + "ກ", " ", "ກ" * 12_000 + "."]
+    df = spark.createDataFrame([(i, texts[i : i + 3]) for i in range(0, len(texts), 3)] + [(-1, None), (-2, [])], "id int, t array<string>").withColumn("c", N.character_counts("t"))
+    both = df.select(F.explode(F.arrays_zip("t", "c")).alias("e")).select(L.quality_report(F.col("e.t")).alias("a"), L.quality_report(F.col("e.t"), F.col("e.c")).alias("b")).collect()
+    assert len(both) == len(texts) and all(x.a == x.b for x in both)
+
+
+def test_artifact_lines_with_allowed_and_odd_words(spark):
+    lines = ["Article law", "Article lawx", "lawx Articley", "Lawx ກຂຄງຈຊຍດ lawy", "Lawx ກຂຄງຈຊຍ lawy", "law_x y_law abc", "PDF no page", "(ab)", "ab ກ", "12 | 3", ". . . . . . 4", "......... ກຂຄງຈຊຍດກຂຄງຈຊຍດກຂຄງຈຊຍດກຂຄງຈຊຍດກຂຄງຈຊຍດ x", "", "éab cd"]
+    got = spark.createDataFrame(list(enumerate(lines)), "id int, t string").select("id", N.artifact_line(F.col("t")).alias("a")).collect()
+    assert {lines[x.id]: x.a for x in got} == {x: plain_artifact(x) for x in lines}
