@@ -47,8 +47,7 @@ class IngestionLog:
 
     def put(self, items: DataFrame, batch: int, query: str, attempt: int = 1) -> None:
         aside = f"{self.path}/aside/query={query}/batch={batch}"
-        items.write.mode("overwrite").parquet(f"{aside}/items")  # ingest() reads them twice: files are opened and read once
-        ingest(self.spark.read.schema(items.schema).parquet(f"{aside}/items")).write.mode("overwrite").parquet(f"{aside}/ingested")
+        ingest(items).drop("text").write.mode("overwrite").parquet(f"{aside}/ingested")  # reads files once; chunks have the text
         done = self.spark.read.parquet(f"{aside}/ingested")
         rows = chunk_rows(done)
         self._chunks.put(rows.select(*[F.col(f.name).cast(f.dataType) for f in self._chunks.schema]), batch, query)
